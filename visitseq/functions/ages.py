@@ -25,8 +25,9 @@ def age_id(age: Column, max_age: int = MAX_AGE, mon: int = 1,
            symbols=AGE_SYMBOLS) -> Column:
     """Id of an age given as text. The ids are dense, so no lookup is needed."""
     symbols = list(symbols)
-    number = F.when(age.rlike("^(0|[1-9][0-9]*)$"), age.try_cast("int"))
-    known = number < age_count(max_age, mon)
+    number = age.try_cast("int")
+    # Only the plain spelling of a number is in the vocabulary, "007" is not.
+    known = number.between(0, age_count(max_age, mon) - 1) & (number.cast("string") == age)
     out = F.when(known, number + len(symbols))
     for i, symbol in enumerate(symbols):
         out = out.when(age == symbol, i)

@@ -38,15 +38,16 @@ def attention_mask(arr: Column, max_len: int) -> Column:
 
 
 def position_idx(tokens: Column, symbol: str = SEP) -> Column:
-    """Visit number of every token: how many separators stand before it."""
-    start = F.struct(F.lit(0).cast("bigint").alias("n"),
-                     F.array().cast("array<bigint>").alias("out"))
+    """Visit number of every token: how many separators stand before it.
 
-    def step(acc, token):
-        seen = acc["n"] + F.when(token == symbol, 1).otherwise(0)
-        return F.struct(seen.alias("n"), F.array_append(acc["out"], acc["n"]).alias("out"))
-
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    A separator ends a run; run j is as many times the number j as it is long.
+    """
+    marks = F.transform(tokens, lambda t, i: F.when(t == symbol, i))
+    ends = F.filter(marks, lambda i: i.isNotNull())
+    runs = F.zip_with(F.concat(ends, F.array(F.size(tokens) - 1)),
+                      F.concat(F.array(F.lit(-1)), ends),
+                      lambda last, before: last - before)
+    return F.flatten(F.transform(runs, lambda n, j: F.array_repeat(j.cast("bigint"), n)))
 
 
 def index_seg(positions: Column) -> Column:

@@ -44,7 +44,7 @@ def _age_ids(max_age: int, mon: int) -> Column:
 
 def _token_list(*fields: str) -> Column:
     """Token rows back to one array in sequence order."""
-    return F.array_sort(F.collect_list(F.struct("pos", "token", "age_id", *fields)))
+    return F.sort_array(F.collect_list(F.struct("pos", "token", "age_id", *fields)))
 
 
 def _field(items: str, name: str) -> Column:
@@ -105,8 +105,8 @@ def encode_next_visit(df: DataFrame, vocab: DataFrame, label_vocab: DataFrame,
                        F.coalesce("id", unknown).cast("bigint").alias("id"))
     token = F.struct("pos", "token", "age_id", "id")
     people = rows.groupBy("patid").agg(
-        F.array_sort(F.collect_list(F.when(~is_label, token))).alias("items"),
-        F.array_sort(F.collect_list(F.when(is_label, F.col("id")))).alias("labels"))
+        F.sort_array(F.collect_list(F.when(~is_label, token))).alias("items"),
+        F.sort_array(F.collect_list(F.when(is_label, F.col("id")))).alias("labels"))
     out = people.select(
         "patid",
         pad(_field("items", "age_id"), max_len, F.lit(0).cast("bigint")).alias("age"),

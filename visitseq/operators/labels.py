@@ -48,7 +48,7 @@ def _labelled(cuts: DataFrame, demographic: DataFrame, in_label: Column,
     label = F.flatten(F.collect_list(F.when(in_label, F.col("code"))))
     people = (cuts.where(in_history | in_label).groupBy("patid", "cut_date")
               .agg(collect_visits(in_history).alias("visits"),
-                   F.array_sort(F.array_distinct(label)).alias("label")))
+                   F.sort_array(F.array_distinct(label)).alias("label")))
     return people.join(demographic, "patid").select(
         "patid", "cut_date",
         tail(visit_tokens(F.col("visits")), max_len - 1).alias("code"),
@@ -75,7 +75,7 @@ def label_horizon(cuts: DataFrame, demographic: DataFrame, months: int,
 
 
 def distinct_labels(df: DataFrame) -> DataFrame:
-    return df.withColumn("label", F.array_sort(F.array_distinct("label")))
+    return df.withColumn("label", F.sort_array(F.array_distinct("label")))
 
 
 def multi_hot(df: DataFrame, n_classes: int, label_col: str = "label",

@@ -17,14 +17,14 @@ def random_mask(tokens: DataFrame, facts: VocabFacts, key=("patid", "pos"), epoc
     such tokens were left out.
     """
     keys = [F.col(k) for k in key]
-    drawn = tokens.withColumns({
-        "_u": uniform(*keys, epoch, seed),
-        "_random_id": F.floor(uniform(*keys, epoch, seed, draw=1) * facts.size).cast("bigint")})
+    drawn = tokens.withColumn("_u", uniform(*keys, epoch, seed))
+    # Inside the branch, so that the second draw is made for few rows only.
+    random_id = F.floor(uniform(*keys, epoch, seed, draw=1) * facts.size).cast("bigint")
     kept = F.lit(None).cast("bigint") if drop_kept else F.col("token_id")
     output = (F.when(F.col("_u") < MASK_BELOW, F.lit(facts.ids[MASK]).cast("bigint"))
-              .when(F.col("_u") < RANDOM_BELOW, F.col("_random_id"))
+              .when(F.col("_u") < RANDOM_BELOW, random_id)
               .when(F.col("_u") < SELECT_SHARE, kept)
               .otherwise(F.col("token_id")))
     label = (F.when(F.col("_u") < SELECT_SHARE, F.col("token_id"))
              .otherwise(F.lit(IGNORED_LABEL)).cast("bigint"))
-    return drawn.withColumns({"output_id": output, "label": label}).drop("_u", "_random_id")
+    return drawn.withColumns({"output_id": output, "label": label}).drop("_u")

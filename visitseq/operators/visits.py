@@ -21,11 +21,11 @@ def build_visits(events: DataFrame, code_col: str = "code") -> DataFrame:
     The set removes repeated events, so no distinct is needed before it.
     """
     codes = F.collect_set(F.col(code_col).cast("string"))
-    return events.groupBy("patid", "eventdate").agg(F.array_sort(codes).alias("code"))
+    return events.groupBy("patid", "eventdate").agg(F.sort_array(codes).alias("code"))
 
 
 def append_sep(visits: DataFrame, col: str = "code") -> DataFrame:
-    return visits.withColumn(col, F.array_append(col, F.lit(SEP)))
+    return visits.withColumn(col, F.concat(F.col(col), F.array(F.lit(SEP))))
 
 
 def append_sep_age(visits: DataFrame, col: str = "age") -> DataFrame:
@@ -43,7 +43,7 @@ def add_visit_ages(visits: DataFrame, demographic: DataFrame) -> DataFrame:
 
 def visit_tokens(visits: Column) -> Column:
     """Codes of an ordered array of (eventdate, code) visits, SEP after each visit."""
-    return F.flatten(F.transform(visits, lambda v: F.array_append(v["code"], F.lit(SEP))))
+    return F.flatten(F.transform(visits, lambda v: F.concat(v["code"], F.array(F.lit(SEP)))))
 
 
 def visit_ages(visits: Column, yob: Column) -> Column:
@@ -55,7 +55,7 @@ def visit_ages(visits: Column, yob: Column) -> Column:
 def collect_visits(when: Column | None = None) -> Column:
     """Aggregate of visit rows to an array ordered by date."""
     visit = F.struct("eventdate", "code")
-    return F.array_sort(F.collect_list(visit if when is None else F.when(when, visit)))
+    return F.sort_array(F.collect_list(visit if when is None else F.when(when, visit)))
 
 
 def build_sequences(visits: DataFrame, demographic: DataFrame,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from visitseq.constants import AGE_SYMBOLS, MAX_AGE, NOT_LABELS, SPECIALS
 from visitseq.functions.ages import age_count
 from visitseq.operators.indexing import with_row_index
+from visitseq.sources.scratch import materialize
 
 
 def build_vocab(events: DataFrame, code_col: str = "code", min_count: int = 1) -> DataFrame:
@@ -22,7 +23,7 @@ def build_vocab(events: DataFrame, code_col: str = "code", min_count: int = 1) -
     codes = ranked.select("token", (F.col("rank") + len(SPECIALS)).cast("int").alias("token_id"))
     specials = events.sparkSession.createDataFrame(
         [(t, i) for i, t in enumerate(SPECIALS)], "token string, token_id int")
-    return specials.unionByName(codes)
+    return materialize(specials.unionByName(codes), "vocab")
 
 
 def label_vocab(vocab: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """From an event table and a demographic table to one sequence per person."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from visitseq.operators.events import distinct_events, select_events, unique_demographic
 from visitseq.operators.visits import build_sequences, build_visits
+from visitseq.operators.vocab import build_vocab
+from visitseq.sources.scratch import materialize
 
 
 def clean_events(diagnoses: DataFrame, code_col: str = "code") -> DataFrame:
@@ -19,3 +21,14 @@ def format_sequences(diagnoses: DataFrame, demographic: DataFrame,
     """
     visits = build_visits(select_events(diagnoses, code_col))
     return build_sequences(visits, unique_demographic(demographic))
+
+
+def visit_table(diagnoses: DataFrame, code_col: str = "code") -> DataFrame:
+    """The visits, written once: vocabulary, histories and labels all read them,
+    and the raw events are scanned and shuffled a single time."""
+    return materialize(build_visits(select_events(diagnoses, code_col)), "visits")
+
+
+def visit_vocab(visits: DataFrame, min_count: int = 1) -> DataFrame:
+    """Vocabulary of the codes of a visit table; a code counts once per visit."""
+    return build_vocab(visits.select(F.explode("code").alias("code")), min_count=min_count)

@@ -4,18 +4,16 @@ from pyspark.sql import DataFrame
 
 from visitseq.constants import MIN_VISITS, PREDICTION_MAX_LEN
 from visitseq.operators.encode import encode_next_visit
-from visitseq.operators.events import select_events, unique_demographic
+from visitseq.operators.events import unique_demographic
 from visitseq.operators.labels import (
     label_horizon, label_next_visit, pick_cuts, split_patients)
-from visitseq.operators.visits import build_visits
+from visitseq.operators.vocab import label_vocab
 
 
-def labelled_rows(diagnoses: DataFrame, demographic: DataFrame, months: int | None = None,
-                  code_col: str = "code", max_len: int = PREDICTION_MAX_LEN,
-                  min_visits: int = MIN_VISITS, test_share: float = 0.2,
-                  seed: int = 0) -> DataFrame:
+def labelled_rows(visits: DataFrame, demographic: DataFrame, months: int | None = None,
+                  max_len: int = PREDICTION_MAX_LEN, min_visits: int = MIN_VISITS,
+                  test_share: float = 0.2, seed: int = 0) -> DataFrame:
     """History, label and split per person; months=None labels the next visit."""
-    visits = build_visits(select_events(diagnoses, code_col))
     cuts = pick_cuts(visits, min_visits - 1, seed)
     people = unique_demographic(demographic)
     if months is None:
@@ -25,7 +23,8 @@ def labelled_rows(diagnoses: DataFrame, demographic: DataFrame, months: int | No
     return split_patients(rows, test_share, seed)
 
 
-def prediction_table(labelled: DataFrame, vocab: DataFrame, label_vocab: DataFrame,
-                     max_len: int = PREDICTION_MAX_LEN) -> DataFrame:
-    """Encoded rows of a labelled table."""
-    return encode_next_visit(labelled, vocab, label_vocab, max_len)
+def prediction_table(labelled: DataFrame, vocab: DataFrame, max_len: int = PREDICTION_MAX_LEN,
+                     test_share: float = 0.2, seed: int = 0) -> DataFrame:
+    """Encoded rows of a labelled table, with the split of each person."""
+    encoded = encode_next_visit(labelled, vocab, label_vocab(vocab), max_len)
+    return split_patients(encoded, test_share, seed)

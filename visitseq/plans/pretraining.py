@@ -5,19 +5,19 @@ from pyspark.sql import DataFrame
 from visitseq.constants import BATCH_SIZE, MIN_VISITS, MLM_MAX_LEN
 from visitseq.operators.batches import assign_batches
 from visitseq.operators.encode import encode_mlm
-from visitseq.operators.events import select_events, unique_demographic
-from visitseq.operators.visits import build_visits, sequence_tails
+from visitseq.operators.events import unique_demographic
+from visitseq.operators.visits import sequence_tails
 from visitseq.sources.scratch import materialize
 
 
-def pretraining_table(diagnoses: DataFrame, demographic: DataFrame, vocab: DataFrame,
-                      code_col: str = "code", max_len: int = MLM_MAX_LEN,
-                      min_visits: int = MIN_VISITS, epoch: int = 0, seed: int = 0,
+def pretraining_table(visits: DataFrame, demographic: DataFrame, vocab: DataFrame,
+                      max_len: int = MLM_MAX_LEN, min_visits: int = MIN_VISITS,
+                      epoch: int = 0, seed: int = 0,
                       batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Masked rows with their batch in this epoch."""
-    visits = build_visits(select_events(diagnoses, code_col))
+    """Masked rows of a visit table with their batch in this epoch."""
     # One bounded row per person, read three times below: written once.
     tails = materialize(sequence_tails(
         visits, unique_demographic(demographic), max_len, min_visits), "tails")
-    batched = assign_batches(tails, batch_size, epoch, seed).select("patid", "batch_id")
-    return encode_mlm(tails, vocab, max_len, epoch, seed).join(batched, "patid")
+    batched = assign_batches(tails.select("patid"), batch_size, epoch, seed)
+    return (encode_mlm(tails, vocab, max_len, epoch, seed)
+            .join(batched.select("patid", "batch_id"), "patid"))

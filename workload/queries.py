@@ -34,7 +34,11 @@ def _people(spark, sf) -> DataFrame:
 
 
 def _vocab(spark, sf) -> DataFrame:
-    return vocab.build_vocab(plans.clean_events(tables.diagnoses(spark, sf)))
+    return plans.visit_vocab(_visits(spark, sf))
+
+
+def _stored(spark, sf) -> DataFrame:
+    return plans.visit_table(tables.diagnoses(spark, sf))
 
 
 def _part_vocab(spark, sf) -> DataFrame:
@@ -49,8 +53,11 @@ def _cuts(spark, sf) -> DataFrame:
     return labels.pick_cuts(_visits(spark, sf), seed=SEED)
 
 
-def _next_visit(spark, sf, max_len=MAX_LEN) -> DataFrame:
-    return labels.label_next_visit(_cuts(spark, sf), _people(spark, sf), max_len)
+def _labelled_vocab(spark, sf):
+    """Next-visit rows and the vocabulary, from one visit table."""
+    stored = _stored(spark, sf)
+    rows = plans.labelled_rows(stored, tables.demographic(spark, sf), None, MAX_LEN, seed=SEED)
+    return rows, plans.visit_vocab(stored)
 
 
 def _scored(spark, sf) -> DataFrame:
@@ -155,7 +162,7 @@ def encode_labels(spark, sf):
 
 
 def decode_tokens(spark, sf):
-    words = sources.materialize(_part_vocab(spark, sf), "vocab")
+    words = _part_vocab(spark, sf)
     rows = plans.clean_events(tables.part_diagnoses(spark, sf)).withColumnRenamed("code", "token")
     ids = lookup.encode_tokens(rows, words).drop("token")
     return lookup.decode_tokens(ids, words).select("patid", day("eventdate"), "token_id", "token")
@@ -192,8 +199,10 @@ def padded(spark, sf):
 
 
 def random_mask(spark, sf):
-    words = _vocab(spark, sf)
-    tokens = _started(spark, sf).select("patid", F.posexplode("code").alias("pos", "token"))
+    stored = _stored(spark, sf)
+    words = plans.visit_vocab(stored)
+    tails = visits.sequence_tails(stored, _people(spark, sf), MAX_LEN)
+    tokens = encode.tail_cls(tails, MAX_LEN).select("patid", F.posexplode("code").alias("pos", "token"))
     rows = masking.random_mask(lookup.encode_tokens(tokens, words), vocab.vocab_facts(words),
                                epoch=1, seed=SEED)
     return rows.select("patid", F.col("pos").cast("bigint").alias("pos"),
@@ -201,14 +210,16 @@ def random_mask(spark, sf):
 
 
 def encode_mlm(spark, sf):
+    stored = _stored(spark, sf)
+    tails = visits.sequence_tails(stored, _people(spark, sf), MAX_LEN)
     return encode.long_form(encode.encode_mlm(
-        _tails(spark, sf), _vocab(spark, sf), MAX_LEN, epoch=1, seed=SEED))
+        tails, plans.visit_vocab(stored), MAX_LEN, epoch=1, seed=SEED))
 
 
 def encode_next_visit(spark, sf):
-    words = _vocab(spark, sf)
+    rows, words = _labelled_vocab(spark, sf)
     return encode.long_form(encode.encode_next_visit(
-        _next_visit(spark, sf), words, vocab.label_vocab(words), MAX_LEN))
+        rows, words, vocab.label_vocab(words), MAX_LEN))
 
 
 # Split, labels, batches
@@ -223,7 +234,7 @@ def _label_text(rows: DataFrame) -> DataFrame:
 
 
 def label_next_visit(spark, sf):
-    return _label_text(_next_visit(spark, sf))
+    return _label_text(labels.label_next_visit(_cuts(spark, sf), _people(spark, sf), MAX_LEN))
 
 
 def label_6m(spark, sf):
@@ -241,9 +252,9 @@ def distinct_labels(spark, sf):
 
 
 def multi_hot(spark, sf):
-    words = _vocab(spark, sf)
+    rows, words = _labelled_vocab(spark, sf)
     names = vocab.label_vocab(words)
-    rows = encode.encode_next_visit(_next_visit(spark, sf), words, names, MAX_LEN)
+    rows = encode.encode_next_visit(rows, words, names, MAX_LEN)
     hot = labels.multi_hot(rows.select("patid", "label"), names.count())
     return encode.long_form(hot, ("target",)).select(
         "patid", F.col("pos").alias("label_id"), F.col("target").cast("bigint").alias("target"))
@@ -328,11 +339,10 @@ def best_epochs(spark, sf):
 # Scoring
 
 def _encoded_split(spark, sf):
-    words = sources.materialize(_vocab(spark, sf), "vocab")
-    names = vocab.label_vocab(words)
-    rows = labels.split_patients(encode.encode_next_visit(
-        _next_visit(spark, sf), words, names, MAX_LEN), 0.2, SEED)
-    return sources.materialize(rows, "encoded"), names, vocab.vocab_facts(words)
+    labelled, words = _labelled_vocab(spark, sf)
+    rows = sources.materialize(
+        plans.prediction_table(labelled, words, MAX_LEN, seed=SEED), "encoded")
+    return rows, vocab.label_vocab(words), vocab.vocab_facts(words)
 
 
 def next_code_scores(spark, sf):
@@ -356,10 +366,9 @@ def prediction_report(spark, sf):
 
 def score_batches(spark, sf):
     """A model that counts how often each token stands in the row."""
-    words = _vocab(spark, sf)
+    rows, words = _labelled_vocab(spark, sf)
     n_classes = vocab.vocab_facts(words).size
-    encoded = encode.encode_next_visit(_next_visit(spark, sf), words, vocab.label_vocab(words),
-                                       MAX_LEN)
+    encoded = encode.encode_next_visit(rows, words, vocab.label_vocab(words), MAX_LEN)
 
     def count_tokens(code, mask):
         import numpy as np
@@ -374,8 +383,9 @@ def score_batches(spark, sf):
 
 
 def pretraining_table(spark, sf):
+    stored = _stored(spark, sf)
     rows = plans.pretraining_table(
-        tables.diagnoses(spark, sf), tables.demographic(spark, sf), _vocab(spark, sf),
+        stored, tables.demographic(spark, sf), plans.visit_vocab(stored),
         max_len=MAX_LEN, epoch=1, seed=SEED, batch_size=BATCH)
     return rows.select("patid", "batch_id", F.inline(F.arrays_zip("code", "label"))).groupBy(
         "patid", "batch_id").agg(F.sum("code").alias("code_sum"), F.sum("label").alias("label_sum"))
