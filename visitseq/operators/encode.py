@@ -65,7 +65,7 @@ def encode_mlm(df: DataFrame, vocab: DataFrame, max_len: int = MLM_MAX_LEN, epoc
     facts = vocab_facts(vocab)
     rows = (tail_cls(df, max_len)
             .select("patid", F.inline(_code_items(with_source=False))))
-    rows = join_vocab(rows, vocab, ["token"], facts.size, F.col("patid"))
+    rows = join_vocab(rows, vocab, ["token"], facts)
     rows = rows.select(
         "patid", "pos", "token", _age_ids(max_age, mon),
         F.coalesce("token_id", F.lit(facts.ids[UNK])).cast("bigint").alias("token_id"))
@@ -97,8 +97,7 @@ def encode_next_visit(df: DataFrame, vocab: DataFrame, label_vocab: DataFrame,
     both = (vocab.select(F.lit("code").alias("source"), "token", F.col("token_id").alias("id"))
             .unionByName(label_vocab.select(
                 F.lit("label").alias("source"), "token", F.col("label_id").alias("id"))))
-    rows = join_vocab(rows, both, ["source", "token"], facts.size + label_facts.size,
-                      F.col("patid"))
+    rows = join_vocab(rows, both, ["source", "token"], facts, label_facts)
     is_label = F.col("source") == "label"
     unknown = F.when(is_label, label_facts.ids[UNK]).otherwise(facts.ids[UNK])
     rows = rows.select("patid", "source", "pos", "token", _age_ids(max_age, mon),

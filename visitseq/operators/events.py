@@ -40,8 +40,12 @@ def demographic_conflicts(demographic: DataFrame) -> DataFrame:
 
 
 def join_demographic(events: DataFrame, demographic: DataFrame) -> DataFrame:
-    """Inner join on the person. Catalyst broadcasts a side only if it measures small;
-    otherwise AQE splits the partitions of a person with very many events."""
+    """Inner join on the person. Catalyst broadcasts a side only if it measures small.
+
+    Pass distinct events and a stored table with one row per person: then both
+    sides come straight out of a shuffle, and AQE splits the partition of a
+    person with very many events.
+    """
     return events.join(demographic, "patid", "inner")
 
 

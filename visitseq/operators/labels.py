@@ -47,7 +47,7 @@ def _labelled(cuts: DataFrame, demographic: DataFrame, in_label: Column,
                   & (F.col("visit_no") > F.col("cut_no") - tail_visits(max_len)))
     label = F.flatten(F.collect_list(F.when(in_label, F.col("code"))))
     people = (cuts.where(in_history | in_label).groupBy("patid", "cut_date")
-              .agg(collect_visits(in_history).alias("visits"),
+              .agg(collect_visits(in_history, max_len).alias("visits"),
                    F.sort_array(F.array_distinct(label)).alias("label")))
     return people.join(demographic, "patid").select(
         "patid", "cut_date",

@@ -1,38 +1,43 @@
 """Token ids by joining token rows with a vocabulary."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from visitseq.operators.vocab import vocab_facts
+from visitseq.operators.vocab import VocabFacts, vocab_facts
 
-# A vocabulary row is a short string and an int, below 100 bytes: this many
-# rows stay below 100 MB in every executor.
-BROADCAST_ROWS = 1_000_000
+# A vocabulary is broadcast up to this measured size.
+BROADCAST_BYTES = 64 << 20
+# Overhead of a row in the broadcast hash table, beside the text of its token.
+ROW_BYTES = 48
 SALTS = 32
 
 
-def join_vocab(tokens: DataFrame, vocab: DataFrame, on: list[str], n_rows: int,
-               spread: Column) -> DataFrame:
-    """Left join to a vocabulary of counted size.
+def fits_broadcast(n_rows: int, n_bytes: int = 0) -> bool:
+    return n_bytes + n_rows * ROW_BYTES <= BROADCAST_BYTES
+
+
+def join_vocab(tokens: DataFrame, vocab: DataFrame, on: list[str],
+               *facts: VocabFacts) -> DataFrame:
+    """Left join to a vocabulary whose size was measured.
 
     A small one is broadcast. A larger one is joined by a shuffle on token and
     salt, the vocabulary once per salt, so that a token that makes up a third
-    of the rows is spread over many tasks. `spread` is any column that varies
-    among the rows of a token.
+    of the rows is spread over many tasks. The salt is a hash of the other
+    columns and so the same in a retry.
     """
-    if n_rows <= BROADCAST_ROWS:
+    if fits_broadcast(sum(f.size for f in facts), sum(f.n_bytes for f in facts)):
         return tokens.join(F.broadcast(vocab), on, "left")
+    others = [c for c in tokens.columns if c not in on]
     salted = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (tokens.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS)))
+    return (tokens.withColumn("_salt", F.pmod(F.hash(*others), F.lit(SALTS)))
             .join(salted, [*on, "_salt"], "left").drop("_salt"))
 
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame, mask_token: str | None = None,
-                  token_col: str = "token", id_col: str = "token_id",
-                  spread: str | None = None) -> DataFrame:
+                  token_col: str = "token", id_col: str = "token_id") -> DataFrame:
     """Id per token row; an unknown token, or one equal to mask_token, becomes UNK."""
     facts = vocab_facts(vocab, id_col)
     dim = vocab.select(F.col("token").alias(token_col), F.col(id_col))
-    out = join_vocab(tokens, dim, [token_col], facts.size, F.col(spread or tokens.columns[0]))
+    out = join_vocab(tokens, dim, [token_col], facts)
     found = F.col(id_col)
     if mask_token is not None:
         found = F.when(F.col(token_col) != mask_token, found)
@@ -43,9 +48,7 @@ def encode_labels(labels: DataFrame, label_vocab: DataFrame, **kwargs) -> DataFr
     return encode_tokens(labels, label_vocab, id_col="label_id", **kwargs)
 
 
-def decode_tokens(ids: DataFrame, vocab: DataFrame, id_col: str = "token_id",
-                  spread: str | None = None) -> DataFrame:
+def decode_tokens(ids: DataFrame, vocab: DataFrame, id_col: str = "token_id") -> DataFrame:
     """Token of each id."""
-    facts = vocab_facts(vocab)
     dim = vocab.select(F.col("token_id").alias(id_col), "token")
-    return join_vocab(ids, dim, [id_col], facts.size, F.col(spread or ids.columns[0]))
+    return join_vocab(ids, dim, [id_col], vocab_facts(vocab))

@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from visitseq.constants import NOT_LABELS
-from visitseq.operators.lookup import BROADCAST_ROWS
+from visitseq.constants import BATCH_SIZE, NOT_LABELS
+from visitseq.operators.lookup import fits_broadcast
 from visitseq.operators.vocab import VocabFacts
 
 
@@ -48,10 +48,12 @@ def next_code_scores(train: DataFrame, test: DataFrame, label_vocab: DataFrame,
     """Scored rows (sample_id, label_id, logit, target) for encoded test rows."""
     weights = label_weights(train, label_vocab, facts)
     n_classes = label_vocab.count()
-    if n_classes <= BROADCAST_ROWS:
+    if fits_broadcast(n_classes):
         weights = F.broadcast(weights)
+    # By sample before a sample becomes a row per class: the metrics need no
+    # further shuffle.
     rows = test.select(F.col("patid").alias("sample_id"),
-                       _history_labels(facts).alias("history"), "label")
+                       _history_labels(facts).alias("history"), "label").repartition("sample_id")
     classes = F.sequence(F.lit(0).cast("bigint"), F.lit(n_classes - 1).cast("bigint"))
     grid = rows.select("sample_id", F.inline(F.transform(classes, lambda c: F.struct(
         c.alias("label_id"),
@@ -64,19 +66,20 @@ def next_code_scores(train: DataFrame, test: DataFrame, label_vocab: DataFrame,
 
 
 def score_batches(encoded: DataFrame, predict_fn: Callable, inputs=("code", "mask"),
-                  key: str = "patid") -> DataFrame:
+                  key: str = "patid", batch_size: int = BATCH_SIZE) -> DataFrame:
     """Logits of a caller's model: predict_fn gets one 2-d int array per input column
-    and returns a 2-d array [rows, classes]. It sees one Arrow batch at a time."""
+    and returns a 2-d array [rows, classes]. It sees up to batch_size rows at a time."""
     inputs = list(inputs)
 
     def score(frames):
         import numpy as np
         import pandas as pd
         for frame in frames:
-            if len(frame):
-                arrays = [np.stack(frame[c].to_numpy()) for c in inputs]
+            for start in range(0, len(frame), batch_size):
+                batch = frame.iloc[start:start + batch_size]
+                arrays = [np.stack(batch[c].to_numpy()) for c in inputs]
                 logits = np.asarray(predict_fn(*arrays), dtype="float64")
-                yield pd.DataFrame({key: frame[key], "logits": list(logits)})
+                yield pd.DataFrame({key: batch[key].to_numpy(), "logits": list(logits)})
 
     key_type = encoded.schema[key].dataType.simpleString()
     return encoded.select(key, *inputs).mapInPandas(

@@ -52,9 +52,11 @@ def visit_ages(visits: Column, yob: Column) -> Column:
         age_in_months(v["eventdate"], yob).cast("string"), F.size(v["code"]) + 1)))
 
 
-def collect_visits(when: Column | None = None) -> Column:
-    """Aggregate of visit rows to an array ordered by date."""
-    visit = F.struct("eventdate", "code")
+def collect_visits(when: Column | None = None, max_codes: int | None = None) -> Column:
+    """Aggregate of visit rows to an array ordered by date, with at most the last
+    max_codes codes of each visit where a reader takes no more."""
+    code = F.col("code") if max_codes is None else tail(F.col("code"), max_codes)
+    visit = F.struct("eventdate", code.alias("code"))
     return F.sort_array(F.collect_list(visit if when is None else F.when(when, visit)))
 
 
@@ -91,12 +93,14 @@ def sequence_tails(visits: DataFrame, demographic: DataFrame, max_len: int,
     """The last max_len - 1 tokens of every person with enough visits.
 
     This is all that encoding reads. The rank limit drops older visits before
-    the shuffle, so a person costs at most max_len / 2 visits per task.
+    the shuffle, so a person costs at most max_len / 2 visits of max_len codes
+    per task, however long the history is.
     """
     keep = max(tail_visits(max_len), min_visits)
     newest = Window.partitionBy("patid").orderBy(F.desc("eventdate"))
-    recent = (visits.withColumn("age_rank", F.row_number().over(newest))
-              .where(F.col("age_rank") <= keep)
+    recent = (visits.withColumn("code", tail(F.col("code"), max_len))
+              .withColumn("recency", F.row_number().over(newest))
+              .where(F.col("recency") <= keep)
               .groupBy("patid")
               .agg(collect_visits().alias("visits"))
               .where(F.size("visits") >= min_visits))

@@ -57,11 +57,15 @@ class VocabFacts:
     """What expressions need to know about a vocabulary: a handful of numbers."""
 
     size: int
+    n_bytes: int
     ids: dict
 
 
 def vocab_facts(vocab: DataFrame, id_col: str = "token_id") -> VocabFacts:
-    """Size and special ids, in one aggregate over the small table."""
-    row = vocab.agg(F.count("*").alias("size"), *[
-        F.max(F.when(F.col("token") == t, F.col(id_col))).alias(t) for t in SPECIALS]).head()
-    return VocabFacts(row["size"], {t: row[t] for t in SPECIALS if row[t] is not None})
+    """Size and special ids, in one aggregate; only this row comes to the driver."""
+    row = vocab.agg(
+        F.count("*").alias("size"),
+        F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("n_bytes"),
+        *[F.max(F.when(F.col("token") == t, F.col(id_col))).alias(t) for t in SPECIALS]).head()
+    return VocabFacts(row["size"], row["n_bytes"],
+                      {t: row[t] for t in SPECIALS if row[t] is not None})

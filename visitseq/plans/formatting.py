@@ -29,6 +29,11 @@ def visit_table(diagnoses: DataFrame, code_col: str = "code") -> DataFrame:
     return materialize(build_visits(select_events(diagnoses, code_col)), "visits")
 
 
+def people_table(demographic: DataFrame) -> DataFrame:
+    """One row per person, written once for the joins with events."""
+    return materialize(unique_demographic(demographic), "people")
+
+
 def visit_vocab(visits: DataFrame, min_count: int = 1) -> DataFrame:
     """Vocabulary of the codes of a visit table; a code counts once per visit."""
     return build_vocab(visits.select(F.explode("code").alias("code")), min_count=min_count)

@@ -72,7 +72,7 @@ def clean_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def events_with_age(spark, sf):
     joined = events.join_demographic(plans.clean_events(tables.diagnoses(spark, sf)),
-                                     _people(spark, sf))
+                                     plans.people_table(tables.demographic(spark, sf)))
     aged = events.cast_str(events.add_age(joined), "age", "code")
     return aged.select("patid", day("eventdate"), "age", "code")
 
