@@ -7,10 +7,19 @@ from visitseq.functions.ages import age_in_months, age_in_years
 
 def select_events(df: DataFrame, code_col: str, patid_col: str = "patid",
                   date_col: str = "eventdate") -> DataFrame:
-    """The three event columns under fixed names; rows with a null are dropped."""
-    return df.select(F.col(patid_col).alias("patid"),
-                     F.col(date_col).cast("date").alias("eventdate"),
-                     F.col(code_col).alias("code")).na.drop("any")
+    """The three event columns under fixed names; rows with a null are dropped.
+
+    Plain null tests on the columns as stored, which the Parquet scan applies.
+    """
+    return _not_null(df, patid_col, date_col, code_col).select(
+        F.col(patid_col).alias("patid"), F.col(date_col).cast("date").alias("eventdate"),
+        F.col(code_col).alias("code"))
+
+
+def _not_null(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.where(F.col(c).isNotNull())
+    return df
 
 
 def distinct_events(df: DataFrame) -> DataFrame:
@@ -27,13 +36,13 @@ def unique_demographic(demographic: DataFrame) -> DataFrame:
     Several rows per person would multiply every event in the join, and
     without a year of birth there is no age.
     """
-    return (demographic.select("patid", "yob").na.drop("any")
+    return (_not_null(demographic.select("patid", "yob"), "patid", "yob")
             .groupBy("patid").agg(F.min("yob").alias("yob")))
 
 
 def demographic_conflicts(demographic: DataFrame) -> DataFrame:
     """Report row for `unique_demographic`: persons, and persons with several years."""
-    per_person = (demographic.select("patid", "yob").na.drop("any")
+    per_person = (_not_null(demographic.select("patid", "yob"), "patid", "yob")
                   .groupBy("patid").agg(F.min("yob").alias("lo"), F.max("yob").alias("hi")))
     return per_person.agg(F.count("*").alias("persons"),
                           F.count_if(F.col("lo") < F.col("hi")).alias("conflicting"))

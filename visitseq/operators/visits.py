@@ -127,8 +127,9 @@ def running_history(visits: DataFrame, max_len: int, cols=("code", "age")) -> Da
     order = Window.partitionBy("patid").orderBy("eventdate")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     recent = order.rowsBetween(1 - tail_visits(max_len), Window.currentRow)
-    return visits.select(
+    rows = visits.select(
         "patid", "eventdate",
         F.row_number().over(order).cast("bigint").alias("n_visits"),
         F.sum(F.size(cols[0])).over(so_far).alias("n_tokens"),
-        *[tail(F.flatten(F.collect_list(c).over(recent)), max_len - 1).alias(c) for c in cols])
+        *[F.collect_list(c).over(recent).alias(c) for c in cols])
+    return rows.withColumns({c: tail(F.flatten(c), max_len - 1) for c in cols})
