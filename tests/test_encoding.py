@@ -135,6 +135,17 @@ def test_mlm_rows(spark, vocab):
     assert 0.08 < kept / chosen < 0.15
 
 
+def test_stored_parts_and_other_column_names(spark, vocab):
+    whole = mlm_input(spark, 20)
+    halves = whole.selectExpr("patid", "0 as part", "slice(code, 1, 9) as icd",
+                              "slice(age, 1, 9) as years").unionByName(
+        whole.selectExpr("patid", "1 as part", "slice(code, 10, 51) as icd",
+                         "slice(age, 10, 51) as years"))
+    want = sorted(encode.encode_mlm(whole, vocab, 64).collect())
+    got = encode.encode_mlm(halves, vocab, 64, code_col="icd", age_col="years")
+    assert sorted(got.collect()) == want
+
+
 def test_dropped_tokens_shorten_the_codes(spark, vocab):
     rows = encode.encode_mlm(mlm_input(spark, 50), vocab, 64, drop_kept=True).collect()
     assert any(r.code.count(0) > 3 for r in rows)
@@ -145,6 +156,8 @@ def test_mask_token_is_unknown(spark, vocab):
     tokens = spark.createDataFrame([("A",), ("B",), ("Q",)], "token string")
     got = {r.token: r.token_id for r in lookup.encode_tokens(tokens, vocab, "B").collect()}
     assert got == {"A": 5, "B": 1, "Q": 1}
+    kept = lookup.encode_tokens(tokens, vocab, unknown=False).collect()
+    assert {r.token: r.token_id for r in kept} == {"A": 5, "B": 6, "Q": None}
 
 
 def test_large_vocabulary_is_not_broadcast(spark, vocab, monkeypatch):

@@ -30,7 +30,7 @@ def test_sequence_of_one_person(diagnoses, demographic):
 
 def test_code_column_is_a_parameter(diagnoses, demographic):
     renamed = diagnoses.withColumnRenamed("code", "icd")
-    assert plans.format_sequences(renamed, demographic, "icd").head().code == [
+    assert plans.format_sequences(renamed, demographic, "icd").head().icd == [
         "A", "B", "SEP", "C", "SEP"]
 
 
@@ -104,6 +104,19 @@ def test_running_history_are_prefixes(spark):
         assert whole[r.patid].code[:r.n_tokens].count("SEP") == r.n_visits
 
 
+@pytest.mark.parametrize("tokens_per_row", [1, 7, 10, 1000])
+def test_stored_parts_give_the_same_tails(spark, tokens_per_row):
+    built = visits.build_visits(many_visits(spark))
+    parts = visits.build_sequences(built, people(spark), tokens_per_row)
+    want = {(r.patid, tuple(r.code), tuple(r.age))
+            for r in visits.sequence_tails(built, people(spark), 16, 15).collect()}
+    enough = visits.min_visits_of_sequences(parts, 15)
+    got = {(r.patid, tuple(r.code), tuple(r.age)) for r in visits.last_tokens(enough, 16).collect()}
+    assert got == want
+    one_row = visits.build_sequences(built, people(spark)).drop("part")
+    assert visits.min_visits_of_sequences(one_row, 15).count() == len(want)
+
+
 def test_min_visits(spark):
     built = visits.build_visits(many_visits(spark))
     kept = visits.min_visits(built, 15).select("patid").distinct().collect()

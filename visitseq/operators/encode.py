@@ -15,11 +15,17 @@ from visitseq.functions.arrays import (
     add_cls, attention_mask, index_seg, pad, padded_tokens, position_idx, tail)
 from visitseq.operators.lookup import join_vocab
 from visitseq.operators.masking import random_mask
+from visitseq.operators.visits import last_tokens
 from visitseq.operators.vocab import vocab_facts
 
 
 def tail_cls(df: DataFrame, max_len: int) -> DataFrame:
-    """The last max_len - 1 tokens and ages under a start token; empty rows go."""
+    """The last max_len - 1 tokens and ages under a start token; empty rows go.
+
+    Takes one row per person, or stored sequences in parts.
+    """
+    if "part" in df.columns:
+        df = last_tokens(df, max_len)
     cut = df.where(F.size("code") > 0).withColumns({
         "code": tail(F.col("code"), max_len - 1), "age": tail(F.col("age"), max_len - 1)})
     code, age = add_cls(F.col("code"), F.col("age"))
@@ -57,12 +63,14 @@ def _positions(items: str, max_len: int) -> Column:
 
 def encode_mlm(df: DataFrame, vocab: DataFrame, max_len: int = MLM_MAX_LEN, epoch: int = 0,
                seed: int = 0, max_age: int = MAX_AGE, mon: int = 1,
-               drop_kept: bool = False) -> DataFrame:
+               drop_kept: bool = False, code_col: str = "code",
+               age_col: str = "age") -> DataFrame:
     """Pre-training rows: masked token ids, and the true id at the masked positions.
 
-    `df` has one row per `patid` with the arrays `code` and `age`.
+    `df` has a code and an age array per `patid`, in one row or in parts.
     """
     facts = vocab_facts(vocab)
+    df = df.withColumnsRenamed({code_col: "code", age_col: "age"})
     rows = (tail_cls(df, max_len)
             .select("patid", F.inline(_code_items(with_source=False))))
     rows = join_vocab(rows, vocab, ["token"], facts)
@@ -85,11 +93,13 @@ def encode_mlm(df: DataFrame, vocab: DataFrame, max_len: int = MLM_MAX_LEN, epoc
 
 def encode_next_visit(df: DataFrame, vocab: DataFrame, label_vocab: DataFrame,
                       max_len: int = PREDICTION_MAX_LEN, max_age: int = MAX_AGE,
-                      mon: int = 1) -> DataFrame:
+                      mon: int = 1, code_col: str = "code", age_col: str = "age",
+                      label_col: str = "label") -> DataFrame:
     """Prediction rows: token ids, and the label ids in order, filled up with -1.
 
-    `df` has one row per `patid` with the arrays `code`, `age` and `label`.
+    `df` has one row per `patid` with a code, an age and a label array.
     """
+    df = df.withColumnsRenamed({code_col: "code", age_col: "age", label_col: "label"})
     facts = vocab_facts(vocab)
     label_facts = vocab_facts(label_vocab, "label_id")
     items = F.concat(_code_items(with_source=True), _label_items())

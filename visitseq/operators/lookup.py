@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from visitseq.constants import UNK
 from visitseq.operators.vocab import VocabFacts, vocab_facts
 
 # A vocabulary is broadcast up to this measured size.
@@ -33,15 +34,18 @@ def join_vocab(tokens: DataFrame, vocab: DataFrame, on: list[str],
 
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame, mask_token: str | None = None,
-                  token_col: str = "token", id_col: str = "token_id") -> DataFrame:
-    """Id per token row; an unknown token, or one equal to mask_token, becomes UNK."""
+                  token_col: str = "token", id_col: str = "token_id",
+                  unknown: bool = True) -> DataFrame:
+    """Id per token row; an unknown token, or one equal to mask_token, becomes UNK
+    (with unknown=False an unknown token becomes null)."""
     facts = vocab_facts(vocab, id_col)
     dim = vocab.select(F.col("token").alias(token_col), F.col(id_col))
     out = join_vocab(tokens, dim, [token_col], facts)
-    found = F.col(id_col)
+    unk = F.lit(facts.ids[UNK])
+    found = F.coalesce(F.col(id_col), unk) if unknown else F.col(id_col)
     if mask_token is not None:
-        found = F.when(F.col(token_col) != mask_token, found)
-    return out.withColumn(id_col, F.coalesce(found, F.lit(facts.ids["UNK"])).cast("bigint"))
+        found = F.when(F.col(token_col) == mask_token, unk).otherwise(found)
+    return out.withColumn(id_col, found.cast("bigint"))
 
 
 def encode_labels(labels: DataFrame, label_vocab: DataFrame, **kwargs) -> DataFrame:

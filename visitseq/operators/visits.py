@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from visitseq.constants import MIN_VISITS, SEP
 from visitseq.functions.ages import age_in_months
-from visitseq.functions.arrays import tail
+from visitseq.functions.arrays import count_token, tail
 
 TOKENS_PER_ROW = 1_000_000
 
@@ -117,6 +117,37 @@ def min_visits(visits: DataFrame, n: int = MIN_VISITS) -> DataFrame:
             .where(F.col("n_visits") >= n).drop("n_visits"))
 
 
+def min_visits_of_sequences(sequences: DataFrame, n: int = MIN_VISITS,
+                            code_col: str = "code") -> DataFrame:
+    """Stored sequences of the persons with at least n separators in all their parts."""
+    found = count_token(F.col(code_col))
+    if "part" not in sequences.columns:
+        return sequences.where(found >= n)
+    counted = sequences.withColumn("n_visits", F.sum(found).over(Window.partitionBy("patid")))
+    return counted.where(F.col("n_visits") >= n).drop("n_visits")
+
+
+def last_tokens(sequences: DataFrame, max_len: int) -> DataFrame:
+    """One row per person with the last max_len - 1 tokens of stored sequences.
+
+    Every part is cut before the shuffle, and parts that the end of the
+    sequence does not reach are dropped.
+    """
+    keep = max_len - 1
+    after = (Window.partitionBy("patid").orderBy(F.desc("part"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+    ends = sequences.select("patid", "part", F.size("code").alias("n"),
+                            tail(F.col("code"), keep).alias("code"),
+                            tail(F.col("age"), keep).alias("age"))
+    reached = (ends.withColumn("behind", F.coalesce(F.sum("n").over(after), F.lit(0)))
+               .where(F.col("behind") < keep))
+    joined = (reached.groupBy("patid")
+              .agg(F.sort_array(F.collect_list(F.struct("part", "code", "age"))).alias("parts"))
+              .select("patid", F.flatten("parts.code").alias("code"),
+                      F.flatten("parts.age").alias("age")))
+    return joined.withColumns({"code": tail(F.col("code"), keep), "age": tail(F.col("age"), keep)})
+
+
 def running_history(visits: DataFrame, max_len: int, cols=("code", "age")) -> DataFrame:
     """The history up to each visit, for visits whose arrays end in a separator.
 

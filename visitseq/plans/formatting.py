@@ -17,10 +17,12 @@ def format_sequences(diagnoses: DataFrame, demographic: DataFrame,
     """Events to visits to sequences with two shuffles of the event side.
 
     The first, by person and date, receives events already combined per task;
-    the second, by person, receives visits.
+    the second, by person, receives visits. The code array has the name of the
+    code column.
     """
     visits = build_visits(select_events(diagnoses, code_col))
-    return build_sequences(visits, unique_demographic(demographic))
+    rows = build_sequences(visits, unique_demographic(demographic))
+    return rows.withColumnRenamed("code", code_col)
 
 
 def visit_table(diagnoses: DataFrame, code_col: str = "code") -> DataFrame:

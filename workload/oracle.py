@@ -175,6 +175,12 @@ scored as (select split.patid sample_id, cast(w.label_id as bigint) label_id,
     on marks.patid = split.patid and marks.label_id = w.label_id where test)"""
 
 
+_MLM = f"""with {_BASE}, {_TAILS}, {_STARTED}, {_PADDED}, {_vocab('ev')}, {_MASK_DRAWS}
+select pads.patid, pads.pos, cast(case when mask = 0 then 0 else age + 2 end as bigint) age,
+  coalesce(output_id, 0) code, position, position % 2 segment, mask,
+  coalesce(masked.label, -1) as label
+from pads left join masked using (patid, pos)"""
+
 ORACLE = {
     "clean_events": f"""with {_EVENTS}
 select patid, cast(eventdate as varchar) eventdate, code from ev""",
@@ -256,11 +262,9 @@ select patid, pos, token from pads""",
     "random_mask": f"""with {_BASE}, {_TAILS}, {_STARTED}, {_vocab('ev')}, {_MASK_DRAWS}
 select * from masked""",
 
-    "encode_mlm": f"""with {_BASE}, {_TAILS}, {_STARTED}, {_PADDED}, {_vocab('ev')}, {_MASK_DRAWS}
-select pads.patid, pads.pos, cast(case when mask = 0 then 0 else age + 2 end as bigint) age,
-  coalesce(output_id, 0) code, position, position % 2 segment, mask,
-  coalesce(masked.label, -1) as label
-from pads left join masked using (patid, pos)""",
+    "encode_mlm": _MLM,
+
+    "format_then_encode": _MLM,
 
     "encode_next_visit": f"""with {_NEXT_ENCODED}
 {_ENCODED_CODE}, cast(coalesce(label_id, -1) as bigint) as label

@@ -216,6 +216,17 @@ def encode_mlm(spark, sf):
         tails, plans.visit_vocab(stored), MAX_LEN, epoch=1, seed=SEED))
 
 
+def format_then_encode(spark, sf):
+    """Sequences written as files, read again, filtered by visits and encoded."""
+    stored = _round_trip(
+        plans.format_sequences(tables.diagnoses(spark, sf), tables.demographic(spark, sf)),
+        sources.write_parquet, sources.read_parquet, "sequences")
+    words = vocab.build_vocab(stored.select(
+        F.explode(F.array_remove("code", "SEP")).alias("code")))
+    return encode.long_form(encode.encode_mlm(
+        visits.min_visits_of_sequences(stored), words, MAX_LEN, epoch=1, seed=SEED))
+
+
 def encode_next_visit(spark, sf):
     rows, words = _labelled_vocab(spark, sf)
     return encode.long_form(encode.encode_next_visit(
@@ -470,6 +481,7 @@ QUERIES = {
     "padded": padded,
     "random_mask": random_mask,
     "encode_mlm": encode_mlm,
+    "format_then_encode": format_then_encode,
     "encode_next_visit": encode_next_visit,
     "split_patients": split_patients,
     "label_next_visit": label_next_visit,
