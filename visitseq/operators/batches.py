@@ -6,8 +6,9 @@ from visitseq.constants import BATCH_SIZE
 from visitseq.functions.keyed import uniform
 from visitseq.operators.indexing import with_hash_index, with_row_index
 
-# Slices of an epoch that are sorted side by side.
-SLICES = 1024
+# Slices of an epoch that are sorted side by side; their offsets are a table of
+# as many rows.
+SLICES = 16_384
 
 
 def epoch_order(df: DataFrame, epoch: int, seed: int, key: str = "patid",

@@ -12,7 +12,7 @@ from visitseq.constants import MIN_VISITS, SEP
 from visitseq.functions.ages import age_in_months
 from visitseq.functions.arrays import count_token, tail
 
-TOKENS_PER_ROW = 1_000_000
+TOKENS_PER_ROW = 100_000
 
 
 def build_visits(events: DataFrame, code_col: str = "code") -> DataFrame:
