@@ -146,6 +146,29 @@ def test_stored_parts_and_other_column_names(spark, vocab):
     assert sorted(got.collect()) == want
 
 
+def test_several_rows_of_a_person(spark, vocab):
+    df = spark.createDataFrame(
+        [(1, 0, ["A", "SEP"], ["1"] * 2, ["B"]), (1, 1, ["B", "A", "SEP"], ["2"] * 3, ["A"])],
+        "patid long, sample int, code array<string>, age array<string>, label array<string>")
+    rows = encode.encode_next_visit(df, vocab, V.label_vocab(vocab), 5, key=("patid", "sample"))
+    assert {(r.patid, r["sample"]): (r.code, r.label[0]) for r in rows.collect()} == {
+        (1, 0): ([3, 5, 2, 0, 0], 2), (1, 1): ([3, 6, 5, 2, 0], 1)}
+    masked = encode.encode_mlm(df.drop("label"), vocab, 5, key=("patid", "sample"))
+    assert masked.count() == 2
+
+
+def test_masking_stored_rows_equals_masking_tokens(spark, vocab):
+    df = mlm_input(spark, 50)
+    facts = V.vocab_facts(vocab)
+    encoded = encode.encode_sequences(df, vocab, 64)
+    got = masking.mask_rows(encoded, facts, 64, epoch=4, seed=2)
+    tokens = encode.tail_cls(df, 64).select("patid", F.posexplode("code").alias("pos", "token"))
+    want = masking.random_mask(lookup.encode_tokens(tokens, vocab), facts, epoch=4, seed=2)
+    want = {(r.patid, r.pos): (r.output_id, r.label) for r in want.collect()}
+    for r in got.collect():
+        assert [(c, l) for c, l in zip(r.code, r.label)][:61] == [want[r.patid, i] for i in range(61)]
+
+
 def test_dropped_tokens_shorten_the_codes(spark, vocab):
     rows = encode.encode_mlm(mlm_input(spark, 50), vocab, 64, drop_kept=True).collect()
     assert any(r.code.count(0) > 3 for r in rows)

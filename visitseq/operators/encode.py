@@ -14,9 +14,9 @@ from visitseq.functions.ages import age_id
 from visitseq.functions.arrays import (
     add_cls, attention_mask, index_seg, pad, padded_tokens, position_idx, tail)
 from visitseq.operators.lookup import join_vocab
-from visitseq.operators.masking import random_mask
+from visitseq.operators.masking import mask_rows
 from visitseq.operators.visits import last_tokens
-from visitseq.operators.vocab import vocab_facts
+from visitseq.operators.vocab import VocabFacts, vocab_facts
 
 
 def tail_cls(df: DataFrame, max_len: int) -> DataFrame:
@@ -48,83 +48,95 @@ def _age_ids(max_age: int, mon: int) -> Column:
     return age_id(F.col("age"), max_age, mon).alias("age_id")
 
 
-def _token_list(*fields: str) -> Column:
+def _token_list() -> Column:
     """Token rows back to one array in sequence order."""
-    return F.sort_array(F.collect_list(F.struct("pos", "token", "age_id", *fields)))
+    return F.sort_array(F.collect_list(F.struct("pos", "token", "age_id", "id")))
 
 
 def _field(items: str, name: str) -> Column:
     return F.transform(F.col(items), lambda x: x[name])
 
 
-def _positions(items: str, max_len: int) -> Column:
-    return position_idx(padded_tokens(_field(items, "token"), max_len))
+def _arrays(people: DataFrame, key, facts: VocabFacts, max_len: int, *more: Column) -> DataFrame:
+    """The padded arrays of persons with their token `items`."""
+    zero = F.lit(0).cast("bigint")
+    rows = people.select(
+        *key,
+        pad(_field("items", "age_id"), max_len, zero).alias("age"),
+        pad(_field("items", "id"), max_len, F.lit(facts.ids[PAD]).cast("bigint")).alias("code"),
+        position_idx(padded_tokens(_field("items", "token"), max_len)).alias("position"),
+        attention_mask(F.col("items"), max_len).alias("mask"), *more)
+    first = [*key, "age", "code", "position"]
+    rest = [c for c in rows.columns if c not in first]
+    return rows.select(*first, index_seg(F.col("position")).alias("segment"), *rest)
+
+
+def _encode(df: DataFrame, vocab: DataFrame, facts: VocabFacts, max_len: int, max_age: int,
+            mon: int, key) -> DataFrame:
+    rows = tail_cls(df, max_len).select(*key, F.inline(_code_items(with_source=False)))
+    rows = join_vocab(rows, vocab, ["token"], facts)
+    rows = rows.select(
+        *key, "pos", "token", _age_ids(max_age, mon),
+        F.coalesce("token_id", F.lit(facts.ids[UNK])).cast("bigint").alias("id"))
+    items = rows.groupBy(*key).agg(_token_list().alias("items"))
+    return _arrays(items, key, facts, max_len)
+
+
+def encode_sequences(df: DataFrame, vocab: DataFrame, max_len: int = MLM_MAX_LEN,
+                     max_age: int = MAX_AGE, mon: int = 1, code_col: str = "code",
+                     age_col: str = "age", key=("patid",)) -> DataFrame:
+    """Rows of fixed length with the true token ids; masking them is `mask_rows`.
+
+    `df` has a code and an age array per person, in one row or in parts. Tables
+    with several rows per person need the columns that identify a row as `key`.
+    """
+    df = df.withColumnsRenamed({code_col: "code", age_col: "age"})
+    return _encode(df, vocab, vocab_facts(vocab), max_len, max_age, mon, key)
 
 
 def encode_mlm(df: DataFrame, vocab: DataFrame, max_len: int = MLM_MAX_LEN, epoch: int = 0,
                seed: int = 0, max_age: int = MAX_AGE, mon: int = 1,
-               drop_kept: bool = False, code_col: str = "code",
-               age_col: str = "age") -> DataFrame:
+               drop_kept: bool = False, code_col: str = "code", age_col: str = "age",
+               key=("patid",)) -> DataFrame:
     """Pre-training rows: masked token ids, and the true id at the masked positions.
 
-    `df` has a code and an age array per `patid`, in one row or in parts.
+    Takes what `encode_sequences` takes. Positions and segments are those of the
+    unmasked tokens.
     """
     facts = vocab_facts(vocab)
     df = df.withColumnsRenamed({code_col: "code", age_col: "age"})
-    rows = (tail_cls(df, max_len)
-            .select("patid", F.inline(_code_items(with_source=False))))
-    rows = join_vocab(rows, vocab, ["token"], facts)
-    rows = rows.select(
-        "patid", "pos", "token", _age_ids(max_age, mon),
-        F.coalesce("token_id", F.lit(facts.ids[UNK])).cast("bigint").alias("token_id"))
-    rows = random_mask(rows, facts, epoch=epoch, seed=seed, drop_kept=drop_kept)
-    items = rows.groupBy("patid").agg(_token_list("output_id", "label").alias("items"))
-    codes = F.filter(_field("items", "output_id"), lambda x: x.isNotNull())
-    out = items.select(
-        "patid",
-        pad(_field("items", "age_id"), max_len, F.lit(0).cast("bigint")).alias("age"),
-        pad(codes, max_len, F.lit(facts.ids[PAD]).cast("bigint")).alias("code"),
-        _positions("items", max_len).alias("position"),
-        attention_mask(F.col("items"), max_len).alias("mask"),
-        pad(_field("items", "label"), max_len, F.lit(IGNORED_LABEL).cast("bigint")).alias("label"))
-    return out.select("patid", "age", "code", "position",
-                      index_seg(F.col("position")).alias("segment"), "mask", "label")
+    encoded = _encode(df, vocab, facts, max_len, max_age, mon, key)
+    return mask_rows(encoded, facts, max_len, epoch, seed, drop_kept, key)
 
 
 def encode_next_visit(df: DataFrame, vocab: DataFrame, label_vocab: DataFrame,
                       max_len: int = PREDICTION_MAX_LEN, max_age: int = MAX_AGE,
                       mon: int = 1, code_col: str = "code", age_col: str = "age",
-                      label_col: str = "label") -> DataFrame:
+                      label_col: str = "label", key=("patid",)) -> DataFrame:
     """Prediction rows: token ids, and the label ids in order, filled up with -1.
 
-    `df` has one row per `patid` with a code, an age and a label array.
+    `df` has a code, an age and a label array per row, and `key` identifies a row.
     """
     df = df.withColumnsRenamed({code_col: "code", age_col: "age", label_col: "label"})
     facts = vocab_facts(vocab)
     label_facts = vocab_facts(label_vocab, "label_id")
     items = F.concat(_code_items(with_source=True), _label_items())
-    rows = tail_cls(df, max_len).select("patid", F.inline(items))
+    rows = tail_cls(df, max_len).select(*key, F.inline(items))
     both = (vocab.select(F.lit("code").alias("source"), "token", F.col("token_id").alias("id"))
             .unionByName(label_vocab.select(
                 F.lit("label").alias("source"), "token", F.col("label_id").alias("id"))))
     rows = join_vocab(rows, both, ["source", "token"], facts, label_facts)
     is_label = F.col("source") == "label"
     unknown = F.when(is_label, label_facts.ids[UNK]).otherwise(facts.ids[UNK])
-    rows = rows.select("patid", "source", "pos", "token", _age_ids(max_age, mon),
+    rows = rows.select(*key, "source", "pos", "token", _age_ids(max_age, mon),
                        F.coalesce("id", unknown).cast("bigint").alias("id"))
     token = F.struct("pos", "token", "age_id", "id")
-    people = rows.groupBy("patid").agg(
+    people = rows.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.when(~is_label, token))).alias("items"),
         F.sort_array(F.collect_list(F.when(is_label, F.col("id")))).alias("labels"))
-    out = people.select(
-        "patid",
-        pad(_field("items", "age_id"), max_len, F.lit(0).cast("bigint")).alias("age"),
-        pad(_field("items", "id"), max_len, F.lit(facts.ids[PAD]).cast("bigint")).alias("code"),
-        _positions("items", max_len).alias("position"),
-        attention_mask(F.col("items"), max_len).alias("mask"),
-        pad(F.col("labels"), max_len, F.lit(IGNORED_LABEL).cast("bigint")).alias("label"))
-    return out.select(F.col("patid").cast("bigint").alias("patid"), "age", "code", "position",
-                      index_seg(F.col("position")).alias("segment"), "mask", "label")
+    labels = pad(F.col("labels"), max_len, F.lit(IGNORED_LABEL).cast("bigint"))
+    return (_arrays(people, key, facts, max_len, labels.alias("label"))
+            .withColumn("patid", F.col("patid").cast("bigint")))
 
 
 def long_form(encoded: DataFrame, cols=("age", "code", "position", "segment", "mask", "label"),

@@ -1,12 +1,37 @@
-"""Random masking of token rows for pre-training."""
+"""Random masking for pre-training, of token rows or of whole encoded rows."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from visitseq.constants import IGNORED_LABEL, MASK, MASK_BELOW, RANDOM_BELOW, SELECT_SHARE
+from visitseq.constants import (
+    IGNORED_LABEL, MASK, MASK_BELOW, PAD, RANDOM_BELOW, SELECT_SHARE)
+from visitseq.functions.arrays import pad
 from visitseq.functions.keyed import uniform
 from visitseq.operators.vocab import VocabFacts
 
 
+def _big(value) -> Column:
+    return F.lit(value).cast("bigint")
+
+
+def _output(token_id: Column, u: Column, random_id: Column, facts: VocabFacts,
+            drop_kept: bool) -> Column:
+    """What the model reads. The random id stands in a branch, so that the second
+    draw is only made for the few tokens that need it."""
+    kept = _big(None) if drop_kept else token_id
+    return (F.when(u < MASK_BELOW, _big(facts.ids[MASK]))
+            .when(u < RANDOM_BELOW, random_id)
+            .when(u < SELECT_SHARE, kept)
+            .otherwise(token_id))
+
+
+def _label(token_id: Column, u: Column) -> Column:
+    return F.when(u < SELECT_SHARE, token_id).otherwise(_big(IGNORED_LABEL))
+
+
+def _random_id(key, epoch: int, seed: int, facts: VocabFacts) -> Column:
+    return F.floor(uniform(*key, epoch, seed, draw=1) * facts.size).cast("bigint")
+
+
 def random_mask(tokens: DataFrame, facts: VocabFacts, key=("patid", "pos"), epoch: int = 0,
                 seed: int = 0, drop_kept: bool = False) -> DataFrame:
     """Adds `output_id` and `label` to rows with a `token_id`.
@@ -18,13 +43,28 @@ def random_mask(tokens: DataFrame, facts: VocabFacts, key=("patid", "pos"), epoc
     """
     keys = [F.col(k) for k in key]
     drawn = tokens.withColumn("_u", uniform(*keys, epoch, seed))
-    # Inside the branch, so that the second draw is made for few rows only.
-    random_id = F.floor(uniform(*keys, epoch, seed, draw=1) * facts.size).cast("bigint")
-    kept = F.lit(None).cast("bigint") if drop_kept else F.col("token_id")
-    output = (F.when(F.col("_u") < MASK_BELOW, F.lit(facts.ids[MASK]).cast("bigint"))
-              .when(F.col("_u") < RANDOM_BELOW, random_id)
-              .when(F.col("_u") < SELECT_SHARE, kept)
-              .otherwise(F.col("token_id")))
-    label = (F.when(F.col("_u") < SELECT_SHARE, F.col("token_id"))
-             .otherwise(F.lit(IGNORED_LABEL)).cast("bigint"))
-    return drawn.withColumns({"output_id": output, "label": label}).drop("_u")
+    output = _output(F.col("token_id"), F.col("_u"), _random_id(keys, epoch, seed, facts),
+                     facts, drop_kept)
+    return drawn.withColumns({
+        "output_id": output, "label": _label(F.col("token_id"), F.col("_u"))}).drop("_u")
+
+
+def mask_rows(encoded: DataFrame, facts: VocabFacts, max_len: int, epoch: int = 0,
+              seed: int = 0, drop_kept: bool = False, key=("patid",)) -> DataFrame:
+    """Masks the `code` arrays of encoded rows and adds their `label` arrays.
+
+    Row-local, with the same draws as `random_mask`: an encoded table is stored
+    once and every epoch is a map over it.
+    """
+    keys = [F.col(k) for k in key]
+    real = F.slice("code", 1, F.size(F.filter("mask", lambda m: m == 1)))
+    drawn = encoded.withColumn("_drawn", F.transform(real, lambda t, i: F.struct(
+        t.alias("id"), i.alias("pos"), uniform(*keys, i, epoch, seed).alias("u"))))
+    outputs = F.transform("_drawn", lambda x: _output(
+        x["id"], x["u"], _random_id([*keys, x["pos"]], epoch, seed, facts), facts, drop_kept))
+    if drop_kept:
+        outputs = F.filter(outputs, lambda x: x.isNotNull())
+    labels = F.transform("_drawn", lambda x: _label(x["id"], x["u"]))
+    return drawn.withColumns({
+        "code": pad(outputs, max_len, _big(facts.ids[PAD])),
+        "label": pad(labels, max_len, _big(IGNORED_LABEL))}).drop("_drawn")

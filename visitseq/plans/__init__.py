@@ -1,7 +1,7 @@
 from visitseq.plans.formatting import (
     clean_events, format_sequences, people_table, visit_table, visit_vocab)
 from visitseq.plans.prediction import labelled_rows, prediction_table
-from visitseq.plans.pretraining import pretraining_table
+from visitseq.plans.pretraining import encoded_table, pretraining_table
 
-__all__ = ["clean_events", "format_sequences", "labelled_rows", "people_table",
+__all__ = ["clean_events", "encoded_table", "format_sequences", "labelled_rows", "people_table",
            "prediction_table", "pretraining_table", "visit_table", "visit_vocab"]

@@ -395,9 +395,9 @@ def score_batches(spark, sf):
 
 def pretraining_table(spark, sf):
     stored = _stored(spark, sf)
-    rows = plans.pretraining_table(
-        stored, tables.demographic(spark, sf), plans.visit_vocab(stored),
-        max_len=MAX_LEN, epoch=1, seed=SEED, batch_size=BATCH)
+    words = plans.visit_vocab(stored)
+    encoded = plans.encoded_table(stored, tables.demographic(spark, sf), words, MAX_LEN)
+    rows = plans.pretraining_table(encoded, words, MAX_LEN, epoch=1, seed=SEED, batch_size=BATCH)
     return rows.select("patid", "batch_id", F.inline(F.arrays_zip("code", "label"))).groupBy(
         "patid", "batch_id").agg(F.sum("code").alias("code_sum"), F.sum("label").alias("label_sum"))
 
