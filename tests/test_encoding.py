@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitseq.functions import age_id, attention_mask, index_seg, pad, position_idx, tail
+from visitseq.functions.keyed import below, draw_hex, uniform
 from visitseq.operators import encode, lookup, masking, vocab as V
 
 
@@ -92,8 +93,9 @@ def test_array_functions(spark):
 
 
 def test_masking_by_given_draws(spark, vocab, monkeypatch):
-    monkeypatch.setattr(masking, "uniform",
-                        lambda *key, draw=0: F.col("u") if draw == 0 else F.lit(0.9))
+    digits = F.lpad(F.lower(F.hex((F.col("u") * 2 ** 32).cast("bigint"))), 8, "0")
+    monkeypatch.setattr(masking, "draw_hex", lambda *key: digits)
+    monkeypatch.setattr(masking, "uniform", lambda *key, draw: F.lit(0.9))
     rows = spark.createDataFrame([(1, 0, 5, 0.05), (1, 1, 6, 0.125), (1, 2, 5, 0.14),
                                   (1, 3, 6, 0.5)], "patid long, pos int, token_id long, u double")
     facts = V.vocab_facts(vocab)
@@ -104,6 +106,14 @@ def test_masking_by_given_draws(spark, vocab, monkeypatch):
     assert [r.output_id for r in dropped] == [4, 6, None, 6]
 
 
+def test_share_of_hex_draws(spark):
+    draws = spark.range(20000).select(draw_hex(F.col("id")).alias("h"), uniform(F.col("id")).alias("u"))
+    for share in (0.0, 0.12, 0.135, 0.15, 0.5, 0.999):
+        assert draws.where(below(F.col("h"), share) != (F.col("u") < share)).count() == 0
+    edge = spark.createDataFrame([("7fffffff",), ("80000000",)], "h string")
+    assert [r[0] for r in edge.select(below(F.col("h"), 0.5)).collect()] == [True, False]
+
+
 def mlm_input(spark, n=400):
     return spark.createDataFrame(
         [(p, ["A", "B", "SEP"] * 20, ["600"] * 60) for p in range(n)],

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from visitseq.constants import (
     IGNORED_LABEL, MASK, MASK_BELOW, PAD, RANDOM_BELOW, SELECT_SHARE)
 from visitseq.functions.arrays import pad
-from visitseq.functions.keyed import uniform
+from visitseq.functions.keyed import below, draw_hex, uniform
 from visitseq.operators.vocab import VocabFacts
 
 
@@ -13,19 +13,19 @@ def _big(value) -> Column:
     return F.lit(value).cast("bigint")
 
 
-def _output(token_id: Column, u: Column, random_id: Column, facts: VocabFacts,
+def _output(token_id: Column, drawn: Column, random_id: Column, facts: VocabFacts,
             drop_kept: bool) -> Column:
     """What the model reads. The random id stands in a branch, so that the second
     draw is only made for the few tokens that need it."""
     kept = _big(None) if drop_kept else token_id
-    return (F.when(u < MASK_BELOW, _big(facts.ids[MASK]))
-            .when(u < RANDOM_BELOW, random_id)
-            .when(u < SELECT_SHARE, kept)
+    return (F.when(below(drawn, MASK_BELOW), _big(facts.ids[MASK]))
+            .when(below(drawn, RANDOM_BELOW), random_id)
+            .when(below(drawn, SELECT_SHARE), kept)
             .otherwise(token_id))
 
 
-def _label(token_id: Column, u: Column) -> Column:
-    return F.when(u < SELECT_SHARE, token_id).otherwise(_big(IGNORED_LABEL))
+def _label(token_id: Column, drawn: Column) -> Column:
+    return F.when(below(drawn, SELECT_SHARE), token_id).otherwise(_big(IGNORED_LABEL))
 
 
 def _random_id(key, epoch: int, seed: int, facts: VocabFacts) -> Column:
@@ -42,11 +42,11 @@ def random_mask(tokens: DataFrame, facts: VocabFacts, key=("patid", "pos"), epoc
     such tokens were left out.
     """
     keys = [F.col(k) for k in key]
-    drawn = tokens.withColumn("_u", uniform(*keys, epoch, seed))
-    output = _output(F.col("token_id"), F.col("_u"), _random_id(keys, epoch, seed, facts),
+    drawn = tokens.withColumn("_draw", draw_hex(*keys, epoch, seed))
+    output = _output(F.col("token_id"), F.col("_draw"), _random_id(keys, epoch, seed, facts),
                      facts, drop_kept)
     return drawn.withColumns({
-        "output_id": output, "label": _label(F.col("token_id"), F.col("_u"))}).drop("_u")
+        "output_id": output, "label": _label(F.col("token_id"), F.col("_draw"))}).drop("_draw")
 
 
 def mask_rows(encoded: DataFrame, facts: VocabFacts, max_len: int, epoch: int = 0,
@@ -59,12 +59,12 @@ def mask_rows(encoded: DataFrame, facts: VocabFacts, max_len: int, epoch: int =
     keys = [F.col(k) for k in key]
     real = F.slice("code", 1, F.size(F.filter("mask", lambda m: m == 1)))
     drawn = encoded.withColumn("_drawn", F.transform(real, lambda t, i: F.struct(
-        t.alias("id"), i.alias("pos"), uniform(*keys, i, epoch, seed).alias("u"))))
+        t.alias("id"), i.alias("pos"), draw_hex(*keys, i, epoch, seed).alias("draw"))))
     outputs = F.transform("_drawn", lambda x: _output(
-        x["id"], x["u"], _random_id([*keys, x["pos"]], epoch, seed, facts), facts, drop_kept))
+        x["id"], x["draw"], _random_id([*keys, x["pos"]], epoch, seed, facts), facts, drop_kept))
     if drop_kept:
         outputs = F.filter(outputs, lambda x: x.isNotNull())
-    labels = F.transform("_drawn", lambda x: _label(x["id"], x["u"]))
+    labels = F.transform("_drawn", lambda x: _label(x["id"], x["draw"]))
     return drawn.withColumns({
         "code": pad(outputs, max_len, _big(facts.ids[PAD])),
         "label": pad(labels, max_len, _big(IGNORED_LABEL))}).drop("_drawn")
