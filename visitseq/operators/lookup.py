@@ -23,7 +23,8 @@ def join_vocab(tokens: DataFrame, vocab: DataFrame, on: list[str],
     A small one is broadcast. A larger one is joined by a shuffle on token and
     salt, the vocabulary once per salt, so that a token that makes up a third
     of the rows is spread over many tasks. The salt is a hash of the other
-    columns and so the same in a retry.
+    columns and so the same in a retry; copies of a row share it, so join
+    distinct rows.
     """
     if fits_broadcast(sum(f.size for f in facts), sum(f.n_bytes for f in facts)):
         return tokens.join(F.broadcast(vocab), on, "left")

@@ -151,9 +151,11 @@ _BATCH_LOSSES = """steps as (select cast(l_linenumber as bigint) epoch, l_orderk
 _EPOCH_LOSSES = """sums as (select epoch, sum(loss) loss, sum(examples) examples,
   count(*) steps from steps group by 1)"""
 
-_SEQUENCES = """select patid, cast(floor(0) as bigint) part,
+# A row takes the visits that start in the same hundred thousand tokens.
+_SEQUENCES = """select patid, part,
   string_agg(token, ' ' order by pos) code, string_agg(cast(age as varchar), ' ' order by pos) age
-from tok group by patid"""
+from (select *, min(pos) over (partition by patid, eventdate) // 100000 part from tok)
+group by patid, part"""
 
 # Scores by counting: distinct history labels and next labels of each person.
 _SCORES = f"""split as (select patid, {_draw(f"patid || '|split|{SEED}'")} < 0.2 test from held),

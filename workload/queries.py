@@ -78,7 +78,7 @@ def events_with_age(spark, sf):
 
 
 def demographic_conflicts(spark, sf):
-    """Customers per order clerk priority: several years of birth for one person."""
+    """Customers with the years of their orders as years of birth: most conflict."""
     twice = tables.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("patid"), F.year("o_orderdate").alias("yob"))
     return events.demographic_conflicts(twice)
