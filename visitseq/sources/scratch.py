@@ -1,37 +1,41 @@
 """Shared working folder for tables that cut the lineage of a job."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or that of setCheckpointDir().
 
-def _root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local folder only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.conf.get("spark.master").startswith("local"):
+    The library never chooses a folder: every executor and the driver must see it, and
+    only the caller knows such a place.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.conf.get("spark.app.id")
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="visitseq-")
-    return _local_roots[app]
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
     """A path nobody has used yet."""
-    return f"{_root(spark).rstrip('/')}/visitseq-{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/visitseq-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Write the rows once and go on from the written table.
 
     Values that depend on the partitioning are fixed by this, a lost executor
     costs a re-read and not the job, and later column pruning still works.
+    ``path`` (from ``scratch_path``) lets the caller remove the table with ``drop_table``.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``scratch_path`` that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
