@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitseq.llm import decontaminate
+from visitseq.llm import decontaminate, idfiles
+from visitseq.sources import scratch_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,6 +17,13 @@ def op4_decontaminate(spark, sf):
                         "contaminated")
 
 
+def op6_id_files(spark, sf):
+    path = scratch_path(spark, "id-files")
+    idfiles.write_ids(table(spark, sf, "documents"), path)
+    return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
+    "op6_id_files": op6_id_files,
 }
