@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitseq.llm import decontaminate, idfiles
+from visitseq.llm import decontaminate, idfiles, packing
 from visitseq.sources import scratch_path
 
 
@@ -23,7 +23,13 @@ def op6_id_files(spark, sf):
     return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_pack(spark, sf):
+    return packing.pack(table(spark, sf, "documents")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op6_id_files": op6_id_files,
+    "op10_pack": op10_pack,
 }
