@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitseq.llm import decontaminate, idfiles, packing
+from visitseq.llm import decontaminate, idfiles, packing, similarity
 from visitseq.sources import scratch_path
 
 
@@ -23,6 +23,10 @@ def op6_id_files(spark, sf):
     return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_similar(spark, sf):
+    return similarity.similar(table(spark, sf, "documents"))
+
+
 def op10_pack(spark, sf):
     return packing.pack(table(spark, sf, "documents")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -31,5 +35,6 @@ def op10_pack(spark, sf):
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op6_id_files": op6_id_files,
+    "op9_similar": op9_similar,
     "op10_pack": op10_pack,
 }
