@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitseq.llm import decontaminate, idfiles, packing, similarity
+from visitseq.llm import decontaminate, idfiles, packing, quality, similarity
 from visitseq.sources import scratch_path
 
 
@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op3_quality(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.learn(docs, labels.filter(~quality.held_out()))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_decontaminate(spark, sf):
     found = decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -33,6 +41,7 @@ def op10_pack(spark, sf):
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op6_id_files": op6_id_files,
     "op9_similar": op9_similar,
