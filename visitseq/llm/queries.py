@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitseq.llm import decontaminate, idfiles, packing, quality, similarity
+from visitseq.llm import decontaminate, idfiles, packing, quality, secrets, similarity
 from visitseq.sources import scratch_path
 
 
@@ -25,6 +25,18 @@ def op4_decontaminate(spark, sf):
                         "contaminated")
 
 
+def op5_secrets(spark, sf):
+    found = secrets.find_secrets(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+
+    def count(rank):
+        return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+
+    counts = [count(rank).alias(f"n_{kind}") for rank, (kind, *_) in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.as_text(base), 256).alias("base_sha256"),
+                        secrets.as_text(F.col("spans")).alias("spans"))
+
+
 def op6_id_files(spark, sf):
     path = scratch_path(spark, "id-files")
     idfiles.write_ids(table(spark, sf, "documents"), path)
@@ -43,6 +55,7 @@ def op10_pack(spark, sf):
 QUERIES = {
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_secrets": op5_secrets,
     "op6_id_files": op6_id_files,
     "op9_similar": op9_similar,
     "op10_pack": op10_pack,
