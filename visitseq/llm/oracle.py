@@ -26,3 +26,22 @@ select doc_id, len(w) as n_words, coalesce(m.n, 0) as n_hit, coalesce(i.n, 0) as
        sha256(coalesce(i.ids, '')) as items_sha256, coalesce(m.n, 0) > 0 as contaminated
 from docs left join marked m using (r) left join listed i using (r)
 """
+
+_ESCAPE = r"regexp_replace({}, '([<\[])(\\*)(/?(?:s>|INST\]|ROLE\]))', '\1\\\2\3', 'g')"
+
+ORACLE["op2_chat"] = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text))
+         as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text)
+                       filter (role = 'assistant'), '')) as loss_sha256,
+       (3 + sum(length({_ESCAPE.format('text')}) + case role when 'user' then 15
+                when 'assistant' then 4 else 17 + length({_ESCAPE.format('role')}) end))::bigint
+         as formatted_chars
+from turns group by conv_id
+"""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitseq.llm import decontaminate, idfiles, packing, quality, secrets, similarity
+from visitseq.llm import chat, decontaminate, idfiles, packing, quality, secrets, similarity
 from visitseq.sources import scratch_path
 
 
@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_chat(spark, sf):
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
+
+
 def op3_quality(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     model = quality.learn(docs, labels.filter(~quality.held_out()))
@@ -53,6 +61,7 @@ def op10_pack(spark, sf):
 
 
 QUERIES = {
+    "op2_chat": op2_chat,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
