@@ -35,46 +35,56 @@ _FIRST = -(1 << 63)
 
 
 def token_rows(docs: DataFrame, name: str = tokens.WORD_BPE) -> DataFrame:
-    """doc_id, tie, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+    """doc_id, tie, n_tokens, ids (little-endian unsigned integers, see ``id_type``)."""
+    kind = id_type(name)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(name)
         for batch in batches:
-            for first, part in chunks(batch.column("text")):
+            for first, part in chunks(batch.column("text"), tokens.CHUNK_BYTES):
                 ids, ends = encoder.encode(part)
-                data = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(part),
-                    [None, pa.py_buffer(4 * ends), pa.py_buffer(ids.astype("<u4"))])
                 rows = slice(first, first + len(part))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[rows], batch.column("tie")[rows],
-                     pa.array(np.diff(ends), pa.int64()), data.cast(pa.binary())],
+                     pa.array(np.diff(ends), pa.int64()), binary_ids(ids, ends, kind)],
                     ["doc_id", "tie", "n_tokens", "ids"])
     kept = docs.select(F.col("doc_id").cast("long"), F.pmod(F.xxhash64("text"), F.lit(ordering.TIES))
                        .cast("int").alias("tie"), "text")
     return kept.mapInArrow(scan, "doc_id long, tie int, n_tokens long, ids binary")
 
 
-def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a binary column and the n + 1 offsets of its rows."""
-    data, offsets = _bytes_of(column)
-    return np.frombuffer(data, "<u4"), offsets // 4
+def id_type(name: str) -> np.dtype:
+    """Two bytes an id while tables are on their way, if the vocabulary allows it."""
+    return np.dtype("<u2" if tokens.encoder(name).size <= 1 << 16 else "<u4")
+
 
+def binary_ids(ids: np.ndarray, ends: np.ndarray, kind: np.dtype) -> pa.Array:
+    """A binary column: the ids of each row."""
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(ends) - 1,
+        [None, pa.py_buffer(kind.itemsize * ends), pa.py_buffer(ids.astype(kind))]
+    ).cast(pa.binary())
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+
+def flat_ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column and the n + 1 offsets of its rows."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[
         column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+    ids = np.frombuffer(data[offsets[0]:offsets[-1]], kind)
+    return ids, (offsets - offsets[0]) // kind.itemsize
 
 
-def id_counts(rows: DataFrame, size: int) -> DataFrame:
+def id_counts(rows: DataFrame, name: str) -> DataFrame:
     """token_id, n over all documents; a task adds up its own counts first."""
+    size, kind = tokens.encoder(name).size, id_type(name)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in _batches_by_bytes(batches, "ids", 4 << 20):
-            total += np.bincount(flat_ids(batch.column("ids"))[0], minlength=size)
+        for batch in by_bytes(batches, "ids", 4 << 20):
+            total += np.bincount(flat_ids(batch.column("ids"), kind)[0], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])],
                                          ["token_id", "n"])
@@ -82,7 +92,7 @@ def id_counts(rows: DataFrame, size: int) -> DataFrame:
             .groupBy("token_id").agg(F.sum("n").alias("n")))
 
 
-def _batches_by_bytes(rows: Iterator[pa.RecordBatch], column: str, most: int
+def by_bytes(rows: Iterator[pa.RecordBatch], column: str, most: int
                       ) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes in a binary column, at least one row each."""
     for batch in rows:
@@ -104,8 +114,8 @@ def write_ids(docs: DataFrame, path: str, name: str = tokens.WORD_BPE, limit: in
      .write.option("compression", "zstd").parquet(stored_at))
     stored = spark.read.parquet(stored_at)
 
-    size = tokens.encoder(name).tokenizer.get_vocab_size()
-    counts = id_counts(stored, size).orderBy("token_id").toPandas()  # at most `size` rows
+    size = tokens.encoder(name).size
+    counts = id_counts(stored, name).orderBy("token_id").toPandas()  # at most `size` rows
     symbols = counts["token_id"].to_numpy(np.int64)
     lengths = huffman.code_lengths(counts["n"].to_numpy(np.int64), limit)
     spark.createDataFrame(pa.table({"token_id": pa.array(symbols, pa.int32()),
@@ -116,11 +126,12 @@ def write_ids(docs: DataFrame, path: str, name: str = tokens.WORD_BPE, limit: in
     slot[symbols] = np.arange(len(symbols))
     parts = max(1, -(-int(counts["n"].sum()) // ids_per_part))
     book = spark.sparkContext.broadcast(
-        (slot, lengths, huffman.canonical(lengths), ordering.bounds_of(stored, "doc_id", parts)))
+        (slot, lengths, huffman.canonical(lengths), ordering.bounds_of(stored, "doc_id", parts),
+         id_type(name)))
     coded = stored.mapInArrow(lambda b: _code(b, book.value),
                               "part int, doc_id long, tie int, n_tokens int, "
                               "at array<int>, payload binary")
-    (coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "tie", "payload")
+    (coded.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "tie", "payload")
      .mapInArrow(_blocks, "part int, block int, n_ids long, doc_id array<long>, "
                  "n_tokens array<int>, at array<int>, payload binary")
      .write.option("compression", "none").parquet(f"{path}/blocks"))
@@ -129,9 +140,9 @@ def write_ids(docs: DataFrame, path: str, name: str = tokens.WORD_BPE, limit: in
 
 def _code(batches: Iterator[pa.RecordBatch], book) -> Iterator[pa.RecordBatch]:
     """Each document as bits, with the bit position of every LANE-th id."""
-    slot, lengths, codes, bounds = book
-    for batch in _batches_by_bytes(batches, "ids", 4 << 20):
-        ids, offsets = flat_ids(batch.column("ids"))
+    slot, lengths, codes, bounds, kind = book
+    for batch in by_bytes(batches, "ids", 4 << 20):
+        ids, offsets = flat_ids(batch.column("ids"), kind)
         bits, starts, at = huffman.encode(slot[ids], offsets, lengths, codes)
         count = np.diff(offsets)
         lanes = -(-count // LANE)
@@ -212,12 +223,10 @@ def _decode(batches: Iterator[pa.RecordBatch], code, limit: int) -> Iterator[pa.
             sizes[np.cumsum(lanes) - 1] = count - LANE * (lanes - 1)
             ids = symbols[huffman.decode(get["payload"].as_py(), at, sizes, table, limit)]
             ends = np.concatenate([[0], np.cumsum(count)])
-            data = ids.astype("<u4")
+            data = ids.astype("<u4")  # outside the files an id has four bytes
             crc = [crc32(data[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             start = parts[get["part"].as_py()] + get["before"].as_py() + ends[:-1]
-            binary = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(doc), [None, pa.py_buffer(4 * ends), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, mask=doc == _FIRST), pa.array(start, pa.int64()), pa.array(count),
-                 pa.array(crc, pa.int64()), binary.cast(pa.binary())],
+                 pa.array(crc, pa.int64()), binary_ids(ids, ends, np.dtype("<u4"))],
                 ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from visitseq.llm import ordering, tokens
-from visitseq.llm.idfiles import flat_ids
+from visitseq.llm.idfiles import binary_ids, flat_ids, id_type
 from visitseq.llm.textbytes import chunks, mix
 from visitseq.sources.scratch import scratch_path
 
@@ -75,20 +75,17 @@ def coordinates(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def located_rows(docs: DataFrame, name: str) -> DataFrame:
     """doc_id, tie, n_tokens, ids and the coordinates of every document."""
-    dtype = docs.schema["doc_id"].dataType.simpleString()
+    dtype, kind = docs.schema["doc_id"].dataType.simpleString(), id_type(name)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(name)
         for batch in batches:
-            for first, part in chunks(batch.column("text")):
+            for first, part in chunks(batch.column("text"), tokens.CHUNK_BYTES):
                 ids, ends = encoder.encode(part)
-                data = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(part),
-                    [None, pa.py_buffer(4 * ends), pa.py_buffer(ids.astype("<u4"))])
                 rows = slice(first, first + len(part))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[rows], batch.column("tie")[rows],
-                     pa.array(np.diff(ends), pa.int64()), data.cast(pa.binary()),
+                     pa.array(np.diff(ends), pa.int64()), binary_ids(ids, ends, kind),
                      *map(pa.array, coordinates(ids, ends).T)],
                     ["doc_id", "tie", "n_tokens", "ids", *_AXES])
     kept = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ordering.TIES))
@@ -136,7 +133,7 @@ def pack(docs: DataFrame, name: str = tokens.WORD_BPE, capacity: int = CAPACITY,
          ids_per_bucket: int = IDS_PER_BUCKET) -> DataFrame:
     """One row a piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32, ids."""
     spark = docs.sparkSession
-    dtype = docs.schema["doc_id"].dataType.simpleString()
+    dtype, kind = docs.schema["doc_id"].dataType.simpleString(), id_type(name)
     stored_at = scratch_path(spark, "located")
     located_rows(docs, name).write.option("compression", "zstd").parquet(stored_at)
     stored = spark.read.parquet(stored_at)
@@ -185,10 +182,10 @@ def pack(docs: DataFrame, name: str = tokens.WORD_BPE, capacity: int = CAPACITY,
                     bucket, position = own[a], before[own[a]]
                 starts[a:b] = position + np.cumsum(sizes[a:b]) - sizes[a:b]
                 position += int(sizes[a:b].sum())
-            ids, offsets = flat_ids(batch.column("ids"))
+            ids, offsets = flat_ids(batch.column("ids"), kind)
             row, start, length, sequence, offset = cut(starts, sizes, full, tail, capacity)
             first = offsets[row] + start
-            parts = [ids[a:b].tobytes() for a, b in zip(first, first + length)]
+            parts = [ids[a:b].astype("<u4").tobytes() for a, b in zip(first, first + length)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length),
                  pa.array(sizes[row]), pa.array(sequence), pa.array(offset),
@@ -198,6 +195,6 @@ def pack(docs: DataFrame, name: str = tokens.WORD_BPE, capacity: int = CAPACITY,
 
     return (stored.select(*_AXES, "tie", "doc_id", "n_tokens", "ids")
             .mapInArrow(placed, f"{head}, ids binary")
-            .repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", "tie", "doc_id")
+            .repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "key", "tie", "doc_id")
             .mapInArrow(pieces, f"doc_id {dtype}, start long, length long, doc_tokens long, "
                         "sequence_id long, offset long, ids_crc32 long, ids binary"))

@@ -12,7 +12,9 @@ which costs time and changes nothing.
 """
 
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -24,6 +26,7 @@ from visitseq.llm.textbytes import text_bytes
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
 KNOWN_PIECES = 400_000
+CHUNK_BYTES = 2 << 20
 _MARK = "\x01"  # one id of its own between pieces that are encoded together
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -34,6 +37,19 @@ _STOPS[list(b".,;:!?")] = True
 _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
 
+_LATIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter byte-level models use for each byte: itself where it prints, else the next
+    free one from U+0100 on (the public rule of byte-level BPE)."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
+
+
+_AS_LETTERS = dict(enumerate(_byte_letters()))
+
 
 def vocabulary_path(name: str = WORD_BPE) -> str:
     """Where the installed package keeps a vocabulary; the same on driver and executors."""
@@ -47,6 +63,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
+        self.size = self.tokenizer.get_vocab_size()
         self.by_piece = getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>"
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -59,23 +76,25 @@ class Encoder:
 
     def _forget(self):
         """Keep the pieces that were seen in several chunks."""
-        kept = [(p, s) for p, s in self.slots.items() if self.seen[s] > 1]
-        if 2 * len(kept) > self.known:
-            kept = []
-        slot = np.array([s for _, s in kept], np.int64)
-        ids = [self.flat[self.begins[s]:self.begins[s] + self.sizes[s]] for s in slot]
-        self.slots = {p: i for i, (p, _) in enumerate(kept)}
-        self.sizes, self.seen = self.sizes[slot], self.seen[slot] // 2
+        stays = self.seen > 1
+        if 2 * stays.sum() > self.known:
+            stays[:] = False
+        kept = np.flatnonzero(stays)
+        pieces = list(self.slots)  # in the order of their slots
+        self.slots = {pieces[s]: i for i, s in enumerate(kept)}
+        source = np.repeat(stays, self.sizes)  # ids lie in the order of the slots, too
+        self.flat, self.sizes, self.seen = self.flat[source], self.sizes[kept], self.seen[kept] // 2
         self.begins = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate([np.zeros(0, np.uint32), *ids])
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of new pieces: letters straight from the model, others joined by the mark."""
+        """Ids of new pieces: Latin words straight from the model, others joined by the mark."""
         out: list = [None] * len(pieces)
-        rest = []
+        rest, model = [], self.tokenizer.model
         for i, piece in enumerate(pieces):
-            if piece.isascii() and piece.isalpha():
-                out[i] = [t.id for t in self.tokenizer.model.tokenize(piece)]
+            if _LATIN.fullmatch(piece):  # one pre-token; its normal form is its lower case
+                if not piece.isascii():
+                    piece = piece.lower().encode().decode("latin-1").translate(_AS_LETTERS)
+                out[i] = [t.id for t in model.tokenize(piece)]
             elif self.mark is None or _MARK in piece:
                 out[i] = self.tokenizer.encode(piece, add_special_tokens=False).ids
             else:
@@ -84,10 +103,11 @@ class Encoder:
         texts = [f" {_MARK} ".join(pieces[i] for i in group) for group in groups]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(
                 texts, add_special_tokens=False)):
-            ids = np.array(found.ids + [self.mark])
-            ends = np.flatnonzero(ids == self.mark)
-            for i, first, last in zip(group, np.concatenate([[0], ends[:-1] + 1]), ends):
+            ids, first = found.ids + [self.mark], 0
+            for i in group:
+                last = ids.index(self.mark, first)
                 out[i] = ids[first:last]
+                first = last + 1
         return out
 
     def _learn(self, pieces: list[str]):
@@ -98,7 +118,8 @@ class Encoder:
         self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.seen = np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
-        self.flat = np.concatenate([self.flat, *[np.asarray(i, np.uint32) for i in ids if len(i)]])
+        self.flat = np.concatenate([self.flat, np.fromiter(
+            chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
     def _by_piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = _FOLD[data]
@@ -110,13 +131,15 @@ class Encoder:
         pieces = pc.split_pattern(texts, " ")
         row_ends = pieces.offsets.to_numpy()[1:]
         coded = pc.dictionary_encode(pieces.flatten())
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.slots) + len(distinct) > self.known:
             self._forget()
-        new = [p for p in distinct if p not in self.slots]
-        if new:
-            self._learn(new)
-        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))
+        known = self.slots.get
+        slots = np.array([known(p, -1) for p in distinct], np.int64)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            slots[new] = len(self.slots) + np.arange(len(new))
+            self._learn([distinct[i] for i in new])
         self.seen[slots] += 1
         slot = slots[coded.indices.to_numpy()]
         sizes = self.sizes[slot]
