@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitseq.llm import chat, decontaminate, idfiles, packing, quality, secrets, similarity
+from visitseq.llm import chat, decontaminate, idfiles, neighbours, packing, quality, secrets, similarity
 from visitseq.sources import scratch_path
 
 
@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_nearest(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding",
+                              F.col("vec_id") % 50 == 0)
+
+
 def op2_chat(spark, sf):
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)],
@@ -61,6 +66,7 @@ def op10_pack(spark, sf):
 
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_chat": op2_chat,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
