@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from visitseq.llm import ordering, tokens
-from visitseq.llm.idfiles import binary_ids, flat_ids, id_type
+from visitseq.llm.idfiles import binary_ids, by_bytes, flat_ids, id_type
 from visitseq.llm.textbytes import chunks, mix
 from visitseq.sources.scratch import scratch_path
 
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, name: str = tokens.WORD_BPE, capacity: int = CAPACITY,
 
     def pieces(batches):
         bucket = position = None
-        for batch in batches:
+        for batch in by_bytes(batches, "ids", 2 << 20):
             own = batch.column("bucket").to_numpy()
             sizes = batch.column("n_tokens").to_numpy()
             starts = np.zeros(len(own), np.int64)
