@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from visitseq.llm import licences
+
 _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
@@ -45,3 +47,41 @@ select conv_id, count(*) as n_turns,
          as formatted_chars
 from turns group by conv_id
 """
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _canonical(source: str, key: str) -> str:
+    """(key, line number, canonical line) of the rows of a table with a text."""
+    cases = " ".join(f"when {_text(a)} then {_text(b)}" for a, b in licences.SPELLINGS.items())
+    return f"""
+      select {key}, n, array_to_string(list_transform(string_split(line, ' '),
+               lambda w: case w {cases} else w end), ' ') as line
+      from (select {key}, n, trim(regexp_replace(line, '{licences.NOT_WORD}', ' ', 'g')) as line
+            from (select {key}, unnest(lines) as line, unnest(range(len(lines))) as n
+                  from (select {key}, string_split(lower(replace(coalesce(text, ''), '©', ' (c) ')),
+                                                   chr(10)) as lines from {source})))
+      where line <> '' and not regexp_matches(line, '{licences.COPYRIGHT}')"""
+
+
+_KNOWN = ", ".join(f"({i}, {_text(name)}, {_text(text)})"
+                   for i, (name, text) in enumerate(licences.known_texts()))
+
+ORACLE["op7_licences"] = f"""
+with docs as (select row_number() over () as r, doc_id, text from documents),
+lines as ({_canonical('docs', 'r')}),
+texts as (select r, string_agg(line, ' ' order by n) as line from lines group by r),
+known_rows(k, licence, text) as (values {_KNOWN}),
+known_lines as ({_canonical('known_rows', 'k')}),
+known as (select distinct licence, line from known_rows join
+          (select k, string_agg(line, ' ' order by n) as line from known_lines group by k) using (k)),
+of_text as (select r, string_agg(distinct licence, ',' order by licence) as ids
+            from texts join known using (line) group by r),
+of_lines as (select r, string_agg(distinct licence, ',' order by licence) as ids,
+                    count(distinct licence) as n from lines join known using (line) group by r)
+select doc_id, coalesce(t.ids, '') as whole, coalesce(l.ids, '') as licences,
+       coalesce(l.n, 0) as n_licences
+from docs left join of_text t using (r) left join of_lines l using (r)
+"""

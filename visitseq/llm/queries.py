@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitseq.llm import chat, decontaminate, idfiles, neighbours, packing, quality, secrets, similarity
+from visitseq.llm import chat, decontaminate, idfiles, licences, neighbours, packing, quality, secrets, similarity
 from visitseq.sources import scratch_path
 
 
@@ -56,6 +56,13 @@ def op6_id_files(spark, sf):
     return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_licences(spark, sf):
+    found = licences.scan_licences(table(spark, sf, "documents"), licences.known_licences(spark))
+    return found.select("doc_id", F.array_join("whole", ",").alias("whole"),
+                        F.array_join("lines", ",").alias("licences"),
+                        F.size("lines").cast("long").alias("n_licences"))
+
+
 def op9_similar(spark, sf):
     return similarity.similar(table(spark, sf, "documents"))
 
@@ -72,6 +79,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
     "op6_id_files": op6_id_files,
+    "op7_licences": op7_licences,
     "op9_similar": op9_similar,
     "op10_pack": op10_pack,
 }
