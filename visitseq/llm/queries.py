@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visitseq.llm import chat, decontaminate, idfiles, licences, neighbours, packing, quality, secrets, similarity
+from visitseq.llm import (
+    chat, decontaminate, idfiles, licences, lmscore, neighbours, packing, quality, secrets,
+    similarity)
 from visitseq.sources import scratch_path
 
 
@@ -63,6 +65,11 @@ def op7_licences(spark, sf):
                         F.size("lines").cast("long").alias("n_licences"))
 
 
+def op8_lm_score(spark, sf):
+    docs = table(spark, sf, "documents")
+    return lmscore.score(docs, *lmscore.learn(docs))
+
+
 def op9_similar(spark, sf):
     return similarity.similar(table(spark, sf, "documents"))
 
@@ -80,6 +87,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_id_files": op6_id_files,
     "op7_licences": op7_licences,
+    "op8_lm_score": op8_lm_score,
     "op9_similar": op9_similar,
     "op10_pack": op10_pack,
 }
