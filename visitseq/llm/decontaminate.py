@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from visitseq.llm.textbytes import chunks, grams, words
 from visitseq.sources import materialize
@@ -81,15 +81,15 @@ def bit_map(fingers: DataFrame) -> np.ndarray:
     return bits
 
 
-def candidates(docs: DataFrame, lengths: list[int], bits) -> DataFrame:
-    """doc_id, n_words and the windows whose fingerprint some item may have."""
+def candidates(docs: DataFrame, lengths: list[int], bits, key: str) -> DataFrame:
+    """``key``, n_words and the windows whose fingerprint some item may have."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()),
                                ("finger", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
         for batch in batches:
-            for first, part in chunks(batch.column("text")):
+            for first, part in chunks(batch.column("_text")):
                 found = words(part)
                 count = np.bincount(found.row, minlength=len(part))
                 begin = np.concatenate([[0], np.cumsum(count)])
@@ -108,20 +108,23 @@ def candidates(docs: DataFrame, lengths: list[int], bits) -> DataFrame:
                     [pa.array(x[order], t.type) for x, t in zip(fields, kind.value_type)],
                     fields=list(kind.value_type))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(part)), pa.array(count, pa.int64()),
+                    [batch.column(key).slice(first, len(part)), pa.array(count, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-                    ["doc_id", "n_words", "windows"])
+                    [key, "n_words", "windows"])
 
-    kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(scan, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, "
-                           "n_words long, windows array<struct<start:int,length:int,finger:long,"
-                           "h1:long,h2:long>>")
+    window = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "length")]
+                          + [T.StructField(n, T.LongType()) for n in ("finger", "h1", "h2")])
+    return docs.select(key, F.col("text").alias("_text")).mapInArrow(scan, T.StructType(
+        [docs.schema[key], T.StructField("n_words", T.LongType()),
+         T.StructField("windows", T.ArrayType(window))]))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids), spans (hit word ranges), contaminated.
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
+                  key: str = "doc_id") -> DataFrame:
+    """``key``, n_words, n_hit, n_items, items (sorted ids), spans (hit word ranges), contaminated.
 
-    One row a row of ``docs``. ``spans`` are the maximal ranges [start, end) of hit words.
+    One row a row of ``docs``; ``key`` is a column to carry along, an id or a struct of whole
+    rows. ``spans`` are the maximal ranges [start, end) of hit words.
     """
     spark = docs.sparkSession
     known = materialize(item_windows(items, window), "item-windows")
@@ -131,10 +134,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     owners = materialize(owners.withColumn("list_id", F.md5(F.to_json("items"))), "owners")
     lengths = [r[0] for r in owners.select("length").distinct().collect()]  # at most `window`
     bits = spark.sparkContext.broadcast(bit_map(owners))
-    scanned = materialize(candidates(docs, sorted(lengths), bits)
-                          .withColumn("row", F.monotonically_increasing_id()), "scanned")
+    scanned = materialize(candidates(docs, sorted(lengths), bits, key)
+                          .withColumn("_row", F.monotonically_increasing_id()), "scanned")
 
-    hits = (scanned.select("row", F.explode("windows").alias("w")).select("row", "w.*")
+    hits = (scanned.select(F.col("_row").alias("row"), F.explode("windows").alias("w"))
+            .select("row", "w.*")
             .join(owners.drop("items"), ["length", "finger", "h1", "h2"])
             .select("row", "start", (F.col("start") + F.col("length")).alias("end"), "list_id"))
     hits = materialize(hits, "hits")
@@ -155,9 +159,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
              .select("row", F.explode("items").alias("item"))
              .groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items")))
     none = F.array().cast("array<string>")
-    return (scanned.select("row", "doc_id", "n_words")
+    return (scanned.select(F.col("_row").alias("row"), F.col(key).alias("_key"), "n_words")
             .join(spans, "row", "left").join(lists, "row", "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            .select(F.col("_key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce("items", none).alias("items"), "spans",
                     F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated")))

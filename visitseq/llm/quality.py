@@ -25,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from visitseq.llm.textbytes import chunks, text_bytes, words
 
@@ -246,13 +246,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
                np.array([r["quality"] for r in rows], np.int64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, good (probability of each line to be good): one row a row of ``docs``."""
-    dtype = docs.schema["doc_id"].dataType.simpleString()
+def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """``key``, score, good (probability of each line to be good): one row a row of ``docs``.
+
+    ``key`` is a column to carry along: an id, or a struct of whole rows.
+    """
+    kind = T.StructType([docs.schema[key], T.StructField("score", T.DoubleType()),
+                         T.StructField("good", T.ArrayType(T.FloatType()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in chunks(batch.column("text")):
+            for first, part in chunks(batch.column("_text")):
                 own, lines, size = own_features(part)
                 good, _ = marginals(with_neighbours(own, lines) @ model.weights, model.moves, lines)
                 value = 1 / (1 + np.exp(-(model.slope * _weighted(good, lines, size) + model.shift)))
@@ -260,12 +264,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     value = np.full(len(part), model.share)
                 ends = np.concatenate([[0], np.cumsum(lines)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[first:first + len(part)], pa.array(value),
+                    [batch.column(key).slice(first, len(part)), pa.array(value),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                               pa.array(good.astype(np.float32)))],
-                    ["doc_id", "score", "good"])
-    return docs.select("doc_id", "text").mapInArrow(
-        scan, f"doc_id {dtype}, score double, good array<float>")
+                    [key, "score", "good"])
+    return docs.select(key, F.col("text").alias("_text")).mapInArrow(scan, kind)
 
 
 def held_out(column: str = "doc_id"):

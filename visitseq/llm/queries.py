@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpus_pipeline import run as pipeline
 from visitseq.llm import (
     chat, decontaminate, idfiles, licences, lmscore, neighbours, packing, quality, secrets,
     similarity)
@@ -80,6 +81,7 @@ def op10_pack(spark, sf):
 
 
 QUERIES = {
+    "pipeline": pipeline,
     "op1_nearest": op1_nearest,
     "op2_chat": op2_chat,
     "op3_quality": op3_quality,

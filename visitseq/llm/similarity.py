@@ -383,6 +383,20 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
                     "n_copies"))
 
 
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """The first row of every group of texts that hang together; all columns of ``docs``.
+
+    Rows are numbered and written once, so that ids need not be unique or present.
+    """
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = similar(rows.select(F.col(number).alias("doc_id"), "text"), **options)
+    first = found.filter("doc_id = class_id").select(F.col("doc_id").alias(number)).distinct()
+    return rows.join(first, number, "left_semi").drop(number)
+
+
 def _compact(traits: DataFrame) -> DataFrame:
     """One byte of each min-hash and the leaves as bytes: what a group needs of a class."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
