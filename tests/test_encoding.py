@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from visitseq.functions import age_id, attention_mask, index_seg, pad, position_idx, tail
 from visitseq.functions.keyed import below, draw_hex, uniform
 from visitseq.operators import encode, lookup, masking, vocab as V
+from visitseq.sources import materialize
 
 
 def labelled(spark, rows):
@@ -43,7 +44,11 @@ def test_empty_label_and_label_cut(spark, vocab):
     df = labelled(spark, [(1, ["A", "SEP"], ["1", "1"], []),
                           (2, ["A", "SEP"], ["1", "1"], ["B"] * 9)])
     rows = encode.encode_next_visit(df, vocab, V.label_vocab(vocab), 4).collect()
-    assert {r.patid: r.label for r in rows} == {1: [-1] * 4, 2: [2] * 4}
+    assert {r.patid: r.label for r in rows} == {1: [-1] * 4, 2: [2] * 9}
+    assert {r.patid: r.label_ids for r in rows} == {1: [], 2: [2] * 9}
+    cut = encode.encode_next_visit(df, vocab, V.label_vocab(vocab), 4, label_len=3).collect()
+    assert {r.patid: r.label for r in cut} == {1: [-1] * 3, 2: [2] * 3}
+    assert {r.patid: r.label_ids for r in cut} == {1: [], 2: [2] * 9}
 
 
 def test_label_vocab(vocab):
@@ -59,6 +64,33 @@ def test_label_vocab_of_another_order(spark):
         ("A", 0), ("UNK", 1), ("B", 2), ("C", 3)}
 
 
+@pytest.fixture
+def gapped(spark):
+    tokens = {"PAD": 70, "UNK": 9, "SEP": 20, "CLS": 210, "MASK": 90, "A": 50, "B": 75}
+    return spark.createDataFrame(list(tokens.items()), "token string, token_id int")
+
+
+def test_label_vocab_of_gapped_ids(gapped):
+    assert {tuple(r) for r in V.label_vocab(gapped).collect()} == {("UNK", 0), ("A", 1), ("B", 2)}
+    links = V.label_of_token(gapped, V.label_vocab(gapped))
+    assert {tuple(r) for r in links.collect()} == {(9, 0), (50, 1), (75, 2)}
+
+
+@pytest.mark.parametrize("drop_kept", [False, True])
+def test_masking_of_gapped_ids_is_that_of_dense_ones(spark, vocab, gapped, drop_kept):
+    """With ids in the same order both vocabularies draw the same tokens."""
+    dense = spark.createDataFrame(
+        [(t, i) for i, t in enumerate("UNK SEP A PAD B MASK CLS".split())],
+        "token string, token_id int")
+    name = {r.token_id: r.token for r in gapped.collect()}
+    same = {r.token_id: r.token for r in dense.collect()}
+    rows = [encode.encode_mlm(mlm_input(spark, 60), words, 64, 2, 1, drop_kept=drop_kept).collect()
+            for words in (gapped, dense)]
+    got, want = ({r.patid: ([ids[c] for c in r.code], [ids.get(x) for x in r.label], r.position)
+                  for r in table} for table, ids in zip(rows, (name, same)))
+    assert got == want and len(got) == 60
+
+
 def test_build_vocab(spark):
     codes = spark.createDataFrame([(c,) for c in "c b b a a SEP".split()], "code string")
     assert {r.token: r.token_id for r in V.build_vocab(codes).collect()} == {
@@ -98,11 +130,10 @@ def test_masking_by_given_draws(spark, vocab, monkeypatch):
     monkeypatch.setattr(masking, "uniform", lambda *key, draw: F.lit(0.9))
     rows = spark.createDataFrame([(1, 0, 5, 0.05), (1, 1, 6, 0.125), (1, 2, 5, 0.14),
                                   (1, 3, 6, 0.5)], "patid long, pos int, token_id long, u double")
-    facts = V.vocab_facts(vocab)
-    got = masking.random_mask(rows, facts).orderBy("pos").collect()
+    got = masking.random_mask(rows, vocab).orderBy("pos").collect()
     assert [r.output_id for r in got] == [4, 6, 5, 6]
     assert [r.label for r in got] == [5, 6, 5, -1]
-    dropped = masking.random_mask(rows, facts, drop_kept=True).orderBy("pos").collect()
+    dropped = masking.random_mask(rows, vocab, drop_kept=True).orderBy("pos").collect()
     assert [r.output_id for r in dropped] == [4, 6, None, 6]
 
 
@@ -152,8 +183,28 @@ def test_stored_parts_and_other_column_names(spark, vocab):
         whole.selectExpr("patid", "1 as part", "slice(code, 10, 51) as icd",
                          "slice(age, 10, 51) as years"))
     want = sorted(encode.encode_mlm(whole, vocab, 64).collect())
-    got = encode.encode_mlm(halves, vocab, 64, code_col="icd", age_col="years")
+    got = encode.encode_mlm(halves, vocab, 64, code_col="icd", age_col="years", part="part")
     assert sorted(got.collect()) == want
+    # a column that happens to be called part means nothing by itself
+    assert sorted(encode.encode_mlm(whole.withColumn("part", F.lit(3)), vocab, 64).collect()) == want
+
+
+@pytest.mark.parametrize("max_len", [4, 6, 64])
+def test_parts_with_labels_and_any_key(spark, vocab, max_len):
+    whole = [(p, s, ["A", "B", "SEP"] * n, ["600"] * 3 * n, ["B", "Z"])
+             for p, s, n in ((1, 0, 1), (1, 1, 9), (2, 0, 3))]
+    schema = "patid long, sample int, code array<string>, age array<string>, label array<string>"
+    parts = [(p, s, i, c[3 * i:3 * i + 3], a[3 * i:3 * i + 3], x)
+             for p, s, c, a, x in whole for i in range(len(c) // 3)]
+    cut = spark.createDataFrame(parts, schema.replace("code", "row int, code"))
+    key = ("patid", "sample")
+    names = V.label_vocab(vocab)
+    want = encode.encode_next_visit(spark.createDataFrame(whole, schema), vocab, names, max_len,
+                                    key=key)
+    got = encode.encode_next_visit(cut, vocab, names, max_len, key=key, part="row")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 3
+    masked = encode.encode_mlm(cut, vocab, max_len, key=key, part="row")
+    assert masked.count() == 3
 
 
 def test_several_rows_of_a_person(spark, vocab):
@@ -169,11 +220,10 @@ def test_several_rows_of_a_person(spark, vocab):
 
 def test_masking_stored_rows_equals_masking_tokens(spark, vocab):
     df = mlm_input(spark, 50)
-    facts = V.vocab_facts(vocab)
     encoded = encode.encode_sequences(df, vocab, 64)
-    got = masking.mask_rows(encoded, facts, 64, epoch=4, seed=2)
+    got = masking.mask_rows(encoded, vocab, 64, epoch=4, seed=2)
     tokens = encode.tail_cls(df, 64).select("patid", F.posexplode("code").alias("pos", "token"))
-    want = masking.random_mask(lookup.encode_tokens(tokens, vocab), facts, epoch=4, seed=2)
+    want = masking.random_mask(lookup.encode_tokens(tokens, vocab), vocab, epoch=4, seed=2)
     want = {(r.patid, r.pos): (r.output_id, r.label) for r in want.collect()}
     for r in got.collect():
         assert [(c, l) for c, l in zip(r.code, r.label)][:61] == [want[r.patid, i] for i in range(61)]
@@ -196,17 +246,24 @@ def test_mask_token_is_unknown(spark, vocab):
 def test_large_vocabulary_is_not_broadcast(spark, vocab, monkeypatch):
     from tests.conftest import plan_of
     df = labelled(spark, [(p, ["A", "SEP", "Q", "SEP"], ["1"] * 4, ["B"]) for p in range(50)])
-    want = sorted(encode.encode_next_visit(df, vocab, V.label_vocab(vocab), 6).collect())
+    names = materialize(V.label_vocab(vocab))
+    want = sorted(encode.encode_next_visit(df, vocab, names, 6).collect())
     monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        large = encode.encode_next_visit(df, vocab, V.label_vocab(vocab), 6)
+        large = encode.encode_next_visit(df, vocab, names, 6)
         assert "BroadcastHashJoin" not in plan_of(large)
         assert sorted(large.collect()) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_shuffled_lookup_of_a_single_column(spark, vocab):
+    tokens = spark.createDataFrame([(t,) for t in ["A"] * 500 + ["B", "Q"]], "token string")
+    got = lookup.encode_tokens(tokens, vocab, broadcast_bytes=0).collect()
+    assert sorted((r.token, r.token_id) for r in got) == [("A", 5)] * 500 + [("B", 6), ("Q", 1)]
+
+
 def test_round_trip_of_tokens(spark, vocab):
     tokens = spark.createDataFrame([(i, t) for i, t in enumerate(["A", "B", "SEP"])],
                                    "i int, token string")

@@ -92,6 +92,10 @@ def test_best_epochs(spark):
 
 
 def test_loss_progress(spark):
+    gaps = spark.createDataFrame([(0, s, s + 1.0, 2) for s in (0, 1, 3, 5)],
+                                 "epoch int, step long, loss double, examples int")
+    assert {r.report_step: r.mean_loss for r in monitor.loss_progress(gaps, 2).collect()} == {
+        0: 1.0, 2: 2.0, 4: 4.0}
     df = spark.createDataFrame([(0, s, s + 1.0, 2) for s in range(6)],
                                "epoch int, step long, loss double, examples int")
     reports = {r.report_step: r.mean_loss for r in
@@ -103,6 +107,7 @@ def test_loss_progress(spark):
 
 
 def test_scores_learn_what_recurs(spark, vocab):
+    from visitseq import plans
     from visitseq.operators import encode, vocab as V
     names = V.label_vocab(vocab)
     rows = spark.createDataFrame(
@@ -110,12 +115,39 @@ def test_scores_learn_what_recurs(spark, vocab):
          for p in range(20)],
         "patid long, code array<string>, age array<string>, label array<string>")
     encoded = encode.encode_next_visit(rows, vocab, names, 6)
-    scores = score.next_code_scores(encoded, encoded, names, V.vocab_facts(vocab))
-    assert scores.count() == 20 * 3
-    assert metrics.average_precision(scores).head().ap == 1.0
-    got = {(r.sample_id, r.label_id): r.logit for r in scores.collect()}
-    assert got[(1, 1)] == pytest.approx(math.log(10.5 / 0.5))
-    assert got[(1, 2)] == pytest.approx(math.log(0.5 / 10.5))
+    weights = score.label_weights(encoded, vocab, names)
+    scores = score.next_code_scores(encoded, weights, vocab, names).collect()
+    assert len(scores) == 20  # the label of the history is the one to predict
+    got = {(r.patid, r.label_id): r for r in scores}
+    assert got[(1, 1)].logit == pytest.approx(math.log(10.5 / 0.5))
+    assert got[(1, 1)].if_new == pytest.approx(math.log(0.5 / 10.5))
+    report = plans.counting_report(encoded, encoded, vocab, names).head()
+    assert (report.ap, report.auc, report.rated, report.samples) == (1.0, 1.0, 20, 20)
+
+
+def test_sparse_metrics_equal_those_of_all_labels(spark):
+    rng = random.Random(8)
+    n = 12
+    default = [rng.randrange(5) / 2 for _ in range(n)]
+    own = {}  # the rows that differ, ties included
+    for p in range(150):
+        for k in rng.sample(range(n), rng.randrange(1, 7)):
+            own[p, k] = (rng.choice([default[k], rng.randrange(5) / 2]), rng.randrange(2))
+    sparse = spark.createDataFrame(
+        [(p, k, x, y, default[k], sum(d >= x for d in default), sum(d > x for d in default))
+         for (p, k), (x, y) in own.items()],
+        "patid long, label_id long, logit double, target int, if_new double, least long, above long")
+    dense = spark.createDataFrame(
+        [(p, k, *own.get((p, k), (default[k], 0))) for p in range(150) for k in range(n)],
+        "sample_id long, label_id long, logit double, target int")
+    loss = sum(math.log1p(math.exp(d)) for d in default)
+    want = {r.sample_id: r for r in metrics.sample_metrics(dense).collect()}
+    got = metrics.sparse_sample_metrics(sparse, n, loss).collect()
+    assert len(got) == len({p for p, _ in own})
+    for r in got:
+        w = want[r.patid]
+        assert (r.ap, r.loss_sum) == (pytest.approx(w.ap), pytest.approx(w.loss_sum))
+        assert r.auc == (None if w.auc is None else pytest.approx(w.auc))
 
 
 def test_score_batches_sees_whole_rows(spark):

@@ -82,7 +82,8 @@ def test_long_sequences_continue_in_parts(spark):
         own = sorted((r for r in parts if r.patid == patid), key=lambda r: r.part)
         assert sum((r.code for r in own), []) == code
         assert sum((r.age for r in own), []) == age
-        assert all(r.code[-1] == "SEP" and len(r.code) <= 14 for r in own)
+        # fewer than 10 tokens and a month more, which is four visits of four tokens
+        assert all(r.code[-1] == "SEP" and len(r.code) < 10 + 16 for r in own)
 
 
 @pytest.mark.parametrize("max_len", [4, 5, 16, 64])
@@ -96,14 +97,33 @@ def test_tails_are_the_end_of_the_sequences(spark, max_len):
 
 def test_running_history_are_prefixes(spark):
     built = visits.build_visits(many_visits(spark))
-    full = visits.append_sep_age(visits.append_sep(visits.add_visit_ages(built, people(spark))))
     whole = {r.patid: r for r in visits.build_sequences(built, people(spark)).collect()}
-    for r in visits.running_history(full, 8).collect():
+    for r in visits.running_history(built, people(spark), 8).collect():
         assert r.code == whole[r.patid].code[:r.n_tokens][-7:]
         assert r.age == whole[r.patid].age[:r.n_tokens][-7:]
         assert whole[r.patid].code[:r.n_tokens].count("SEP") == r.n_visits
 
 
+@pytest.mark.parametrize("tokens_per_row", [1, 30, 1000])
+def test_references_give_the_whole_history(spark, tokens_per_row):
+    built = visits.build_visits(many_visits(spark))
+    whole = {r.patid: r for r in visits.build_sequences(built, people(spark)).collect()}
+    index = visits.history_index(built)
+    parts = visits.build_sequences(built, people(spark), tokens_per_row)
+    found = {}
+    for r in sorted(visits.history_prefixes(index, parts).collect(), key=lambda r: r.part):
+        found.setdefault((r.patid, r.n_tokens), []).extend(zip(r.code, r.age))
+    assert len(found) == index.count()
+    for (patid, n), tokens in found.items():
+        assert tokens == list(zip(whole[patid].code, whole[patid].age))[:n]
+
+
+def test_null_codes_make_no_visit(spark):
+    rows = [(1, D(2000, 1, 1), None), (1, D(2000, 1, 2), "A"), (1, D(2000, 1, 2), None)]
+    df = spark.createDataFrame(rows, "patid long, eventdate date, code string")
+    assert [tuple(r) for r in visits.build_visits(df).collect()] == [(1, D(2000, 1, 2), ["A"])]
+
+
 @pytest.mark.parametrize("tokens_per_row", [1, 7, 10, 1000])
 def test_stored_parts_give_the_same_tails(spark, tokens_per_row):
     built = visits.build_visits(many_visits(spark))

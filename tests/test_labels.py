@@ -13,8 +13,8 @@ DAYS = [(D(2000, 1, 1), ["A"]), (D(2000, 2, 1), ["B"]), (D(2000, 3, 1), ["C"]),
 def cuts_after_visit_4(spark):
     visits = spark.createDataFrame([(1, d, c) for d, c in DAYS],
                                    "patid long, eventdate date, code array<string>")
-    picked = labels.pick_cuts(visits).drop("cut_date").withColumn("cut_no", F.lit(4))
-    return labels.with_cut_date(picked)
+    picked = labels.pick_cuts(visits).select("patid", "n_visits", "last_date")
+    return visits, labels.at_cut(picked.withColumn("cut_no", F.lit(4)), visits)
 
 
 def people(spark):
@@ -22,8 +22,8 @@ def people(spark):
 
 
 def test_next_visit(spark):
-    row = labels.label_next_visit(cuts_after_visit_4(spark), people(spark)).head()
-    assert row.cut_date == D(2000, 4, 1)
+    row = labels.label_next_visit(*cuts_after_visit_4(spark), people(spark)).head()
+    assert row.cut_date == D(2000, 4, 1) and row.part == 0
     assert row.code == "A SEP B SEP C SEP D SEP".split()
     assert row.age == "600 600 601 601 602 602 603 603".split()
     assert row.label == ["E"]
@@ -31,13 +31,21 @@ def test_next_visit(spark):
 
 def test_horizons(spark):
     cuts = cuts_after_visit_4(spark)
-    assert labels.label_horizon(cuts, people(spark), 6).head().label == ["A", "E", "F"]
-    assert labels.label_horizon(cuts, people(spark), 12).head() is None
+    assert labels.label_horizon(*cuts, people(spark), 6).head().label == ["A", "E", "F"]
+    assert labels.label_horizon(*cuts, people(spark), 12).head() is None
 
 
-def test_history_is_cut_to_the_encoder(spark):
-    row = labels.label_next_visit(cuts_after_visit_4(spark), people(spark), max_len=4).head()
-    assert row.code == ["SEP", "D", "SEP"] and row.age == ["602", "603", "603"]
+def test_histories_are_whole_in_any_number_of_parts(spark):
+    rows = labels.label_next_visit(*cuts_after_visit_4(spark), people(spark), 4).collect()
+    assert [r.part for r in sorted(rows, key=lambda r: r.part)] == [0, 1]
+    assert sum((r.code for r in sorted(rows, key=lambda r: r.part)), []) == \
+        "A SEP B SEP C SEP D SEP".split()
+    assert all(r.label == ["E"] for r in rows)
+
+
+def test_positive_labels(spark):
+    df = spark.createDataFrame([(1, [2, 0, 2, -1]), (2, [])], "patid long, label_ids array<bigint>")
+    assert sorted(tuple(r) for r in labels.positive_labels(df).collect()) == [(1, 0), (1, 2)]
 
 
 def test_cuts_leave_history_and_label(spark):
@@ -61,7 +69,7 @@ def test_split_is_by_person_and_repeatable(spark):
 def test_distinct_labels_and_multi_hot(spark):
     df = spark.createDataFrame([(["B", "A", "B"],)], "label array<string>")
     assert labels.distinct_labels(df).head().label == ["A", "B"]
-    ids = spark.createDataFrame([([1, 1, 0, -1, -1],)], "label array<bigint>")
+    ids = spark.createDataFrame([([1, 1, 0, -1, -1],)], "label_ids array<bigint>")
     assert labels.multi_hot(ids, 4).head().target == [1, 1, 0, 0]
 
 
@@ -73,6 +81,18 @@ def test_row_index_is_dense_and_ordered(spark):
     assert got[0].v == [got[0].v[0]]
 
 
+def test_running_sum(spark):
+    df = spark.range(0, 3000, numPartitions=5).select(
+        (F.col("id") * 7919 % 3000).alias("k"), (F.col("id") % 3).alias("v"))
+    values = {r.k: r.v for r in df.collect()}
+    total, want = 0, {}
+    for k in sorted(values, reverse=True):
+        total += values[k]
+        want[k] = total
+    got = indexing.with_running_sum(df, [F.desc("k")], "v", "s").collect()
+    assert {r.k: r.s for r in got} == want
+
+
 def test_row_index_of_nothing(spark):
     assert indexing.with_row_index(spark.range(0), ["id"]).count() == 0
 
@@ -87,6 +107,13 @@ def test_epochs_are_different_permutations(spark):
     assert sorted(r.row_index for r in indexes) == list(range(1000))
 
 
+def test_rows_that_share_a_person_have_their_own_place(spark):
+    df = spark.range(400).selectExpr("id % 5 as patid", "id as sample")
+    orders = [[r["sample"] for r in batches.epoch_order(df.repartition(n), 1, 1, ("patid", "sample"))
+               .orderBy("row_index").collect()] for n in (2, 7)]
+    assert orders[0] == orders[1] and sorted(orders[0]) == list(range(400))
+
+
 def test_batches(spark):
     df = spark.range(1000).withColumnRenamed("id", "patid")
     for epoch in (None, 3):

@@ -7,8 +7,9 @@ import pytest
 import __spark_entry__ as contract
 from tests.conftest import SMALL, plan_of
 from visitseq import plans
-from visitseq.operators import metrics, score, visits
+from visitseq.operators import labels, metrics, score, visits
 from workload import tables
+from workload.queries import QUERIES
 
 PYTHON = {"score_batches"}
 
@@ -24,23 +25,47 @@ def exchanges(plan):
     return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_no_python_and_no_pairs(spark, name):
     plan = plan_of(contract.queries()[name](spark, SMALL))
     assert ("Python" in plan or "InPandas" in plan) == (name in PYTHON)
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
-def test_sequences_shuffle_events_by_visit_and_visits_by_person(spark, no_broadcast):
+def test_sequences_shuffle_sets_and_bounded_groups(spark, no_broadcast):
     diagnoses = plans.visit_table(tables.diagnoses(spark, SMALL)).selectExpr(
         "patid", "eventdate", "explode(code) as code")
     plan = plan_of(plans.format_sequences(diagnoses, tables.demographic(spark, SMALL)))
-    keys = [re.sub(r"#\d+L?", "", k) for k in exchanges(plan)]
-    # Events combined per task, then visits, and the people.
-    assert sorted(keys) == ["patid, 8", "patid, 8", "patid, eventdate, 8"]
+    keys = {re.sub(r"#\d+L?|_groupingexpression", "", k) for k in exchanges(plan)}
+    # Sets of codes, days, months, parts; by person alone only month sizes and people.
+    assert keys == {"patid, eventdate, , 8", "patid, eventdate, 8", "patid, , 8",
+                    "patid, _month, 8", "patid, part, 8", "patid, 8"}
     assert plan.index("partial_collect_set") > plan.index("collect_set")
 
 
+def window_inputs(node):
+    """Names of the columns that each window of a logical plan gets."""
+    children = [node.children().apply(i) for i in range(node.children().size())]
+    if node.nodeName() == "Window":
+        output = children[0].output()
+        yield {output.apply(i).name() for i in range(output.size())}
+    for child in children:
+        yield from window_inputs(child)
+
+
+def test_windows_carry_no_codes(spark):
+    stored = plans.visit_table(tables.diagnoses(spark, SMALL))
+    people = plans.people_table(tables.demographic(spark, SMALL))
+    cuts = labels.pick_cuts(stored)
+    for df in (visits.build_sequences(stored, people), cuts, visits.history_index(stored),
+               labels.label_next_visit(stored, cuts, people),
+               labels.label_horizon(stored, cuts, people, 6)):
+        found = list(window_inputs(df._jdf.queryExecution().optimizedPlan()))
+        assert found and not any("code" in columns for columns in found)
+    counted = visits.min_visits(stored, 5)._jdf.queryExecution().optimizedPlan()
+    assert list(window_inputs(counted)) == []
+
+
 def test_tails_limit_before_the_shuffle(spark):
     stored = plans.visit_table(tables.diagnoses(spark, SMALL))
     people = plans.people_table(tables.demographic(spark, SMALL))

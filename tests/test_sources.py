@@ -23,6 +23,27 @@ def test_tsv_parts_with_and_without_header(spark, tmp_path):
     assert len(rows) == 52 and set(rows) == {("1", "2"), ("3", "4"), ("5", "6")}
 
 
+def test_tsv_after_empty_files_and_lines(spark, tmp_path):
+    write(tmp_path / "part-0.txt", "")
+    write(tmp_path / "part-1.txt", "\n\na\n1\n")
+    write(tmp_path / "part-2.txt", "2\n" * 200)
+    df = sources.read_tsv(spark, str(tmp_path), ragged="drop")
+    assert df.columns == ["a"] and {r.a for r in df.collect()} <= {"", "1", "2"}
+    assert df.where("a <> ''").count() == 201
+
+
+def test_tsv_ragged_lines(spark, tmp_path):
+    write(tmp_path / "t.txt", "a\tb\n1\t2\n3\n4\t5\t6\n7\t\n")
+    with pytest.raises(Exception, match="not 2 fields"):
+        sources.read_tsv(spark, str(tmp_path / "t.txt")).collect()
+    with pytest.raises(Exception, match="not 2 fields"):
+        sources.read_tsv(spark, str(tmp_path / "t.txt")).count()
+    kept = sources.read_tsv(spark, str(tmp_path / "t.txt"), ragged="drop").collect()
+    assert sorted(tuple(r) for r in kept) == [("1", "2"), ("7", "")]
+    with pytest.raises(ValueError):
+        sources.read_tsv(spark, str(tmp_path / "t.txt"), ragged="ignore")
+
+
 def test_tsv_without_rows(spark, tmp_path):
     write(tmp_path / "t.txt", "")
     with pytest.raises(ValueError):
@@ -62,6 +83,25 @@ def test_binary_is_read_as_text(spark, tmp_path):
     assert raw.dtypes[0] == ("code", "binary")
 
 
+def test_nested_binary_is_read_as_text(spark, tmp_path):
+    spark.sql("""select array(cast('a' as binary), null) as code, map('k', cast('v' as binary)) as m,
+        struct(cast('s' as binary) as x, 1 as y) as s, array(1, 2) as n""").write.parquet(
+        str(tmp_path / "b"))
+    df = sources.read_parquet(spark, str(tmp_path / "b"))
+    assert df.dtypes == [("code", "array<string>"), ("m", "map<string,string>"),
+                         ("s", "struct<x:string,y:int>"), ("n", "array<int>")]
+    assert df.head().asDict(True) == {"code": ["a", None], "m": {"k": "v"},
+                                      "s": {"x": "s", "y": 1}, "n": [1, 2]}
+
+
+def test_dropped_table_is_gone(spark):
+    path = sources.scratch_path(spark, "dropped")
+    assert sources.materialize(spark.range(3), path=path).count() == 3
+    sources.drop_table(spark, path)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+
+
 def test_vocab_store(spark, vocab, tmp_path):
     sources.write_vocab(vocab, str(tmp_path / "v"))
     assert sorted(sources.read_vocab(spark, str(tmp_path / "v")).collect()) == sorted(vocab.collect())

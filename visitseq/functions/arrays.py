@@ -37,8 +37,9 @@ def attention_mask(arr: Column, max_len: int) -> Column:
     return pad(ones, max_len, F.lit(0).cast("bigint"))
 
 
-def position_idx(tokens: Column, symbol: str = SEP) -> Column:
-    """Visit number of every token: how many separators stand before it.
+def position_idx(tokens: Column, symbol=SEP) -> Column:
+    """Visit number of every token: how many separators stand before it. Also takes an
+    array of booleans that say what is a separator, with the symbol True.
 
     A separator ends a run; run j is as many times the number j as it is long.
     """

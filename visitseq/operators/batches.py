@@ -11,20 +11,23 @@ from visitseq.operators.indexing import with_hash_index, with_row_index
 SLICES = 16_384
 
 
-def epoch_order(df: DataFrame, epoch: int, seed: int, key: str = "patid",
+def epoch_order(df: DataFrame, epoch: int, seed: int, key=("patid",),
                 slices: int = SLICES) -> DataFrame:
-    """`row_index` 0..n-1 in a random order that epoch and seed determine."""
-    return with_hash_index(df, uniform(F.col(key), epoch, seed), [key], slices)
+    """`row_index` 0..n-1 in a random order that epoch and seed determine.
+
+    `key` are the columns that identify a row: they make the draw and break its ties.
+    """
+    return with_hash_index(df, uniform(*map(F.col, key), epoch, seed), list(key), slices)
 
 
 def assign_batches(df: DataFrame, batch_size: int = BATCH_SIZE, epoch: int | None = None,
-                   seed: int = 0, key: str = "patid") -> DataFrame:
+                   seed: int = 0, key=("patid",)) -> DataFrame:
     """`batch_id` of consecutive rows, the last batch may be short.
 
     Rows are shuffled for an epoch, or in key order without one (test tables).
     """
     if epoch is None:
-        indexed = with_row_index(df, [key])
+        indexed = with_row_index(df, list(key))
     else:
         indexed = epoch_order(df, epoch, seed, key)
     return indexed.withColumn("batch_id", F.floor(F.col("row_index") / batch_size).cast("bigint"))

@@ -9,38 +9,40 @@ the task that exploded them, so whole rows and not tokens are shuffled.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visitseq.constants import (
-    IGNORED_LABEL, MAX_AGE, MLM_MAX_LEN, PAD, PREDICTION_MAX_LEN, UNK)
+    IGNORED_LABEL, MAX_AGE, MLM_MAX_LEN, PAD, PREDICTION_MAX_LEN, SEP, UNK)
 from visitseq.functions.ages import age_id
 from visitseq.functions.arrays import (
-    add_cls, attention_mask, index_seg, pad, padded_tokens, position_idx, tail)
+    add_cls, attention_mask, index_seg, pad, position_idx, tail)
 from visitseq.operators.lookup import join_vocab
 from visitseq.operators.masking import mask_rows
 from visitseq.operators.visits import last_tokens
 from visitseq.operators.vocab import VocabFacts, vocab_facts
 
 
-def tail_cls(df: DataFrame, max_len: int) -> DataFrame:
+def tail_cls(df: DataFrame, max_len: int, key=("patid",), part: str | None = None,
+             same=()) -> DataFrame:
     """The last max_len - 1 tokens and ages under a start token; empty rows go.
 
-    Takes one row per person, or stored sequences in parts.
+    One row per key, or with `part` the rows of a sequence table, whose parts the column
+    numbers. `same` are further columns to keep, equal in all parts of a key.
     """
-    if "part" in df.columns:
-        df = last_tokens(df, max_len)
+    if part is not None:
+        df = last_tokens(df, max_len, key, part, same)
     cut = df.where(F.size("code") > 0).withColumns({
         "code": tail(F.col("code"), max_len - 1), "age": tail(F.col("age"), max_len - 1)})
     code, age = add_cls(F.col("code"), F.col("age"))
     return cut.withColumns({"code": code, "age": age})
 
 
-def _code_items(with_source: bool) -> Column:
-    source = [F.lit("code").alias("source")] if with_source else []
+def _code_items(label: bool) -> Column:
+    flag = [F.lit(False).alias("is_label")] if label else []
     return F.transform(F.arrays_zip("code", "age"), lambda z, i: F.struct(
-        *source, i.alias("pos"), z["code"].alias("token"), z["age"].alias("age")))
+        *flag, i.alias("pos"), z["code"].alias("token"), z["age"].alias("age")))
 
 
 def _label_items() -> Column:
     return F.transform(F.col("label"), lambda t, i: F.struct(
-        F.lit("label").alias("source"), i.alias("pos"), t.alias("token"),
+        F.lit(True).alias("is_label"), i.alias("pos"), t.alias("token"),
         F.lit(None).cast("string").alias("age")))
 
 
@@ -48,9 +50,9 @@ def _age_ids(max_age: int, mon: int) -> Column:
     return age_id(F.col("age"), max_age, mon).alias("age_id")
 
 
-def _token_list() -> Column:
-    """Token rows back to one array in sequence order."""
-    return F.sort_array(F.collect_list(F.struct("pos", "token", "age_id", "id")))
+def _item() -> Column:
+    """What the arrays need of a token once it is looked up: no text any more."""
+    return F.struct("pos", (F.col("token") == SEP).alias("sep"), "age_id", "id")
 
 
 def _field(items: str, name: str) -> Column:
@@ -60,88 +62,87 @@ def _field(items: str, name: str) -> Column:
 def _arrays(people: DataFrame, key, facts: VocabFacts, max_len: int, *more: Column) -> DataFrame:
     """The padded arrays of persons with their token `items`."""
     zero = F.lit(0).cast("bigint")
+    separators = pad(_field("items", "sep"), max_len, F.lit(False))
     rows = people.select(
         *key,
         pad(_field("items", "age_id"), max_len, zero).alias("age"),
         pad(_field("items", "id"), max_len, F.lit(facts.ids[PAD]).cast("bigint")).alias("code"),
-        position_idx(padded_tokens(_field("items", "token"), max_len)).alias("position"),
+        position_idx(separators, True).alias("position"),
         attention_mask(F.col("items"), max_len).alias("mask"), *more)
     first = [*key, "age", "code", "position"]
     rest = [c for c in rows.columns if c not in first]
     return rows.select(*first, index_seg(F.col("position")).alias("segment"), *rest)
 
 
-def _encode(df: DataFrame, vocab: DataFrame, facts: VocabFacts, max_len: int, max_age: int,
-            mon: int, key) -> DataFrame:
-    rows = tail_cls(df, max_len).select(*key, F.inline(_code_items(with_source=False)))
-    rows = join_vocab(rows, vocab, ["token"], facts)
-    rows = rows.select(
-        *key, "pos", "token", _age_ids(max_age, mon),
-        F.coalesce("token_id", F.lit(facts.ids[UNK])).cast("bigint").alias("id"))
-    items = rows.groupBy(*key).agg(_token_list().alias("items"))
-    return _arrays(items, key, facts, max_len)
-
-
 def encode_sequences(df: DataFrame, vocab: DataFrame, max_len: int = MLM_MAX_LEN,
                      max_age: int = MAX_AGE, mon: int = 1, code_col: str = "code",
-                     age_col: str = "age", key=("patid",)) -> DataFrame:
+                     age_col: str = "age", key=("patid",), part: str | None = None) -> DataFrame:
     """Rows of fixed length with the true token ids; masking them is `mask_rows`.
 
-    `df` has a code and an age array per person, in one row or in parts. Tables
-    with several rows per person need the columns that identify a row as `key`.
+    `df` has a code and an age array per key, or per key and `part`. Tables with several rows
+    per person need the columns that identify a row as `key`.
     """
+    facts = vocab_facts(vocab)
     df = df.withColumnsRenamed({code_col: "code", age_col: "age"})
-    return _encode(df, vocab, vocab_facts(vocab), max_len, max_age, mon, key)
+    rows = tail_cls(df, max_len, key, part).select(*key, F.inline(_code_items(label=False)))
+    rows = join_vocab(rows, vocab, ["token"], facts)
+    rows = rows.select(
+        *key, "pos", "token", _age_ids(max_age, mon),
+        F.coalesce("token_id", F.lit(facts.ids[UNK])).cast("bigint").alias("id"))
+    items = rows.groupBy(*key).agg(F.sort_array(F.collect_list(_item())).alias("items"))
+    return _arrays(items, key, facts, max_len)
 
 
 def encode_mlm(df: DataFrame, vocab: DataFrame, max_len: int = MLM_MAX_LEN, epoch: int = 0,
                seed: int = 0, max_age: int = MAX_AGE, mon: int = 1,
                drop_kept: bool = False, code_col: str = "code", age_col: str = "age",
-               key=("patid",)) -> DataFrame:
+               key=("patid",), part: str | None = None) -> DataFrame:
     """Pre-training rows: masked token ids, and the true id at the masked positions.
 
     Takes what `encode_sequences` takes. Positions and segments are those of the
     unmasked tokens.
     """
-    facts = vocab_facts(vocab)
-    df = df.withColumnsRenamed({code_col: "code", age_col: "age"})
-    encoded = _encode(df, vocab, facts, max_len, max_age, mon, key)
-    return mask_rows(encoded, facts, max_len, epoch, seed, drop_kept, key)
+    encoded = encode_sequences(df, vocab, max_len, max_age, mon, code_col, age_col, key, part)
+    return mask_rows(encoded, vocab, max_len, epoch, seed, drop_kept, key)
 
 
 def encode_next_visit(df: DataFrame, vocab: DataFrame, label_vocab: DataFrame,
                       max_len: int = PREDICTION_MAX_LEN, max_age: int = MAX_AGE,
                       mon: int = 1, code_col: str = "code", age_col: str = "age",
-                      label_col: str = "label", key=("patid",)) -> DataFrame:
-    """Prediction rows: token ids, and the label ids in order, filled up with -1.
-
-    `df` has a code, an age and a label array per row, and `key` identifies a row.
+                      label_col: str = "label", key=("patid",), part: str | None = None,
+                      label_len: int | None = None) -> DataFrame:
+    """Prediction rows: token ids, all label ids in order, and these as an array for a model.
+
+    `df` has a code, an age and a label array per key, or per key and `part` with the same
+    label in every part. `label_ids` is the whole list. `label` is filled up with -1 to max_len
+    and longer where there are more labels; `label_len` fixes its length for readers that need
+    that, cutting what is beyond it in this column only.
     """
     df = df.withColumnsRenamed({code_col: "code", age_col: "age", label_col: "label"})
     facts = vocab_facts(vocab)
     label_facts = vocab_facts(label_vocab, "label_id")
-    items = F.concat(_code_items(with_source=True), _label_items())
-    rows = tail_cls(df, max_len).select(*key, F.inline(items))
-    both = (vocab.select(F.lit("code").alias("source"), "token", F.col("token_id").alias("id"))
+    items = F.concat(_code_items(label=True), _label_items())
+    rows = tail_cls(df, max_len, key, part, ("label",)).select(*key, F.inline(items))
+    both = (vocab.select(F.lit(False).alias("is_label"), "token", F.col("token_id").alias("id"))
             .unionByName(label_vocab.select(
-                F.lit("label").alias("source"), "token", F.col("label_id").alias("id"))))
-    rows = join_vocab(rows, both, ["source", "token"], facts, label_facts)
-    is_label = F.col("source") == "label"
-    unknown = F.when(is_label, label_facts.ids[UNK]).otherwise(facts.ids[UNK])
-    rows = rows.select(*key, "source", "pos", "token", _age_ids(max_age, mon),
+                F.lit(True).alias("is_label"), "token", F.col("label_id").alias("id"))))
+    rows = join_vocab(rows, both, ["is_label", "token"], facts, label_facts)
+    unknown = F.when(F.col("is_label"), label_facts.ids[UNK]).otherwise(facts.ids[UNK])
+    rows = rows.select(*key, "is_label", "pos", "token", _age_ids(max_age, mon),
                        F.coalesce("id", unknown).cast("bigint").alias("id"))
-    token = F.struct("pos", "token", "age_id", "id")
     people = rows.groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.when(~is_label, token))).alias("items"),
-        F.sort_array(F.collect_list(F.when(is_label, F.col("id")))).alias("labels"))
-    labels = pad(F.col("labels"), max_len, F.lit(IGNORED_LABEL).cast("bigint"))
-    return (_arrays(people, key, facts, max_len, labels.alias("label"))
-            .withColumn("patid", F.col("patid").cast("bigint")))
+        F.sort_array(F.collect_list(F.when(~F.col("is_label"), _item()))).alias("items"),
+        F.sort_array(F.collect_list(F.when(F.col("is_label"), F.col("id")))).alias("label_ids"))
+    ignored = F.lit(IGNORED_LABEL).cast("bigint")
+    length = F.lit(label_len) if label_len else F.greatest(F.lit(max_len), F.size("label_ids"))
+    labels = F.slice(F.concat("label_ids", F.array_repeat(ignored, length)), 1, length)
+    encoded = _arrays(people, key, facts, max_len, labels.alias("label"), F.col("label_ids"))
+    return encoded.withColumns({k: F.col(k).cast("bigint") for k in key if k == "patid"})
 
 
 def long_form(encoded: DataFrame, cols=("age", "code", "position", "segment", "mask", "label"),
-              key: str = "patid") -> DataFrame:
-    """One row per person and position."""
-    return (encoded.select(key, F.posexplode(F.arrays_zip(*cols)))
-            .select(key, F.col("pos").cast("bigint").alias("pos"),
+              key=("patid",)) -> DataFrame:
+    """One row per key and position."""
+    return (encoded.select(*key, F.posexplode(F.arrays_zip(*cols)))
+            .select(*key, F.col("pos").cast("bigint").alias("pos"),
                     *[F.col("col")[c].alias(c) for c in cols]))

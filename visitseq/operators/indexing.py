@@ -14,24 +14,39 @@ def _offsets(sizes: DataFrame, key: str) -> DataFrame:
     return sizes.select(key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
 
 
-def with_row_index(df: DataFrame, order_by, name: str = "row_index") -> DataFrame:
-    """Number the rows 0..n-1 in the order of columns that identify a row.
+def _sorted_slices(df: DataFrame, order_by) -> DataFrame:
+    """The rows in sorted range partitions, written once with `_slice` and `_position`.
 
-    Range partitions are sorted and written once with their local positions;
-    the size of each partition then gives the offset. The written table makes
-    the partition bounds final, so a retry cannot number a row twice.
+    The written table makes the partition bounds final, so a retry cannot number a row twice.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("_id", F.monotonically_increasing_id()))
-    stored = materialize(ranged, "index")
-    position = F.col("_id").bitwiseAND((1 << _POSITION_BITS) - 1)
-    stored = stored.withColumn("_slice", F.shiftright("_id", _POSITION_BITS))
-    sizes = stored.groupBy("_slice").agg((F.max(position) + 1).alias("_n"))
+    return materialize(ranged, "index").withColumns({
+        "_slice": F.shiftright("_id", _POSITION_BITS),
+        "_position": F.col("_id").bitwiseAND((1 << _POSITION_BITS) - 1)})
+
+
+def with_row_index(df: DataFrame, order_by, name: str = "row_index") -> DataFrame:
+    """Number the rows 0..n-1 in the order of columns that identify a row."""
+    stored = _sorted_slices(df, order_by)
+    sizes = stored.groupBy("_slice").agg((F.max("_position") + 1).alias("_n"))
     # One row per partition of the range shuffle: safe to broadcast at any data size.
     offsets = F.broadcast(_offsets(sizes, "_slice"))
     return (stored.join(offsets, "_slice")
-            .select(*df.columns, (position + F.col("_before")).alias(name)))
+            .select(*df.columns, (F.col("_position") + F.col("_before")).alias(name)))
+
+
+def with_running_sum(df: DataFrame, order_by, value: str, name: str) -> DataFrame:
+    """The sum of `value` over all rows up to each row, in the order of columns that identify
+    a row: a running sum in every sorted slice, and the sums of the slices before it."""
+    stored = _sorted_slices(df, order_by)
+    sizes = stored.groupBy("_slice").agg(F.sum(value).alias("_n"))
+    offsets = F.broadcast(_offsets(sizes, "_slice"))
+    within = (Window.partitionBy("_slice").orderBy("_position")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (stored.withColumn("_sum", F.sum(value).over(within)).join(offsets, "_slice")
+            .select(*df.columns, (F.col("_sum") + F.col("_before")).alias(name)))
 
 
 def with_hash_index(df: DataFrame, draw, key_cols, slices: int,

@@ -2,10 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from visitseq.constants import MIN_VISITS, PREDICTION_MAX_LEN
-from visitseq.functions.arrays import tail
+from visitseq.constants import MIN_VISITS
 from visitseq.functions.keyed import uniform
-from visitseq.operators.visits import collect_visits, tail_visits, visit_ages, visit_tokens
+from visitseq.operators.visits import TOKENS_PER_ROW, build_sequences
 
 
 def split_patients(df: DataFrame, test_share: float = 0.2, seed: int = 0) -> DataFrame:
@@ -15,55 +14,59 @@ def split_patients(df: DataFrame, test_share: float = 0.2, seed: int = 0) -> Dat
 
 
 def pick_cuts(visits: DataFrame, min_history: int = MIN_VISITS - 1, seed: int = 0) -> DataFrame:
-    """Visits with the cut of their person: the history ends with visit `cut_no`.
+    """One row per person: the history ends with visit `cut_no` on `cut_date`.
 
-    The cut is a repeatable draw from min_history .. last visit but one;
-    persons with too few visits for one are dropped.
+    The cut is a repeatable draw from min_history .. last visit but one; persons with too few
+    visits for one are dropped. Only dates are read.
     """
-    person = Window.partitionBy("patid")
-    numbered = visits.select(
-        "patid", "eventdate", "code",
-        F.row_number().over(person.orderBy("eventdate")).alias("visit_no"),
-        F.count("*").over(person).alias("n_visits"),
-        F.max("eventdate").over(person).alias("last_date"))
+    days = visits.select("patid", "eventdate")
+    totals = (days.groupBy("patid")
+              .agg(F.count("*").alias("n_visits"), F.max("eventdate").alias("last_date"))
+              .where(F.col("n_visits") > min_history))
     draw = uniform(F.col("patid"), F.lit("cut"), seed)
-    picked = numbered.where(F.col("n_visits") > min_history).withColumn(
+    drawn = totals.withColumn(
         "cut_no", min_history + F.floor(draw * (F.col("n_visits") - min_history)))
-    return with_cut_date(picked)
+    return at_cut(drawn, days)
 
 
-def with_cut_date(cuts: DataFrame) -> DataFrame:
-    at_cut = F.when(F.col("visit_no") == F.col("cut_no"), F.col("eventdate"))
-    return cuts.withColumn("cut_date", F.max(at_cut).over(Window.partitionBy("patid")))
+def at_cut(cuts: DataFrame, visits: DataFrame) -> DataFrame:
+    """Cuts (patid, cut_no, ...) with the date of that visit and of the next one."""
+    order = Window.partitionBy("patid").orderBy("eventdate")
+    numbered = visits.select(
+        "patid", F.row_number().over(order).cast("bigint").alias("cut_no"),
+        F.col("eventdate").alias("cut_date"), F.lead("eventdate").over(order).alias("next_date"))
+    return cuts.join(numbered, ["patid", "cut_no"])
 
 
-def _labelled(cuts: DataFrame, demographic: DataFrame, in_label: Column,
-              max_len: int) -> DataFrame:
-    """One row per person: the end of the history, and the codes of the label visits.
+def _labelled(visits: DataFrame, cuts: DataFrame, demographic: DataFrame, in_label: Column,
+              tokens_per_row: int) -> DataFrame:
+    """(patid, cut_date, part, code, age, label): the whole history, and all label codes.
 
-    Only the visits that can reach the encoder or the label get to the aggregate.
+    The label is in every part of a person. Codes are made distinct by (patid, code) before
+    they meet in the list, which is bounded by the vocabulary.
     """
-    in_history = ((F.col("visit_no") <= F.col("cut_no"))
-                  & (F.col("visit_no") > F.col("cut_no") - tail_visits(max_len)))
-    label = F.flatten(F.collect_list(F.when(in_label, F.col("code"))))
-    people = (cuts.where(in_history | in_label).groupBy("patid", "cut_date")
-              .agg(collect_visits(in_history, max_len).alias("visits"),
-                   F.sort_array(F.array_distinct(label)).alias("label")))
-    return people.join(demographic, "patid").select(
-        "patid", "cut_date",
-        tail(visit_tokens(F.col("visits")), max_len - 1).alias("code"),
-        tail(visit_ages(F.col("visits"), F.col("yob")), max_len - 1).alias("age"),
-        "label")
-
-
-def label_next_visit(cuts: DataFrame, demographic: DataFrame,
-                     max_len: int = PREDICTION_MAX_LEN) -> DataFrame:
+    dated = visits.join(cuts, "patid")
+    history = dated.where(F.col("eventdate") <= F.col("cut_date")).select(
+        "patid", "eventdate", "code")
+    codes = (dated.where(in_label).select("patid", F.explode("code").alias("code")).distinct()
+             .groupBy("patid").agg(F.sort_array(F.collect_list("code")).alias("label")))
+    none = F.array().cast("array<string>")
+    return (build_sequences(history, demographic, tokens_per_row)
+            .join(cuts.select("patid", "cut_date"), "patid")
+            .join(codes, "patid", "left")
+            .select("patid", "cut_date", "part", "code", "age",
+                    F.coalesce("label", none).alias("label")))
+
+
+def label_next_visit(visits: DataFrame, cuts: DataFrame, demographic: DataFrame,
+                     tokens_per_row: int = TOKENS_PER_ROW) -> DataFrame:
     """The label is the codes of the first visit after the cut."""
-    return _labelled(cuts, demographic, F.col("visit_no") == F.col("cut_no") + 1, max_len)
+    return _labelled(visits, cuts, demographic, F.col("eventdate") == F.col("next_date"),
+                     tokens_per_row)
 
 
-def label_horizon(cuts: DataFrame, demographic: DataFrame, months: int,
-                  max_len: int = PREDICTION_MAX_LEN) -> DataFrame:
+def label_horizon(visits: DataFrame, cuts: DataFrame, demographic: DataFrame, months: int,
+                  tokens_per_row: int = TOKENS_PER_ROW) -> DataFrame:
     """The label is all codes of the months after the cut, last day included.
 
     Persons whose visits end before the horizon are dropped.
@@ -71,16 +74,23 @@ def label_horizon(cuts: DataFrame, demographic: DataFrame, months: int,
     horizon = F.add_months("cut_date", months)
     followed = cuts.where(F.col("last_date") >= horizon)
     in_label = (F.col("eventdate") > F.col("cut_date")) & (F.col("eventdate") <= horizon)
-    return _labelled(followed, demographic, in_label, max_len)
+    return _labelled(visits, followed, demographic, in_label, tokens_per_row)
 
 
 def distinct_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.sort_array(F.array_distinct("label")))
 
 
-def multi_hot(df: DataFrame, n_classes: int, label_col: str = "label",
+def positive_labels(df: DataFrame, key=("patid",), label_col: str = "label_ids") -> DataFrame:
+    """One row per key and label id; ids such as -1 are no labels."""
+    return (df.select(*key, F.explode(F.array_distinct(label_col)).alias("label_id"))
+            .where(F.col("label_id") >= 0))
+
+
+def multi_hot(df: DataFrame, n_classes: int, label_col: str = "label_ids",
               name: str = "target") -> DataFrame:
-    """Label ids to a 0/1 array over all classes; other ids such as -1 are ignored."""
+    """Label ids to a dense 0/1 array over all classes, for readers that need one; other ids
+    such as -1 are ignored. `positive_labels` says the same without the zeros."""
     return df.withColumn(name, F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.lit(n_classes - 1).cast("bigint")),
         lambda c: F.array_contains(F.col(label_col), c).cast("int")))

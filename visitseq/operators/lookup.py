@@ -12,36 +12,37 @@ ROW_BYTES = 48
 SALTS = 32
 
 
-def fits_broadcast(n_rows: int, n_bytes: int = 0) -> bool:
-    return n_bytes + n_rows * ROW_BYTES <= BROADCAST_BYTES
+def fits_broadcast(n_rows: int, n_bytes: int = 0, most: int | None = None) -> bool:
+    return n_bytes + n_rows * ROW_BYTES <= (BROADCAST_BYTES if most is None else most)
 
 
-def join_vocab(tokens: DataFrame, vocab: DataFrame, on: list[str],
-               *facts: VocabFacts) -> DataFrame:
+def join_vocab(tokens: DataFrame, vocab: DataFrame, on: list[str], *facts: VocabFacts,
+               broadcast_bytes: int | None = None, row_key=None) -> DataFrame:
     """Left join to a vocabulary whose size was measured.
 
     A small one is broadcast. A larger one is joined by a shuffle on token and
     salt, the vocabulary once per salt, so that a token that makes up a third
-    of the rows is spread over many tasks. The salt is a hash of the other
-    columns and so the same in a retry; copies of a row share it, so join
-    distinct rows.
+    of the rows is spread over many tasks. The salt is a hash of `row_key`, by
+    default of all columns, and so the same in a retry; rows that are equal in
+    these columns share it.
     """
-    if fits_broadcast(sum(f.size for f in facts), sum(f.n_bytes for f in facts)):
+    if fits_broadcast(sum(f.size for f in facts), sum(f.n_bytes for f in facts), broadcast_bytes):
         return tokens.join(F.broadcast(vocab), on, "left")
-    others = [c for c in tokens.columns if c not in on]
     salted = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (tokens.withColumn("_salt", F.pmod(F.hash(*others), F.lit(SALTS)))
-            .join(salted, [*on, "_salt"], "left").drop("_salt"))
+    salt = F.pmod(F.xxhash64(*(row_key or tokens.columns)), F.lit(SALTS)).cast("int")
+    return (tokens.withColumn("_salt", salt).join(salted, [*on, "_salt"], "left").drop("_salt"))
 
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame, mask_token: str | None = None,
                   token_col: str = "token", id_col: str = "token_id",
-                  unknown: bool = True) -> DataFrame:
+                  unknown: bool = True, broadcast_bytes: int | None = None,
+                  row_key=None) -> DataFrame:
     """Id per token row; an unknown token, or one equal to mask_token, becomes UNK
     (with unknown=False an unknown token becomes null)."""
     facts = vocab_facts(vocab, id_col)
     dim = vocab.select(F.col("token").alias(token_col), F.col(id_col))
-    out = join_vocab(tokens, dim, [token_col], facts)
+    out = join_vocab(tokens, dim, [token_col], facts, broadcast_bytes=broadcast_bytes,
+                     row_key=row_key)
     unk = F.lit(facts.ids[UNK])
     found = F.coalesce(F.col(id_col), unk) if unknown else F.col(id_col)
     if mask_token is not None:

@@ -45,6 +45,51 @@ def sample_metrics(scored: DataFrame, *keep: str) -> DataFrame:
         F.when(pairs > 0, (pairs + F.col("gain")) / (2 * pairs)).alias("auc"))
 
 
+def sparse_sample_metrics(scored: DataFrame, n_labels: int, default_loss: float,
+                          key=("patid",)) -> DataFrame:
+    """The numbers of `sample_metrics` from `score.next_code_scores`, without a row per label.
+
+    What is at or above a logit are the labels whose default is, corrected by the sample's own
+    rows: each takes its default away and puts its logit in its place. `default_loss` is the
+    loss of a sample whose labels all have their default logit and the target 0.
+    """
+    change = F.inline(F.array(
+        F.struct(F.col("logit").alias("x"), F.lit(1).alias("w"), "target", "least", "above"),
+        F.struct(F.col("if_new").alias("x"), F.lit(-1).alias("w"), F.lit(0).alias("target"),
+                 F.lit(0).cast("bigint").alias("least"), F.lit(0).cast("bigint").alias("above"))))
+    loss = soft_margin(F.col("logit"), F.col("target")) - soft_margin(F.col("if_new"), F.lit(0))
+    rows = scored.select(*key, loss.alias("loss"), "logit", "if_new", "target", "least", "above")
+    rows = rows.select(*key, "loss", change)
+    ranked = Window.partitionBy(*key).orderBy(F.desc("x"))
+    level = Window.partitionBy(*key, "x")
+    hit = F.col("target") * (F.col("w") == 1).cast("int")
+    rows = rows.select(
+        *key, "w", hit.alias("hit"), F.when(F.col("w") == 1, F.col("loss")).alias("loss"),
+        (F.col("least") + F.sum("w").over(ranked)).alias("seen"),
+        (F.col("above") + F.sum("w").over(ranked) - F.sum("w").over(level)).alias("ahead"),
+        F.sum(hit).over(ranked).alias("hits"), F.sum(hit).over(level).alias("level_hits"))
+    # negatives below a positive count one, level ones a half
+    level_negatives = F.col("seen") - F.col("ahead") - F.col("level_hits")
+    misses = (F.col("ahead") - (F.col("hits") - F.col("level_hits"))) + level_negatives / 2
+    per_sample = rows.groupBy(*key).agg(
+        F.sum("hit").alias("pos"), (F.sum("loss") + default_loss).alias("loss_sum"),
+        F.sum(F.when(F.col("hit") == 1, F.col("hits") / F.col("seen"))).alias("precision_sum"),
+        F.sum(F.when(F.col("hit") == 1, misses)).alias("misses"))
+    negatives = n_labels - F.col("pos")
+    pairs = F.col("pos") * negatives
+    return per_sample.select(
+        *key, F.lit(n_labels).cast("bigint").alias("n_labels"), "loss_sum",
+        F.when(F.col("pos") > 0, F.col("precision_sum") / F.col("pos")).otherwise(0.0).alias("ap"),
+        F.when(pairs > 0, 1 - F.col("misses") / pairs).alias("auc"))
+
+
+def mean_metrics(samples: DataFrame, *group: str) -> DataFrame:
+    """Means over the rows of `sample_metrics` in one pass; `rated` counts those with an auc."""
+    return samples.groupBy(*group).agg(
+        F.avg("ap").alias("ap"), F.avg("auc").alias("auc"), F.count("auc").alias("rated"),
+        F.count("*").alias("samples"))
+
+
 def average_precision(scored: DataFrame, *group: str) -> DataFrame:
     """Mean over the samples, overall or per group such as a batch."""
     return sample_metrics(scored, *group).groupBy(*group).agg(

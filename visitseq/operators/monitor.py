@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 def loss_progress(batch_losses: DataFrame, every: int) -> DataFrame:
     """Mean loss since the last report, at steps 0, every, 2*every, ...
 
-    Report k covers the steps after report k-1 up to k*every; steps after the
-    last report are in none.
+    Report k covers the steps after report k-1 up to k*every. A report is complete when the
+    epoch got to its step, whether or not that very step number is there; the steps after the
+    last complete report are in none.
     """
     report = F.ceil(F.col("step") / every).cast("bigint") * every
+    reached = batch_losses.groupBy("epoch").agg(F.max("step").alias("_reached"))
     return (batch_losses.groupBy("epoch", report.alias("report_step"))
-            .agg(F.avg("loss").alias("mean_loss"), F.count("*").alias("steps"),
-                 F.max("step").alias("last"))
-            .where(F.col("last") == F.col("report_step")).drop("last"))
+            .agg(F.avg("loss").alias("mean_loss"), F.count("*").alias("steps"))
+            .join(reached, "epoch").where(F.col("report_step") <= F.col("_reached"))
+            .drop("_reached"))
 
 
 def epoch_losses(batch_losses: DataFrame) -> DataFrame:

@@ -2,67 +2,77 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from visitseq.constants import BATCH_SIZE, NOT_LABELS
-from visitseq.operators.lookup import fits_broadcast
-from visitseq.operators.vocab import VocabFacts
-
-
-def _history_labels(facts: VocabFacts) -> Column:
-    """Distinct label ids of the tokens in an encoded row."""
-    removed = [facts.ids[t] for t in NOT_LABELS]
-    codes = F.filter(F.array_distinct("code"), lambda c: ~c.isin(*removed))
-    return F.transform(codes, lambda c: c - sum(
-        (F.when(c > i, 1).otherwise(0) for i in removed), F.lit(0)))
-
-
-def label_weights(train: DataFrame, label_vocab: DataFrame, facts: VocabFacts) -> DataFrame:
-    """Smoothed log-odds of every label, with and without it in the history.
-
-    Counts one row per person and label that occurs, combined map-side to one
-    row per label and task; code pairs are never built.
+from pyspark.sql import DataFrame, functions as F
+
+from visitseq.constants import BATCH_SIZE
+from visitseq.operators.indexing import with_running_sum
+from visitseq.operators.labels import positive_labels
+from visitseq.operators.lookup import join_vocab
+from visitseq.operators.vocab import VocabFacts, label_of_token, vocab_facts
+from visitseq.sources.scratch import materialize
+
+
+def _marks(encoded: DataFrame, labels: DataFrame, facts: VocabFacts, key) -> DataFrame:
+    """One row per sample and label that stands in the history (`before`) or is to predict
+    (`after`). `labels` says which token ids are labels."""
+    tokens = encoded.select(*key, F.explode(F.array_distinct("code")).alias("token_id"))
+    history = (join_vocab(tokens, labels, ["token_id"], facts).where("label_id is not null")
+               .select(*key, "label_id", F.lit(1).alias("before"), F.lit(0).alias("after")))
+    wanted = positive_labels(encoded, key).select(
+        *key, "label_id", F.lit(0).alias("before"), F.lit(1).alias("after"))
+    return history.unionByName(wanted).groupBy(*key, "label_id").agg(
+        F.max("before").alias("before"), F.max("after").alias("after"))
+
+
+def label_weights(train: DataFrame, vocab: DataFrame, label_vocab: DataFrame,
+                  key=("patid",)) -> DataFrame:
+    """Smoothed log-odds of every label, with (`if_before`) and without (`if_new`) it in the
+    history, and how many labels have at least (`*_least`) or more (`*_above`) than that
+    without it in theirs. One row per label.
+
+    Counts one row per person and label that occurs; code pairs are never built. The ranks are
+    running sums over the sorted distinct values.
     """
-    rows = train.select(_history_labels(facts).alias("history"),
-                        F.filter("label", lambda x: x >= 0).alias("label"))
-    seen = rows.select(F.inline(F.transform(
-        F.array_union("history", "label"), lambda c: F.struct(
-            c.alias("label_id"),
-            F.array_contains("history", c).alias("before"),
-            F.array_contains("label", c).alias("after")))))
-    counts = seen.groupBy("label_id").agg(
-        F.count_if("before").alias("b"), F.count_if("after").alias("a"),
-        F.count_if(F.col("before") & F.col("after")).alias("ab"))
-    total = train.agg(F.count("*")).scalar()
+    marks = _marks(train, label_of_token(vocab, label_vocab), vocab_facts(vocab), key)
+    counts = marks.groupBy("label_id").agg(
+        F.sum("before").alias("b"), F.sum("after").alias("a"),
+        F.sum(F.col("before") * F.col("after")).alias("ab"))
+    total = train.select(*key).distinct().count()
     known = label_vocab.select(F.col("label_id").cast("bigint").alias("label_id"))
-    joined = known.join(counts, "label_id", "left").na.fill(0).withColumn("n", total)
+    joined = known.join(counts, "label_id", "left").na.fill(0).withColumn("n", F.lit(total))
     a, b, ab, n = (F.col(c) for c in ("a", "b", "ab", "n"))
-    return joined.select(
+    weights = materialize(joined.select(
         "label_id",
         F.log((ab + 0.5) / (b - ab + 0.5)).alias("if_before"),
-        F.log((a - ab + 0.5) / (n - a - b + ab + 0.5)).alias("if_new"))
-
-
-def next_code_scores(train: DataFrame, test: DataFrame, label_vocab: DataFrame,
-                     facts: VocabFacts) -> DataFrame:
-    """Scored rows (sample_id, label_id, logit, target) for encoded test rows."""
-    weights = label_weights(train, label_vocab, facts)
-    n_classes = label_vocab.count()
-    if fits_broadcast(n_classes):
-        weights = F.broadcast(weights)
-    # By sample before a sample becomes a row per class: the metrics need no
-    # further shuffle.
-    rows = test.select(F.col("patid").alias("sample_id"),
-                       _history_labels(facts).alias("history"), "label").repartition("sample_id")
-    classes = F.sequence(F.lit(0).cast("bigint"), F.lit(n_classes - 1).cast("bigint"))
-    grid = rows.select("sample_id", F.inline(F.transform(classes, lambda c: F.struct(
-        c.alias("label_id"),
-        F.array_contains("history", c).alias("before"),
-        F.array_contains("label", c).cast("int").alias("target")))))
-    return grid.join(weights, "label_id").select(
-        "sample_id", "label_id",
-        F.when(F.col("before"), F.col("if_before")).otherwise(F.col("if_new")).alias("logit"),
-        "target")
+        F.log((a - ab + 0.5) / (n - a - b + ab + 0.5)).alias("if_new")), "weights")
+    values = (weights.select(F.col("if_new").alias("value"), F.lit(1).alias("own"))
+              .unionAll(weights.select("if_before", F.lit(0)))
+              .groupBy("value").agg(F.sum("own").alias("own")))
+    ranked = materialize(with_running_sum(values, [F.desc("value")], "own", "least"), "ranks")
+    for name in ("if_new", "if_before"):
+        weights = weights.join(ranked.select(
+            F.col("value").alias(name), F.col("least").alias(f"{name}_least"),
+            (F.col("least") - F.col("own")).alias(f"{name}_above")), name)
+    return weights
+
+
+def next_code_scores(test: DataFrame, weights: DataFrame, vocab: DataFrame,
+                     label_vocab: DataFrame, key=("patid",)) -> DataFrame:
+    """Scores of encoded test rows, for the labels in a sample's history or to predict.
+
+    (key, label_id, logit, target, if_new, least, above). Every other label of a sample has the
+    logit `if_new` of `label_weights` and the target 0: the rows grow with the histories, not
+    with samples times labels. `least` and `above` count the labels whose `if_new` is at least,
+    or above, the logit; `metrics.sparse_sample_metrics` works on these rows.
+    """
+    marks = _marks(test, label_of_token(vocab, label_vocab), vocab_facts(vocab), key)
+
+    def either(of: str):
+        return F.when(F.col("before") == 1, F.col(f"if_before{of}")).otherwise(F.col(f"if_new{of}"))
+
+    return marks.join(weights, "label_id").select(
+        *key, "label_id", either("").alias("logit"), F.col("after").alias("target"), "if_new",
+        either("_least").alias("least"), either("_above").alias("above"))
 
 
 def score_batches(encoded: DataFrame, predict_fn: Callable, inputs=("code", "mask"),

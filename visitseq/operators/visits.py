@@ -1,9 +1,9 @@
 """Visits (all codes of a person on one date) and sequences of visits.
 
-A visit row is bounded by the code vocabulary, and a person has at most one
-visit per calendar day, whatever the number of raw events: repeated events are
-merged in the map-side combine before the first shuffle. Windows over a
-person's visits therefore stay small, and sort and spill instead of collecting.
+A visit row holds the distinct codes of a day. Windows see sizes and dates only, never codes,
+and a person has at most one row per calendar day in them. Sequences come in parts of bounded
+length for every person, so that no row or group grows with a history: (patid, part) is the
+key of a sequence table.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,15 +13,22 @@ from visitseq.functions.ages import age_in_months
 from visitseq.functions.arrays import count_token, tail
 
 TOKENS_PER_ROW = 100_000
+# Pieces in which the codes of a very full day are made distinct side by side.
+DAY_PIECES = 16
 
 
-def build_visits(events: DataFrame, code_col: str = "code") -> DataFrame:
-    """One row per person and date with the distinct codes in order.
+def build_visits(events: DataFrame, code_col: str = "code", pieces: int = DAY_PIECES) -> DataFrame:
+    """One row per person and date with the distinct codes in order; null codes are dropped.
 
-    The set removes repeated events, so no distinct is needed before it.
+    Sets by a hash of the code first: repeated events are merged in the task and the events of
+    one very full day in several. What meets in a visit are codes that are distinct already.
     """
-    codes = F.collect_set(F.col(code_col).cast("string"))
-    return events.groupBy("patid", "eventdate").agg(F.sort_array(codes).alias("code"))
+    code = F.col(code_col).cast("string")
+    sets = (events.where(F.col(code_col).isNotNull())
+            .groupBy("patid", "eventdate", F.pmod(F.hash(code), F.lit(pieces)).alias("_piece"))
+            .agg(F.collect_set(code).alias("codes")))
+    return sets.groupBy("patid", "eventdate").agg(
+        F.sort_array(F.flatten(F.collect_list("codes"))).alias("code"))
 
 
 def append_sep(visits: DataFrame, col: str = "code") -> DataFrame:
@@ -52,28 +59,39 @@ def visit_ages(visits: Column, yob: Column) -> Column:
         age_in_months(v["eventdate"], yob).cast("string"), F.size(v["code"]) + 1)))
 
 
-def collect_visits(when: Column | None = None, max_codes: int | None = None) -> Column:
-    """Aggregate of visit rows to an array ordered by date, with at most the last
-    max_codes codes of each visit where a reader takes no more."""
-    code = F.col("code") if max_codes is None else tail(F.col("code"), max_codes)
-    visit = F.struct("eventdate", code.alias("code"))
-    return F.sort_array(F.collect_list(visit if when is None else F.when(when, visit)))
+def collect_visits() -> Column:
+    """Aggregate of visit rows to an array ordered by date."""
+    return F.sort_array(F.collect_list(F.struct("eventdate", "code")))
+
+
+def with_parts(visits: DataFrame, tokens_per_row: int = TOKENS_PER_ROW) -> DataFrame:
+    """Visits with the `part` of the sequence they stand in.
+
+    Tokens are summed by month, and a month is in the part in which its first token is: a part
+    has fewer than `tokens_per_row` tokens and one month more. The window runs over the months
+    of a person and carries sizes only.
+    """
+    month = F.trunc("eventdate", "month")
+    sizes = (visits.groupBy("patid", month.alias("_month"))
+             .agg(F.sum(F.size("code") + 1).alias("n")))
+    before = (Window.partitionBy("patid").orderBy("_month")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(F.sum("n").over(before), F.lit(0))
+    parts = sizes.select("patid", "_month",
+                         F.floor(start / tokens_per_row).cast("bigint").alias("part"))
+    return visits.withColumn("_month", month).join(parts, ["patid", "_month"]).drop("_month")
 
 
 def build_sequences(visits: DataFrame, demographic: DataFrame,
                     tokens_per_row: int = TOKENS_PER_ROW) -> DataFrame:
-    """The whole token and age sequence of every person, in date order.
+    """The whole token and age sequence of every person in date order: (patid, part, code, age).
 
-    A sequence longer than `tokens_per_row` continues in further rows
-    (`part` 0, 1, ...), cut between visits, so no row grows without bound;
-    every other person has the one row with part 0. The demographic join comes
-    last, on one row per person, and reuses the partitioning by person.
+    Parts are cut between visits, and a person's parts one after the other are the sequence.
+    Consumers take the `part` column as a parameter. The demographic join comes last, on one
+    row per part.
     """
-    before = (Window.partitionBy("patid").orderBy("eventdate")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce(F.sum(F.size("code") + 1).over(before), F.lit(0))
-    parts = (visits.withColumn("part", F.floor(start / tokens_per_row).cast("bigint"))
-             .groupBy("patid", "part").agg(collect_visits().alias("visits")))
+    parts = (with_parts(visits, tokens_per_row).groupBy("patid", "part")
+             .agg(collect_visits().alias("visits")))
     return parts.join(demographic, "patid").select(
         "patid", "part",
         visit_tokens(F.col("visits")).alias("code"),
@@ -111,56 +129,80 @@ def sequence_tails(visits: DataFrame, demographic: DataFrame, max_len: int,
 
 
 def min_visits(visits: DataFrame, n: int = MIN_VISITS) -> DataFrame:
-    """Visits of the persons that have at least n of them."""
-    per_person = Window.partitionBy("patid")
-    return (visits.withColumn("n_visits", F.count("*").over(per_person))
-            .where(F.col("n_visits") >= n).drop("n_visits"))
+    """Visits of the persons that have at least n of them: a count and a semi-join."""
+    enough = visits.groupBy("patid").agg(F.count("*").alias("n")).where(F.col("n") >= n)
+    return visits.join(enough.select("patid"), "patid", "left_semi")
 
 
 def min_visits_of_sequences(sequences: DataFrame, n: int = MIN_VISITS,
-                            code_col: str = "code") -> DataFrame:
-    """Stored sequences of the persons with at least n separators in all their parts."""
-    found = count_token(F.col(code_col))
-    if "part" not in sequences.columns:
-        return sequences.where(found >= n)
-    counted = sequences.withColumn("n_visits", F.sum(found).over(Window.partitionBy("patid")))
-    return counted.where(F.col("n_visits") >= n).drop("n_visits")
+                            code_col: str = "code", key=("patid",)) -> DataFrame:
+    """Stored sequences of the keys with at least n separators in all their rows."""
+    enough = (sequences.groupBy(*key).agg(F.sum(count_token(F.col(code_col))).alias("_n"))
+              .where(F.col("_n") >= n).select(*key))
+    return sequences.join(enough, list(key), "left_semi")
 
 
-def last_tokens(sequences: DataFrame, max_len: int) -> DataFrame:
-    """One row per person with the last max_len - 1 tokens of stored sequences.
+def last_tokens(sequences: DataFrame, max_len: int, key=("patid",), part: str = "part",
+                same=()) -> DataFrame:
+    """One row per key with the last max_len - 1 tokens of sequences stored in parts.
 
-    Every part is cut before the shuffle, and parts that the end of the
-    sequence does not reach are dropped.
+    Every part is cut before the shuffle, and parts that the end of the sequence does not reach
+    are dropped by their sizes. `same` are columns that all rows of a key share (labels).
     """
     keep = max_len - 1
-    after = (Window.partitionBy("patid").orderBy(F.desc("part"))
+    after = (Window.partitionBy(*key).orderBy(F.desc("_part"))
              .rowsBetween(Window.unboundedPreceding, -1))
-    ends = sequences.select("patid", "part", F.size("code").alias("n"),
+    ends = sequences.select(*key, F.col(part).alias("_part"), F.size("code").alias("_n"),
                             tail(F.col("code"), keep).alias("code"),
-                            tail(F.col("age"), keep).alias("age"))
-    reached = (ends.withColumn("behind", F.coalesce(F.sum("n").over(after), F.lit(0)))
-               .where(F.col("behind") < keep))
-    joined = (reached.groupBy("patid")
-              .agg(F.sort_array(F.collect_list(F.struct("part", "code", "age"))).alias("parts"))
-              .select("patid", F.flatten("parts.code").alias("code"),
-                      F.flatten("parts.age").alias("age")))
-    return joined.withColumns({"code": tail(F.col("code"), keep), "age": tail(F.col("age"), keep)})
-
-
-def running_history(visits: DataFrame, max_len: int, cols=("code", "age")) -> DataFrame:
-    """The history up to each visit, for visits whose arrays end in a separator.
-
-    The whole history is the first `n_tokens` tokens of the person's sequence;
-    repeating it in every row would grow with the square of the visits. What a
-    row carries is the end of it that an encoder reads, max_len - 1 tokens.
+                            tail(F.col("age"), keep).alias("age"), *same)
+    reached = (ends.withColumn("_behind", F.coalesce(F.sum("_n").over(after), F.lit(0)))
+               .where((F.col("_behind") < keep) | (F.col("_n") == 0)))
+    joined = reached.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("_part", "code", "age"))).alias("parts"),
+        *[F.first(c).alias(c) for c in same])
+    return joined.select(*key, tail(F.flatten("parts.code"), keep).alias("code"),
+                         tail(F.flatten("parts.age"), keep).alias("age"), *same)
+
+
+def history_index(visits: DataFrame) -> DataFrame:
+    """The history up to each visit by reference: it is the first `n_tokens` tokens of the
+    person's sequence. Repeating it in every row would grow with the square of the visits."""
+    so_far = Window.partitionBy("patid").orderBy("eventdate")
+    return (visits.select("patid", "eventdate", (F.size("code") + 1).alias("n"))
+            .select("patid", "eventdate",
+                    F.row_number().over(so_far).cast("bigint").alias("n_visits"),
+                    F.sum("n").over(so_far).alias("n_tokens")))
+
+
+def history_prefixes(index: DataFrame, sequences: DataFrame) -> DataFrame:
+    """The histories of `index` taken out of a sequence table: one row per visit and part."""
+    parts = Window.partitionBy("patid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sequences.select("patid", "part", F.size("code").alias("n")).select(
+        "patid", "part", F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("start"))
+    wanted = index.join(starts, "patid").where(F.col("start") < F.col("n_tokens"))
+    left = (F.col("n_tokens") - F.col("start")).cast("int")
+    return wanted.join(sequences, ["patid", "part"]).select(
+        "patid", "eventdate", "n_visits", "n_tokens", "part",
+        F.slice("code", 1, left).alias("code"), F.slice("age", 1, left).alias("age"))
+
+
+def running_history(visits: DataFrame, demographic: DataFrame, max_len: int) -> DataFrame:
+    """The end of the history at each visit: the last max_len - 1 tokens, as an encoder reads it.
+
+    A visit is cut to that length before the window repeats it; ages follow from the dates and
+    are made last. The whole history is `history_index`.
     """
+    keep = max_len - 1
     order = Window.partitionBy("patid").orderBy("eventdate")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     recent = order.rowsBetween(1 - tail_visits(max_len), Window.currentRow)
-    rows = visits.select(
+    cut = visits.select("patid", "eventdate", (F.size("code") + 1).alias("n"),
+                        F.struct("eventdate", tail(F.col("code"), keep).alias("code")).alias("v"))
+    rows = cut.select(
         "patid", "eventdate",
         F.row_number().over(order).cast("bigint").alias("n_visits"),
-        F.sum(F.size(cols[0])).over(so_far).alias("n_tokens"),
-        *[F.collect_list(c).over(recent).alias(c) for c in cols])
-    return rows.withColumns({c: tail(F.flatten(c), max_len - 1) for c in cols})
+        F.sum("n").over(order).alias("n_tokens"),
+        F.collect_list("v").over(recent).alias("visits"))
+    return rows.join(demographic, "patid").select(
+        "patid", "eventdate", "n_visits", "n_tokens",
+        tail(visit_tokens(F.col("visits")), keep).alias("code"),
+        tail(visit_ages(F.col("visits"), F.col("yob")), keep).alias("age"))

@@ -1,4 +1,4 @@
-"""Vocabularies as dimension tables: one row per token with a dense id."""
+"""Vocabularies as dimension tables: one row per token with its id."""
 
 from dataclasses import dataclass
 
@@ -7,35 +7,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from visitseq.constants import AGE_SYMBOLS, MAX_AGE, NOT_LABELS, SPECIALS
 from visitseq.functions.ages import age_count
 from visitseq.operators.indexing import with_row_index
-from visitseq.sources.scratch import materialize
 
 
-def build_vocab(events: DataFrame, code_col: str = "code", min_count: int = 1) -> DataFrame:
+def build_vocab(codes: DataFrame, code_col: str = "code", min_count: int = 1) -> DataFrame:
     """Specials first, then the codes by falling count and, among equals, by name.
 
-    Counting combines map-side, so a very common code costs one row per task.
-    The ids are fixed in a written table, from which the result is read.
+    A code counts once per row: `plans.visit_vocab` gives one row per visit and code. Counting
+    combines map-side, so a very common code costs one row per task. The ids are fixed in the
+    table that the row index writes.
     """
-    counts = (events.groupBy(F.col(code_col).cast("string").alias("token"))
+    counts = (codes.groupBy(F.col(code_col).cast("string").alias("token"))
               .agg(F.count("*").alias("n"))
               .where((F.col("n") >= min_count) & ~F.col("token").isin(*SPECIALS)))
     ranked = with_row_index(counts, [F.desc("n"), F.asc("token")], "rank")
-    codes = ranked.select("token", (F.col("rank") + len(SPECIALS)).cast("int").alias("token_id"))
-    specials = events.sparkSession.createDataFrame(
+    known = ranked.select("token", (F.col("rank") + len(SPECIALS)).cast("int").alias("token_id"))
+    specials = codes.sparkSession.createDataFrame(
         [(t, i) for i, t in enumerate(SPECIALS)], "token string, token_id int")
-    return materialize(specials.unionByName(codes), "vocab")
+    return specials.unionByName(known)
 
 
 def label_vocab(vocab: DataFrame) -> DataFrame:
-    """Tokens that can be a label, with dense ids in the order of the vocabulary.
+    """Tokens that can be a label, with dense ids in the order of the vocabulary, whatever the
+    token ids are."""
+    tokens = vocab.where(~F.col("token").isin(*NOT_LABELS)).select("token", "token_id")
+    return with_row_index(tokens, ["token_id"], "label_id").select(
+        "token", F.col("label_id").cast("int").alias("label_id"))
 
-    Token ids are dense, so the id only moves down by the removed tokens below it.
-    """
-    removed = [r["token_id"] for r in
-               vocab.where(F.col("token").isin(*NOT_LABELS)).select("token_id").collect()]
-    below = sum((F.when(F.col("token_id") > i, 1).otherwise(0) for i in removed), F.lit(0))
-    return (vocab.where(~F.col("token").isin(*NOT_LABELS))
-            .select("token", (F.col("token_id") - below).cast("int").alias("label_id")))
+
+def label_of_token(vocab: DataFrame, label_vocab: DataFrame) -> DataFrame:
+    """(token_id, label_id) of the tokens that can be a label."""
+    return vocab.join(label_vocab, "token").select(
+        F.col("token_id").cast("bigint"), F.col("label_id").cast("bigint"))
 
 
 def age_vocab(spark: SparkSession, max_age: int = MAX_AGE, mon: int = 1,
@@ -59,6 +61,7 @@ class VocabFacts:
     size: int
     n_bytes: int
     ids: dict
+    dense: bool = True  # whether the ids are 0 .. size - 1
 
 
 def vocab_facts(vocab: DataFrame, id_col: str = "token_id") -> VocabFacts:
@@ -66,6 +69,8 @@ def vocab_facts(vocab: DataFrame, id_col: str = "token_id") -> VocabFacts:
     row = vocab.agg(
         F.count("*").alias("size"),
         F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("n_bytes"),
+        F.min(id_col).alias("low"), F.max(id_col).alias("high"),
         *[F.max(F.when(F.col("token") == t, F.col(id_col))).alias(t) for t in SPECIALS]).head()
     return VocabFacts(row["size"], row["n_bytes"],
-                      {t: row[t] for t in SPECIALS if row[t] is not None})
+                      {t: row[t] for t in SPECIALS if row[t] is not None},
+                      row["low"] == 0 and row["high"] == row["size"] - 1)

@@ -1,30 +1,47 @@
-"""Labelled and encoded tables for predicting future codes."""
+"""Labelled and encoded tables for predicting future codes, and their report."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from visitseq.constants import MIN_VISITS, PREDICTION_MAX_LEN
+from visitseq.operators import metrics, score
 from visitseq.operators.encode import encode_next_visit
 from visitseq.operators.events import unique_demographic
 from visitseq.operators.labels import (
-    label_horizon, label_next_visit, pick_cuts, split_patients)
+    distinct_labels, label_horizon, label_next_visit, pick_cuts, split_patients)
+from visitseq.operators.visits import TOKENS_PER_ROW
 from visitseq.operators.vocab import label_vocab
+from visitseq.sources.scratch import materialize
+
+KEY = ("patid", "split")
 
 
 def labelled_rows(visits: DataFrame, demographic: DataFrame, months: int | None = None,
-                  max_len: int = PREDICTION_MAX_LEN, min_visits: int = MIN_VISITS,
-                  test_share: float = 0.2, seed: int = 0) -> DataFrame:
-    """History, label and split per person; months=None labels the next visit."""
+                  min_visits: int = MIN_VISITS, test_share: float = 0.2, seed: int = 0,
+                  tokens_per_row: int = TOKENS_PER_ROW) -> DataFrame:
+    """(patid, cut_date, part, code, age, label, split): whole histories in parts, whole label
+    lists; months=None labels the next visit."""
     cuts = pick_cuts(visits, min_visits - 1, seed)
     people = unique_demographic(demographic)
     if months is None:
-        rows = label_next_visit(cuts, people, max_len)
+        rows = label_next_visit(visits, cuts, people, tokens_per_row)
     else:
-        rows = label_horizon(cuts, people, months, max_len)
+        rows = label_horizon(visits, cuts, people, months, tokens_per_row)
     return split_patients(rows, test_share, seed)
 
 
 def prediction_table(labelled: DataFrame, vocab: DataFrame, max_len: int = PREDICTION_MAX_LEN,
-                     test_share: float = 0.2, seed: int = 0) -> DataFrame:
-    """Encoded rows of a labelled table, with the split of each person."""
-    encoded = encode_next_visit(labelled, vocab, label_vocab(vocab), max_len)
-    return split_patients(encoded, test_share, seed)
+                     key=KEY, part: str | None = "part", names: DataFrame | None = None
+                     ) -> DataFrame:
+    """Encoded rows of a labelled table; the split stays as it was drawn, as part of the key."""
+    names = label_vocab(vocab) if names is None else names
+    return encode_next_visit(distinct_labels(labelled), vocab, names, max_len, key=key, part=part)
+
+
+def counting_report(train: DataFrame, test: DataFrame, vocab: DataFrame, names: DataFrame,
+                    key=("patid",)) -> DataFrame:
+    """One row: the metrics of the counting scorer on encoded test rows."""
+    weights = materialize(score.label_weights(train, vocab, names, key), "weights")
+    scored = score.next_code_scores(test, weights, vocab, names, key)
+    n_labels, loss = weights.agg(
+        F.count("*"), F.sum(metrics.soft_margin(F.col("if_new"), F.lit(0)))).head()
+    return metrics.mean_metrics(metrics.sparse_sample_metrics(scored, n_labels, loss or 0.0, key))

@@ -8,7 +8,6 @@ from visitseq.operators.encode import encode_sequences
 from visitseq.operators.events import unique_demographic
 from visitseq.operators.masking import mask_rows
 from visitseq.operators.visits import sequence_tails
-from visitseq.operators.vocab import vocab_facts
 from visitseq.sources.scratch import materialize
 
 
@@ -20,11 +19,12 @@ def encoded_table(visits: DataFrame, demographic: DataFrame, vocab: DataFrame,
 
 
 def pretraining_table(encoded: DataFrame, vocab: DataFrame, max_len: int = MLM_MAX_LEN,
-                      epoch: int = 0, seed: int = 0,
-                      batch_size: int = BATCH_SIZE) -> DataFrame:
+                      epoch: int = 0, seed: int = 0, batch_size: int = BATCH_SIZE,
+                      key=("patid",)) -> DataFrame:
     """One epoch of an encoded table: its batches, in a new order, with a new mask.
 
-    The only shuffle is the one into the order of the epoch.
+    `key` are the columns that identify a row; order and mask are drawn from them. The only
+    shuffle is the one into the order of the epoch.
     """
-    batches = assign_batches(encoded, batch_size, epoch, seed)
-    return mask_rows(batches, vocab_facts(vocab), max_len, epoch, seed)
+    batches = assign_batches(encoded, batch_size, epoch, seed, key)
+    return mask_rows(batches, vocab, max_len, epoch, seed, key=key)

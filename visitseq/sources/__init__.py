@@ -1,8 +1,8 @@
 from visitseq.sources.readers import read_csv, read_parquet, read_tsv, read_vocab
-from visitseq.sources.scratch import materialize, scratch_path
+from visitseq.sources.scratch import drop_table, materialize, scratch_path
 from visitseq.sources.writers import write_parquet, write_tsv, write_vocab
 
 __all__ = [
-    "materialize", "read_csv", "read_parquet", "read_tsv", "read_vocab",
+    "drop_table", "materialize", "read_csv", "read_parquet", "read_tsv", "read_vocab",
     "scratch_path", "write_parquet", "write_tsv", "write_vocab",
 ]

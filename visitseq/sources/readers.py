@@ -3,23 +3,36 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+def _header(spark: SparkSession, path: str) -> str:
+    """The first line with text in the first file, by name, that holds anything."""
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
+    first = files.agg(F.min("path")).head()[0]  # names and lengths only, no content
+    line = first and spark.read.text(first).where(F.length("value") > 0).head()
+    if not line:
+        raise ValueError(f"no header line in {path}")
+    return line["value"]
+
+
+def read_tsv(spark: SparkSession, path: str, ragged: str = "raise") -> DataFrame:
     """Tab-separated text with a header; every column is a string.
 
     Every line equal to the header is dropped, wherever it stands, so parts
     with and without a header line mix. There is no quoting and an empty field
-    stays an empty string, which the CSV reader cannot be told to do.
+    stays an empty string, which the CSV reader cannot be told to do. A line with
+    another number of fields than the header stops the job; with ragged="drop"
+    such lines are left out.
     """
-    lines = spark.read.text(path)
-    files = sorted(lines.inputFiles())
-    first = spark.read.text(files[0]).head() if files else None
-    if first is None:
-        raise ValueError(f"no header line in {path}")
-    header = first["value"]
+    if ragged not in ("raise", "drop"):
+        raise ValueError(f"ragged must be raise or drop, not {ragged}")
+    header = _header(spark, path)
+    names = header.split("\t")
     fields = F.split("value", "\t", -1)
-    return (lines.where(F.col("value") != header)
-            .select(*[F.get(fields, F.lit(i)).alias(name)
-                      for i, name in enumerate(header.split("\t"))]))
+    fits = F.size(fields) == len(names)
+    if ragged == "raise":
+        message = F.concat(F.lit(f"not {len(names)} fields: "), F.substring("value", 1, 200))
+        fits = F.when(fits, True).otherwise(F.raise_error(message).cast("boolean"))
+    return (spark.read.text(path).where(F.col("value") != header).where(fits)
+            .select(*[F.get(fields, F.lit(i)).alias(name) for i, name in enumerate(names)]))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -27,14 +40,29 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True)
 
 
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The type with every binary in it replaced by string."""
+    if isinstance(kind, T.BinaryType):
+        return T.StringType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_text(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(_as_text(kind.keyType), _as_text(kind.valueType), kind.valueContainsNull)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType), f.nullable)
+                             for f in kind.fields])
+    return kind
+
+
 def read_parquet(spark: SparkSession, path: str, binary_as_string: bool = True) -> DataFrame:
-    """Parquet; binary columns are read as text, as old writers leave them."""
+    """Parquet; binary is read as text, also inside arrays, maps and structs, as old writers
+    leave it."""
     df = spark.read.parquet(path)
     if not binary_as_string:
         return df
     return df.select(*[
-        F.col(f"`{f.name}`").cast("string").alias(f.name)
-        if isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`")
+        F.col(f"`{f.name}`").cast(_as_text(f.dataType)).alias(f.name)
+        if _as_text(f.dataType) != f.dataType else F.col(f"`{f.name}`")
         for f in df.schema.fields])
 
 

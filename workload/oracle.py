@@ -1,8 +1,10 @@
 """The registered queries in DuckDB SQL, put together from common table expressions."""
 
-MAX_LEN = 16
+from workload.tables import GAPPED_SPECIALS
+
+SHORT, MLM, PREDICTION = 16, 64, 100
 MIN_COUNT = 30
-BATCH = 64
+BATCH, BATCH_SIZE = 64, 256
 SEED = 7
 
 _EVENTS = """raw as (select o_custkey patid, cast(o_orderdate as date) eventdate, p_brand code
@@ -29,11 +31,18 @@ days as (select patid, eventdate, row_number() over (partition by patid order by
 
 _BASE = ",\n".join([_EVENTS, _PEOPLE, _AGED, _TOKENS])
 
-# The last max_len - 1 tokens of persons with five visits.
-_TAILS = f"""seq as (select patid, pos, token, age from (
-    select tok.*, count(*) over (partition by tok.patid) n from tok
-    where patid in (select patid from days where n_visits >= 5))
-  where pos >= n - {MAX_LEN - 1})"""
+
+def _cut(source: str, max_len: int) -> str:
+    """seq: the last max_len - 1 tokens of a person in a table (patid, pos, token, age, n)."""
+    return f"seq as (select patid, pos, token, age from {source} where pos >= n - {max_len - 1})"
+
+
+def _tails(max_len: int) -> str:
+    """seq for the persons with five visits."""
+    return f"""long_tok as (select tok.*, count(*) over (partition by tok.patid) n from tok
+  where patid in (select patid from days where n_visits >= 5)),
+{_cut("long_tok", max_len)}"""
+
 
 # Start token, from a table seq(patid, pos, token, age) that is cut already.
 _STARTED = """cut as (select patid, row_number() over (partition by patid order by pos) - 1 i,
@@ -44,8 +53,10 @@ started as (select cut.patid, i + (case when on_sep then 0 else 1 end) i,
   from cut join head using (patid)
   union all select patid, 0, 'CLS', age from head where not on_sep)"""
 
-_PADDED = f"""grid as (select patid, range pos from (select distinct patid from started),
-  range({MAX_LEN})),
+
+def _padded(max_len: int) -> str:
+    return f"""grid as (select patid, range pos from (select distinct patid from started),
+  range({max_len})),
 pads as (select grid.patid, grid.pos, coalesce(token, 'PAD') token, age,
     cast(token is not null as bigint) mask,
     cast(coalesce(sum(case when token = 'SEP' then 1 else 0 end) over (
@@ -54,16 +65,24 @@ pads as (select grid.patid, grid.pos, coalesce(token, 'PAD') token, age,
   from grid left join started on started.patid = grid.patid and started.i = grid.pos)"""
 
 
-def _vocab(source: str, min_count: int = 1) -> str:
+_GAPPED = " ".join(f"when '{t}' then {i}" for t, i in GAPPED_SPECIALS.items())
+
+
+def _vocab(source: str, min_count: int = 1, gapped: bool = False) -> str:
     """vocab(token, token_id) and names(token, label_id)."""
+    own = f"case token {_GAPPED} else id * 10 + 3 end" if gapped else "id"
     return f"""ranked as (select code token, row_number() over (order by count(*) desc, code) + 4 id
   from {source} group by code having count(*) >= {min_count}),
-vocab as (select token, cast(id as int) token_id from ranked union all
-  select * from (values ('PAD', 0), ('UNK', 1), ('SEP', 2), ('CLS', 3), ('MASK', 4)) x(t, i)),
+vocab as (select token, cast({own} as int) token_id from (select * from ranked union all
+  select * from (values ('PAD', 0), ('UNK', 1), ('SEP', 2), ('CLS', 3), ('MASK', 4)) x(token, id))),
 names as (select token, cast(row_number() over (order by token_id) - 1 as int) label_id
   from vocab where token not in ('PAD', 'SEP', 'CLS', 'MASK'))"""
 
 
+def _special(token: str) -> str:
+    return f"(select token_id from vocab where token = '{token}')"
+
+
 def _draw(key: str, number: int = 0) -> str:
     return f"('0x' || substr(md5({key}), {1 + 8 * number}, 8))::bigint / 4294967296.0"
 
@@ -75,53 +94,90 @@ cut_days as (select patid, eventdate cut_date, last_date, cut_no from cuts
   where visit_no = cut_no)"""
 
 
-def _labelled(in_label: str, people: str = "true") -> str:
-    """seq: the history tail of persons with a cut; lab: their label codes."""
+def _labelled(months: int | None) -> str:
+    """hist: the whole history of the persons with a cut; lab: their label codes."""
+    end = f"cut_date + interval {months} month"
+    people = f"last_date >= {end}" if months else "true"
+    rule = f"eventdate > cut_date and eventdate <= {end}" if months else "visit_no = cut_no + 1"
     return f"""{_CUTS},
 held as (select * from cut_days where {people}),
-seq as (select patid, pos, token, age from (
-    select tok.*, count(*) over (partition by patid) n from tok join held using (patid)
-    where eventdate <= cut_date)
-  where pos >= n - {MAX_LEN - 1}),
+hist as (select tok.patid, eventdate, pos, token, age, count(*) over (partition by patid) n
+  from tok join held using (patid) where eventdate <= cut_date),
 lab as (select distinct patid, code from ev join held using (patid)
-  join cuts using (patid, eventdate, cut_no) where {in_label})"""
+  join cuts using (patid, eventdate, cut_no) where {rule})"""
+
 
+# A row takes the visits of the months that start in the same hundred thousand tokens.
+def _parts(source: str) -> str:
+    return f"""parted as (select *, min(pos) over (
+  partition by patid, date_trunc('month', eventdate)) // 100000 part from {source}),
+texts as (select patid, part, string_agg(token, ' ' order by pos) code,
+  string_agg(cast(age as varchar), ' ' order by pos) age from parted group by patid, part)"""
 
-_NEXT = _labelled("visit_no = cut_no + 1")
 
-_LABEL_TEXT = """select patid, cast(cut_date as varchar) cut_date, code, age, coalesce(label, '') as label
-from held join (select patid, string_agg(token, ' ' order by pos) code,
-    string_agg(cast(age as varchar), ' ' order by pos) age from seq group by 1) using (patid)
+def _label_text(months: int | None) -> str:
+    return f"""with {_BASE}, {_labelled(months)}, {_parts('hist')}
+select patid, cast(cut_date as varchar) cut_date, part, code, age, coalesce(label, '') as label
+from held join texts using (patid)
   left join (select patid, string_agg(code, ' ' order by code) as label from lab group by 1)
     using (patid)"""
 
 
-def _horizon(months: int) -> str:
-    end = f"cut_date + interval {months} month"
-    rule = _labelled(f"eventdate > cut_date and eventdate <= {end}", f"last_date >= {end}")
-    return f"with {_BASE}, {rule} {_LABEL_TEXT}"
+# Label ids in order.
+_LABEL_IDS = """lab_ids as (select patid, coalesce(label_id, 0) label_id, row_number() over (
+  partition by patid order by label_id) - 1 pos
+  from lab join names on names.token = lab.code)"""
+
 
+def _encoded(months: int | None = None, gapped: bool = False) -> str:
+    return f"""{_BASE}, {_labelled(months)}, {_cut('hist', PREDICTION)}, {_STARTED},
+{_padded(PREDICTION)}, {_vocab('ev', gapped=gapped)}, {_LABEL_IDS}"""
 
-# Label ids in order, cut at max_len.
-_LABEL_IDS = f"""lab_ids as (select patid, label_id, row_number() over (partition by patid
-  order by label_id) - 1 pos from lab join names on names.token = lab.code
-  qualify pos < {MAX_LEN})"""
 
-_ENCODED_CODE = """select pads.patid, pads.pos,
+def _encode(months: int | None = None) -> str:
+    return f"""with {_encoded(months)}
+select pads.patid, pads.pos,
   cast(case when mask = 0 then 0 else least(age, 99999) + 2 end as bigint) age,
-  cast(coalesce(token_id, 1) as bigint) code, position, position % 2 segment, mask"""
+  cast(coalesce(token_id, 1) as bigint) code, position, position % 2 segment, mask,
+  cast(coalesce(label_id, -1) as bigint) as label
+from pads left join vocab using (token) left join lab_ids using (patid, pos)"""
+
+
+def _hot(gapped: bool = False) -> str:
+    return f"""with {_encoded(gapped=gapped)}
+select held.patid, cast(names.label_id as bigint) label_id,
+  cast(lab_ids.patid is not null as bigint) target
+from held cross join names left join lab_ids
+  on lab_ids.patid = held.patid and lab_ids.label_id = names.label_id"""
 
-_NEXT_ENCODED = f"""{_BASE}, {_NEXT}, {_STARTED}, {_PADDED}, {_vocab("ev")}, {_LABEL_IDS}"""
 
-_MASK_DRAWS = f"""drawn as (select patid, i pos, cast(coalesce(token_id, 1) as bigint) token_id,
+def _mask_draws(drop_kept: bool = False) -> str:
+    kept = "null" if drop_kept else "token_id"
+    return f"""drawn as (select patid, i pos, cast(coalesce(token_id, {_special('UNK')}) as bigint) token_id,
     {_draw(f"patid || '|' || i || '|1|{SEED}'")} u,
     {_draw(f"patid || '|' || i || '|1|{SEED}'", 1)} u2
   from started left join vocab using (token)),
+sizes as (select list(token_id order by token_id) ids, count(*) n from vocab),
 masked as (select patid, pos, token_id,
-  cast(case when u < 0.12 then 4
-    when u < 0.135 then floor(u2 * (select count(*) from vocab)) else token_id end as bigint)
-    output_id,
-  cast(case when u < 0.15 then token_id else -1 end as bigint) as label from drawn)"""
+  cast(case when u < 0.12 then {_special('MASK')}
+    when u < 0.135 then ids[cast(floor(u2 * n) as int) + 1]
+    when u < 0.15 then {kept} else token_id end as bigint) output_id,
+  cast(case when u < 0.15 then token_id else -1 end as bigint) as label from drawn, sizes)"""
+
+
+def _random_mask(gapped: bool = False, drop_kept: bool = False) -> str:
+    return f"""with {_BASE}, {_tails(MLM)}, {_STARTED}, {_vocab('ev', gapped=gapped)},
+{_mask_draws(drop_kept)} select * from masked"""
+
+
+def _mlm(gapped: bool = False, more: str = "", columns: str = "", joins: str = "") -> str:
+    return f"""with {_BASE}, {_tails(MLM)}, {_STARTED}, {_padded(MLM)}, {_vocab('ev', gapped=gapped)},
+{_mask_draws()}{more}
+select pads.patid, {columns} pads.pos, cast(case when mask = 0 then 0 else age + 2 end as bigint) age,
+  coalesce(output_id, {_special('PAD')}) code, position, position % 2 segment, mask,
+  coalesce(masked.label, -1) as label
+from pads left join masked using (patid, pos) {joins}"""
+
 
 _SCORED = """scored as (select vec_id sample_id, k label_id,
   round(cast(embedding[k + 1] as double), 1) + 0.0 logit,
@@ -145,18 +201,13 @@ losses as (select sample_id, sum({_LOSS}) loss, count(*) n from scored group by
 _MASKED = """masked as (select vec_id, k, label, round(cast(embedding[k + 1] as double), 2) + 0.0 x
   from embeddings, range(64) t(k) where vec_id % 7 <> 0)"""
 
-_BATCH_LOSSES = """steps as (select cast(l_linenumber as bigint) epoch, l_orderkey step,
-  sum(l_discount) loss, sum(l_quantity) examples from lineitem group by 1, 2)"""
+_BATCH_LOSSES = """steps as (select cast(l_linenumber as bigint) epoch, row_number() over (
+    partition by l_linenumber order by l_orderkey, l_partkey, l_suppkey) - 1 step,
+  l_discount loss, l_quantity examples from lineitem)"""
 
 _EPOCH_LOSSES = """sums as (select epoch, sum(loss) loss, sum(examples) examples,
   count(*) steps from steps group by 1)"""
 
-# A row takes the visits that start in the same hundred thousand tokens.
-_SEQUENCES = """select patid, part,
-  string_agg(token, ' ' order by pos) code, string_agg(cast(age as varchar), ' ' order by pos) age
-from (select *, min(pos) over (partition by patid, eventdate) // 100000 part from tok)
-group by patid, part"""
-
 # Scores by counting: distinct history labels and next labels of each person.
 _SCORES = f"""split as (select patid, {_draw(f"patid || '|split|{SEED}'")} < 0.2 test from held),
 history as (select distinct patid, label_id from started join names using (token)),
@@ -177,11 +228,20 @@ scored as (select split.patid sample_id, cast(w.label_id as bigint) label_id,
     on marks.patid = split.patid and marks.label_id = w.label_id where test)"""
 
 
-_MLM = f"""with {_BASE}, {_TAILS}, {_STARTED}, {_PADDED}, {_vocab('ev')}, {_MASK_DRAWS}
-select pads.patid, pads.pos, cast(case when mask = 0 then 0 else age + 2 end as bigint) age,
-  coalesce(output_id, 0) code, position, position % 2 segment, mask,
-  coalesce(masked.label, -1) as label
-from pads left join masked using (patid, pos)"""
+def _report(months: int | None = None, gapped: bool = False) -> str:
+    return f"""with {_encoded(months, gapped)}, {_SCORES}, {_SAMPLES}
+select round(avg(ap), 9) ap, round(avg(auc), 9) auc, count(auc) rated, count(*) samples
+from samples"""
+
+
+def _part_ids(min_count: int = 1, unknown: str = "1") -> str:
+    return f"""with {_PART_EVENTS}, {_vocab('ev', min_count)}
+select patid, cast(eventdate as varchar) eventdate, code token,
+  cast(coalesce(token_id, {unknown}) as bigint) token_id from ev left join vocab on token = code"""
+
+
+_YEARS = f"""with {_EVENTS}, {_PEOPLE}, years as (select patid, eventdate, code,
+  cast(year(eventdate) - yob as bigint) age from ev join people using (patid))"""
 
 ORACLE = {
     "clean_events": f"""with {_EVENTS}
@@ -190,6 +250,9 @@ select patid, cast(eventdate as varchar) eventdate, code from ev""",
     "events_with_age": f"""with {_EVENTS}, {_PEOPLE}, {_AGED}
 select patid, cast(eventdate as varchar) eventdate, cast(age as varchar) age, code from aged""",
 
+    "events_with_age_years": f"""{_YEARS}
+select patid, cast(eventdate as varchar) eventdate, code, age from years""",
+
     "demographic_conflicts": """select count(*) persons, count(*) filter (lo < hi) conflicting
 from (select o_custkey, min(year(o_orderdate)) lo, max(year(o_orderdate)) hi
   from orders group by 1)""",
@@ -198,24 +261,33 @@ from (select o_custkey, min(year(o_orderdate)) lo, max(year(o_orderdate)) hi
 select patid, cast(eventdate as varchar) eventdate, string_agg(token, ' ' order by pos) code,
   string_agg(cast(age as varchar), ' ' order by pos) age from tok group by patid, eventdate""",
 
-    "sequences": f"with {_BASE} {_SEQUENCES}",
+    "sequences": f"with {_BASE}, {_parts('tok')} select patid, part, code, age from texts",
 
-    "part_sequences": f"""with {_PART_EVENTS}, {_PEOPLE}, {_AGED}, {_TOKENS} {_SEQUENCES}""",
+    "part_sequences": f"""with {_PART_EVENTS}, {_PEOPLE}, {_AGED}, {_TOKENS}, {_parts('tok')}
+select patid, part, code, age from texts""",
 
     "running_history": f"""with {_BASE},
 ends as (select patid, eventdate, visit_no, (select count(*) from tok t
   where t.patid = days.patid and t.eventdate <= days.eventdate) n from days)
 select ends.patid, cast(ends.eventdate as varchar) eventdate, visit_no n_visits, n n_tokens,
   string_agg(token, ' ' order by pos) code, string_agg(cast(age as varchar), ' ' order by pos) age
-from ends join tok on tok.patid = ends.patid and pos < n and pos >= n - {MAX_LEN - 1}
+from ends join tok on tok.patid = ends.patid and pos < n and pos >= n - {MLM - 1}
 group by 1, 2, 3, 4""",
 
+    "history_prefixes": f"""with {_BASE},
+ends as (select patid, eventdate, visit_no, (select count(*) from tok t
+  where t.patid = days.patid and t.eventdate <= days.eventdate) n from days)
+select ends.patid, cast(ends.eventdate as varchar) eventdate, cast(0 as bigint) part,
+  visit_no n_visits, n n_tokens, md5(string_agg(token, ' ' order by pos) || '|' ||
+    string_agg(cast(age as varchar), ' ' order by pos)) digest
+from ends join tok on tok.patid = ends.patid and pos < n group by 1, 2, 3, 4, 5""",
+
     "min_visits": f"""with {_EVENTS}
 select patid, cast(eventdate as varchar) eventdate, string_agg(code, ' ' order by code) code
 from ev where patid in (select patid from ev group by 1 having count(distinct eventdate) >= 10)
 group by patid, eventdate""",
 
-    "sequence_tails": f"""with {_BASE}, {_TAILS}
+    "sequence_tails": f"""with {_BASE}, {_tails(MLM)}
 select patid, string_agg(token, ' ' order by pos) code,
   string_agg(cast(age as varchar), ' ' order by pos) age from seq group by patid""",
 
@@ -225,7 +297,7 @@ from ev group by patid having count(distinct eventdate) >= 5""",
 
     "code_vocab": f"with {_EVENTS}, {_vocab('ev')} select token, token_id from vocab",
 
-    "part_vocab": f"with {_PART_EVENTS}, {_vocab('raw', MIN_COUNT)} select token, token_id from vocab",
+    "part_vocab": f"with {_PART_EVENTS}, {_vocab('ev')} select token, token_id from vocab",
 
     "age_vocab": f"""with {_EVENTS}, {_PEOPLE}, {_AGED}
 select cast(age as varchar) age, count(*) n, cast(age + 2 as bigint) age_id,
@@ -233,71 +305,93 @@ select cast(age as varchar) age, count(*) n, cast(age + 2 as bigint) age_id,
   cast(case when age < 720 then age + 2 else 1 end as bigint) capped_id
 from (select distinct patid, eventdate, age from aged) group by age""",
 
+    "age_vocab_years": f"""{_YEARS}
+select cast(age as varchar) age, count(*) n, age + 2 age_id, age + 2 computed_id,
+  case when age < 60 then age + 2 else 1 end capped_id from years group by age""",
+
     "label_vocab": f"with {_EVENTS}, {_vocab('ev')} select token, label_id from names",
 
-    "encode_tokens": f"""with {_PART_EVENTS}, {_vocab('raw', MIN_COUNT)}
+    "label_vocab_gapped": f"""with {_EVENTS}, {_vocab('ev', gapped=True)}
+select token, label_id from names""",
+
+    "encode_tokens": _part_ids(),
+
+    "encode_tokens_unknown": _part_ids(MIN_COUNT),
+
+    "encode_tokens_null": _part_ids(MIN_COUNT, "null"),
+
+    "encode_tokens_masked": f"""with {_EVENTS}, {_vocab('ev')}
 select patid, cast(eventdate as varchar) eventdate, code token,
-  cast(coalesce(token_id, 1) as bigint) token_id from ev left join vocab on token = code""",
+  cast(case when code = 'Brand#11' then 1 else token_id end as bigint) token_id
+from ev join vocab on token = code""",
+
+    "encode_tokens_shuffled": _part_ids(),
 
-    "encode_labels": f"""with {_PART_EVENTS}, {_vocab('raw', MIN_COUNT)}
+    "encode_labels": f"""with {_PART_EVENTS}, {_vocab('ev')}
 select patid, cast(eventdate as varchar) eventdate, code token,
   cast(coalesce(label_id, 0) as bigint) label_id from ev left join names on token = code""",
 
-    "decode_tokens": f"""with {_PART_EVENTS}, {_vocab('raw', MIN_COUNT)}
-select patid, cast(eventdate as varchar) eventdate,
-  cast(coalesce(token_id, 1) as bigint) token_id, coalesce(token, 'UNK') token
-from ev left join vocab on token = code""",
+    "decode_tokens": f"""with {_PART_EVENTS}, {_vocab('ev')}
+select patid, cast(eventdate as varchar) eventdate, cast(token_id as bigint) token_id, token
+from ev join vocab on token = code""",
 
-    "tail_cls": f"""with {_BASE}, {_TAILS}, {_STARTED}
+    "tail_cls": f"""with {_BASE}, {_tails(SHORT)}, {_STARTED}
 select patid, string_agg(token, ' ' order by i) code,
   string_agg(cast(age as varchar), ' ' order by i) age from started group by patid""",
 
-    "position_segment": f"""with {_BASE}, {_TAILS}, {_STARTED}, {_PADDED}
+    "position_segment": f"""with {_BASE}, {_tails(SHORT)}, {_STARTED}, {_padded(SHORT)}
 select patid, pos, position, position % 2 segment from pads""",
 
-    "attention_mask": f"""with {_BASE}, {_TAILS}, {_STARTED}, {_PADDED}
+    "attention_mask": f"""with {_BASE}, {_tails(MLM)}, {_STARTED}, {_padded(MLM)}
 select patid, pos, mask from pads""",
 
-    "padded": f"""with {_BASE}, {_TAILS}, {_STARTED}, {_PADDED}
+    "padded": f"""with {_BASE}, {_tails(MLM)}, {_STARTED}, {_padded(MLM)}
 select patid, pos, token from pads""",
 
-    "random_mask": f"""with {_BASE}, {_TAILS}, {_STARTED}, {_vocab('ev')}, {_MASK_DRAWS}
-select * from masked""",
+    "random_mask": _random_mask(),
+
+    "random_mask_gapped": _random_mask(gapped=True),
 
-    "encode_mlm": _MLM,
+    "random_mask_dropped": _random_mask(drop_kept=True),
 
-    "format_then_encode": _MLM,
+    "encode_mlm": _mlm(),
 
-    "encode_next_visit": f"""with {_NEXT_ENCODED}
-{_ENCODED_CODE}, cast(coalesce(label_id, -1) as bigint) as label
-from pads left join vocab using (token) left join lab_ids using (patid, pos)""",
+    "encode_mlm_gapped": _mlm(gapped=True),
+
+    "format_then_encode": _mlm(),
+
+    "encode_next_visit": _encode(),
+
+    "encode_6m": _encode(6),
+
+    "encode_12m": _encode(12),
 
     "split_patients": f"""select c_custkey patid,
   case when {_draw(f"c_custkey || '|split|{SEED}'")} < 0.2 then 'test' else 'train' end split
 from customer""",
 
-    "label_next_visit": f"with {_BASE}, {_NEXT} {_LABEL_TEXT}",
+    "label_next_visit": _label_text(None),
 
-    "label_6m": _horizon(6),
+    "label_6m": _label_text(6),
 
-    "label_12m": _horizon(12),
+    "label_12m": _label_text(12),
 
-    "distinct_labels": f"""with {_BASE}, {_TAILS}
-select patid, string_agg(distinct token, ' ' order by token) as label
-from seq where token <> 'SEP' group by patid""",
+    "distinct_labels": f"""with {_EVENTS}
+select patid, string_agg(distinct code, ' ' order by code) as label from ev group by patid""",
 
-    "multi_hot": f"""with {_NEXT_ENCODED}
-select held.patid, cast(names.label_id as bigint) label_id,
-  cast(lab_ids.patid is not null as bigint) target
-from held cross join names left join lab_ids
-  on lab_ids.patid = held.patid and lab_ids.label_id = names.label_id""",
+    "positive_labels": f"""with {_encoded(12)}
+select patid, cast(label_id as bigint) label_id from lab_ids""",
+
+    "multi_hot": _hot(),
+
+    "multi_hot_gapped": _hot(gapped=True),
 
     "epoch_order": f"""select c_custkey patid, row_number() over (
   order by {_draw(f"c_custkey || '|3|{SEED}'")}, c_custkey) - 1 row_index from customer""",
 
     "batches": f"""select c_custkey patid, (row_number() over (
-    order by {_draw(f"c_custkey || '|2|{SEED}'")}, c_custkey) - 1) // {BATCH} train_batch,
-  (row_number() over (order by c_custkey) - 1) // {BATCH} test_batch from customer""",
+    order by {_draw(f"c_custkey || '|2|{SEED}'")}, c_custkey) - 1) // {BATCH_SIZE} train_batch,
+  (row_number() over (order by c_custkey) - 1) // {BATCH_SIZE} test_batch from customer""",
 
     "average_precision": f"""with {_SCORED}, {_SAMPLES}
 select sample_id, round(ap, 9) ap from samples""",
@@ -336,7 +430,8 @@ select round(avg(m + ln(s) - own), 9) loss from tops join sums using (vec_id)"""
 
     "loss_progress": f"""with {_BATCH_LOSSES}
 select epoch, cast(ceil(step / 200) as bigint) * 200 report_step, round(avg(loss), 9) mean_loss,
-  count(*) steps from steps group by 1, 2 having max(step) = report_step""",
+  count(*) steps from (select *, max(step) over (partition by epoch) reached from steps)
+group by epoch, 2, reached having report_step <= reached""",
 
     "epoch_losses": f"""with {_BATCH_LOSSES}, {_EPOCH_LOSSES}
 select epoch, round(loss, 6) loss, examples, steps, round(loss / examples, 9) loss_per_example
@@ -347,25 +442,30 @@ from sums""",
 select * from runs qualify ap > greatest(0.045, coalesce(max(ap) over (partition by run_id
   order by epoch rows between unbounded preceding and 1 preceding), 0.045))""",
 
-    "next_code_scores": f"""with {_NEXT_ENCODED}, {_SCORES}
-select sample_id, label_id, round(logit, 9) logit, target from scored""",
+    "next_code_scores": f"""with {_encoded()}, {_SCORES}
+select s.sample_id patid, s.label_id, round(logit, 9) logit, target, round(w_out, 9) if_new,
+  (select cast(count(*) as bigint) from weights o where o.w_out >= logit) as least,
+  (select cast(count(*) as bigint) from weights o where o.w_out > logit) as above
+from scored s join weights w using (label_id)
+where (s.sample_id, s.label_id) in (select (patid, label_id) from marks)""",
 
-    "prediction_report": f"""with {_NEXT_ENCODED}, {_SCORES}, {_SAMPLES}
-select round(avg(ap), 9) ap, round(avg(auc), 9) auc, count(auc) rated, count(*) samples
-from samples""",
+    "prediction_report": _report(),
+
+    "report_6m": _report(6),
+
+    "report_12m": _report(12),
+
+    "report_gapped": _report(6, gapped=True),
 
-    "score_batches": f"""with {_NEXT_ENCODED},
+    "score_batches": f"""with {_encoded()},
 found as (select patid, token, count(*) n from started group by 1, 2)
 select held.patid, cast(token_id as bigint) label_id, cast(coalesce(n, 0) as double) logit
 from held cross join vocab left join found using (patid, token)""",
 
-    "pretraining_table": f"""with {_BASE}, {_TAILS}, {_STARTED}, {_PADDED}, {_vocab('ev')}, {_MASK_DRAWS},
+    "pretraining_table": _mlm(more=f""",
 numbered as (select patid, (row_number() over (
-    order by {_draw(f"patid || '|1|{SEED}'")}, patid) - 1) // {BATCH} batch_id
-  from (select distinct patid from seq))
-select patid, batch_id, cast(sum(coalesce(output_id, 0)) as bigint) code_sum,
-  cast(sum(coalesce(masked.label, -1)) as bigint) label_sum
-from numbered join pads using (patid) left join masked using (patid, pos) group by 1, 2""",
+    order by {_draw(f"patid || '|1|{SEED}'")}, patid) - 1) // {BATCH_SIZE} batch_id
+  from (select distinct patid from seq))""", columns="batch_id,", joins="join numbered using (patid)"),
 
     "read_tsv": """select cast(o_orderkey as varchar) o_orderkey, cast(o_custkey as varchar) o_custkey,
   o_orderpriority from orders""",
@@ -378,7 +478,7 @@ select patid, cast(eventdate as varchar) eventdate, code from ev""",
 
     "binary_as_string": "select event_id, event_type code from events",
 
-    "vocab_store": f"with {_PART_EVENTS}, {_vocab('raw', MIN_COUNT)} select token, token_id from vocab",
+    "vocab_store": f"with {_PART_EVENTS}, {_vocab('ev')} select token, token_id from vocab",
 
     "write_tsv": f"""with {_BATCH_LOSSES}, {_EPOCH_LOSSES}
 select epoch, round(loss / examples, 6) loss, steps from sums""",

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from visitseq import plans, sources
+from visitseq.constants import BATCH_SIZE, MLM_MAX_LEN, PREDICTION_MAX_LEN
 from visitseq.functions.ages import age_id
 from visitseq.functions.arrays import attention_mask, index_seg, padded_tokens, position_idx
 from visitseq.functions.keyed import uniform
@@ -11,9 +12,9 @@ from visitseq.operators import (
     vocab)
 from workload import tables
 
-MAX_LEN = 16
-MIN_COUNT = 30
-BATCH = 64
+SHORT = 16  # for the queries whose subject is the cut
+BATCH = 64  # small batches, where their borders matter
+MIN_COUNT = 30  # for the query whose subject is the unknown token
 SEED = 7
 
 
@@ -41,22 +42,22 @@ def _stored(spark, sf) -> DataFrame:
     return plans.visit_table(tables.diagnoses(spark, sf))
 
 
-def _part_vocab(spark, sf) -> DataFrame:
-    return vocab.build_vocab(tables.part_diagnoses(spark, sf), min_count=MIN_COUNT)
+def _part_vocab(spark, sf, min_count: int = 1) -> DataFrame:
+    return plans.visit_vocab(plans.visit_table(tables.part_diagnoses(spark, sf)), min_count)
 
 
-def _tails(spark, sf, max_len=MAX_LEN) -> DataFrame:
-    return visits.sequence_tails(_visits(spark, sf), _people(spark, sf), max_len)
+def _part_tokens(spark, sf) -> DataFrame:
+    return plans.clean_events(tables.part_diagnoses(spark, sf)).withColumnRenamed("code", "token")
 
 
-def _cuts(spark, sf) -> DataFrame:
-    return labels.pick_cuts(_visits(spark, sf), seed=SEED)
+def _tails(spark, sf, max_len=MLM_MAX_LEN) -> DataFrame:
+    return visits.sequence_tails(_visits(spark, sf), _people(spark, sf), max_len)
 
 
-def _labelled_vocab(spark, sf):
-    """Next-visit rows and the vocabulary, from one visit table."""
+def _labelled_vocab(spark, sf, months=None):
+    """Labelled rows and the vocabulary, from one visit table."""
     stored = _stored(spark, sf)
-    rows = plans.labelled_rows(stored, tables.demographic(spark, sf), None, MAX_LEN, seed=SEED)
+    rows = plans.labelled_rows(stored, tables.demographic(spark, sf), months, seed=SEED)
     return rows, plans.visit_vocab(stored)
 
 
@@ -84,13 +85,16 @@ def demographic_conflicts(spark, sf):
     return events.demographic_conflicts(twice)
 
 
-def _full_visits(spark, sf) -> DataFrame:
-    aged = visits.add_visit_ages(_visits(spark, sf), _people(spark, sf))
-    return visits.append_sep_age(visits.append_sep(aged))
+def events_with_age_years(spark, sf):
+    joined = events.join_demographic(plans.clean_events(tables.diagnoses(spark, sf)),
+                                     plans.people_table(tables.demographic(spark, sf)))
+    return events.add_age(joined, unit="year").select(
+        "patid", day("eventdate"), "code", F.col("age").cast("bigint").alias("age"))
 
 
 def visits_(spark, sf):
-    return _full_visits(spark, sf).select(
+    aged = visits.add_visit_ages(_visits(spark, sf), _people(spark, sf))
+    return visits.append_sep_age(visits.append_sep(aged)).select(
         "patid", day("eventdate"), text("code").alias("code"), text("age").alias("age"))
 
 
@@ -105,11 +109,20 @@ def part_sequences(spark, sf):
 
 
 def running_history(spark, sf):
-    return visits.running_history(_full_visits(spark, sf), MAX_LEN).select(
+    return visits.running_history(_visits(spark, sf), _people(spark, sf), MLM_MAX_LEN).select(
         "patid", day("eventdate"), "n_visits", "n_tokens",
         text("code").alias("code"), text("age").alias("age"))
 
 
+def history_prefixes(spark, sf):
+    """The whole history at every visit, as its reference into the sequence gives it back."""
+    stored = _stored(spark, sf)
+    whole = sources.materialize(visits.build_sequences(stored, _people(spark, sf)), "sequences")
+    return visits.history_prefixes(visits.history_index(stored), whole).select(
+        "patid", day("eventdate"), "part", "n_visits", "n_tokens",
+        F.md5(F.concat_ws("|", text("code"), text("age"))).alias("digest"))
+
+
 def min_visits(spark, sf):
     return visits.min_visits(_visits(spark, sf), 10).select(
         "patid", day("eventdate"), text("code").alias("code"))
@@ -149,71 +162,131 @@ def label_vocab(spark, sf):
     return vocab.label_vocab(_vocab(spark, sf))
 
 
+def age_vocab_years(spark, sf):
+    """The same with ages in years: as many ids as years."""
+    rows = events_with_age_years(spark, sf).groupBy(F.col("age").cast("string").alias("age")).agg(
+        F.count("*").alias("n"))
+    return (rows.join(vocab.age_vocab(spark, mon=12), "age", "left")
+            .select("age", "n", F.col("age_id").cast("bigint").alias("age_id"),
+                    age_id(F.col("age"), mon=12).alias("computed_id"),
+                    age_id(F.col("age"), 60, 12).alias("capped_id")))
+
+
+def label_vocab_gapped(spark, sf):
+    return vocab.label_vocab(tables.gapped_vocab(_vocab(spark, sf)))
+
+
+def _ids(rows: DataFrame, id_col: str = "token_id") -> DataFrame:
+    return rows.select("patid", day("eventdate"), "token", id_col)
+
+
 def encode_tokens(spark, sf):
-    rows = plans.clean_events(tables.part_diagnoses(spark, sf)).withColumnRenamed("code", "token")
-    return lookup.encode_tokens(rows, _part_vocab(spark, sf)).select(
-        "patid", day("eventdate"), "token", "token_id")
+    return _ids(lookup.encode_tokens(_part_tokens(spark, sf), _part_vocab(spark, sf)))
+
+
+def encode_tokens_unknown(spark, sf):
+    """With the rarer codes left out of the vocabulary: unknown tokens."""
+    return _ids(lookup.encode_tokens(_part_tokens(spark, sf), _part_vocab(spark, sf, MIN_COUNT)))
+
+
+def encode_tokens_null(spark, sf):
+    """The same with unknown tokens as null."""
+    return _ids(lookup.encode_tokens(_part_tokens(spark, sf), _part_vocab(spark, sf, MIN_COUNT),
+                                     unknown=False))
+
+
+def encode_tokens_masked(spark, sf):
+    """One token of the vocabulary counts as unknown."""
+    rows = plans.clean_events(tables.diagnoses(spark, sf)).withColumnRenamed("code", "token")
+    return _ids(lookup.encode_tokens(rows, _vocab(spark, sf), mask_token="Brand#11"))
+
+
+def encode_tokens_shuffled(spark, sf):
+    """Joined by a shuffle on token and salt, as a vocabulary beyond the broadcast size is."""
+    return _ids(lookup.encode_tokens(_part_tokens(spark, sf), _part_vocab(spark, sf),
+                                     broadcast_bytes=0, row_key=["patid", "eventdate"]))
 
 
 def encode_labels(spark, sf):
-    rows = plans.clean_events(tables.part_diagnoses(spark, sf)).withColumnRenamed("code", "token")
-    return lookup.encode_labels(rows, vocab.label_vocab(_part_vocab(spark, sf))).select(
-        "patid", day("eventdate"), "token", "label_id")
+    names = vocab.label_vocab(_part_vocab(spark, sf))
+    return _ids(lookup.encode_labels(_part_tokens(spark, sf), names), "label_id")
 
 
 def decode_tokens(spark, sf):
     words = _part_vocab(spark, sf)
-    rows = plans.clean_events(tables.part_diagnoses(spark, sf)).withColumnRenamed("code", "token")
-    ids = lookup.encode_tokens(rows, words).drop("token")
+    ids = lookup.encode_tokens(_part_tokens(spark, sf), words).drop("token")
     return lookup.decode_tokens(ids, words).select("patid", day("eventdate"), "token_id", "token")
 
 
 # Encoding
 
-def tail_cls(spark, sf):
-    return encode.tail_cls(_tails(spark, sf), MAX_LEN).select(
-        "patid", text("code").alias("code"), text("age").alias("age"))
+def _started(spark, sf, max_len=MLM_MAX_LEN) -> DataFrame:
+    return encode.tail_cls(_tails(spark, sf, max_len), max_len)
 
 
-def _started(spark, sf) -> DataFrame:
-    return encode.tail_cls(_tails(spark, sf), MAX_LEN)
+def tail_cls(spark, sf):
+    return _started(spark, sf, SHORT).select(
+        "patid", text("code").alias("code"), text("age").alias("age"))
 
 
 def position_segment(spark, sf):
-    rows = _started(spark, sf).select(
-        "patid", position_idx(padded_tokens(F.col("code"), MAX_LEN)).alias("position"))
+    rows = _started(spark, sf, SHORT).select(
+        "patid", position_idx(padded_tokens(F.col("code"), SHORT)).alias("position"))
     rows = rows.withColumn("segment", index_seg(F.col("position")))
     return encode.long_form(rows, ("position", "segment"))
 
 
 def attention(spark, sf):
     rows = _started(spark, sf).select(
-        "patid", attention_mask(F.col("code"), MAX_LEN).alias("mask"))
+        "patid", attention_mask(F.col("code"), MLM_MAX_LEN).alias("mask"))
     return encode.long_form(rows, ("mask",))
 
 
 def padded(spark, sf):
     rows = _started(spark, sf).select(
-        "patid", padded_tokens(F.col("code"), MAX_LEN).alias("token"))
+        "patid", padded_tokens(F.col("code"), MLM_MAX_LEN).alias("token"))
     return encode.long_form(rows, ("token",))
 
 
-def random_mask(spark, sf):
+def _masked_tokens(spark, sf, change=lambda words: words, **options) -> DataFrame:
     stored = _stored(spark, sf)
-    words = plans.visit_vocab(stored)
-    tails = visits.sequence_tails(stored, _people(spark, sf), MAX_LEN)
-    tokens = encode.tail_cls(tails, MAX_LEN).select("patid", F.posexplode("code").alias("pos", "token"))
-    rows = masking.random_mask(lookup.encode_tokens(tokens, words), vocab.vocab_facts(words),
-                               epoch=1, seed=SEED)
+    words = change(plans.visit_vocab(stored))
+    tails = visits.sequence_tails(stored, _people(spark, sf), MLM_MAX_LEN)
+    tokens = encode.tail_cls(tails, MLM_MAX_LEN).select(
+        "patid", F.posexplode("code").alias("pos", "token"))
+    rows = masking.random_mask(lookup.encode_tokens(tokens, words), words, epoch=1, seed=SEED,
+                               **options)
     return rows.select("patid", F.col("pos").cast("bigint").alias("pos"),
                        "token_id", "output_id", "label")
 
 
-def encode_mlm(spark, sf):
+def random_mask(spark, sf):
+    return _masked_tokens(spark, sf)
+
+
+def random_mask_gapped(spark, sf):
+    """Random ids come from the vocabulary, whatever its ids are."""
+    return _masked_tokens(spark, sf, tables.gapped_vocab)
+
+
+def random_mask_dropped(spark, sf):
+    """Selected tokens that are kept leave the output."""
+    return _masked_tokens(spark, sf, drop_kept=True)
+
+
+def _mlm(spark, sf, change=lambda words: words) -> DataFrame:
     stored = _stored(spark, sf)
-    tails = visits.sequence_tails(stored, _people(spark, sf), MAX_LEN)
+    tails = visits.sequence_tails(stored, _people(spark, sf), MLM_MAX_LEN)
     return encode.long_form(encode.encode_mlm(
-        tails, plans.visit_vocab(stored), MAX_LEN, epoch=1, seed=SEED))
+        tails, change(plans.visit_vocab(stored)), epoch=1, seed=SEED))
+
+
+def encode_mlm(spark, sf):
+    return _mlm(spark, sf)
+
+
+def encode_mlm_gapped(spark, sf):
+    return _mlm(spark, sf, tables.gapped_vocab)
 
 
 def format_then_encode(spark, sf):
@@ -224,13 +297,35 @@ def format_then_encode(spark, sf):
     words = vocab.build_vocab(stored.select(
         F.explode(F.array_remove("code", "SEP")).alias("code")))
     return encode.long_form(encode.encode_mlm(
-        visits.min_visits_of_sequences(stored), words, MAX_LEN, epoch=1, seed=SEED))
+        visits.min_visits_of_sequences(stored), words, epoch=1, seed=SEED, part="part"))
+
+
+def _stored_split(spark, rows: DataFrame) -> DataFrame:
+    """Train and test as two written tables, read again."""
+    kept = sources.materialize(rows, "labelled")
+    read = [_round_trip(kept.where(F.col("split") == name), sources.write_parquet,
+                        sources.read_parquet, name) for name in ("train", "test")]
+    return read[0].unionByName(read[1])
+
+
+def _encoded(spark, sf, months=None, change=lambda words: words):
+    """Encoded rows of the stored labelled tables, the vocabulary and the labels."""
+    rows, words = _labelled_vocab(spark, sf, months)
+    words = change(words)
+    names = vocab.label_vocab(words)
+    return plans.prediction_table(_stored_split(spark, rows), words, names=names), words, names
 
 
 def encode_next_visit(spark, sf):
-    rows, words = _labelled_vocab(spark, sf)
-    return encode.long_form(encode.encode_next_visit(
-        rows, words, vocab.label_vocab(words), MAX_LEN))
+    return encode.long_form(_encoded(spark, sf)[0])
+
+
+def encode_6m(spark, sf):
+    return encode.long_form(_encoded(spark, sf, 6)[0])
+
+
+def encode_12m(spark, sf):
+    return encode.long_form(_encoded(spark, sf, 12)[0])
 
 
 # Split, labels, batches
@@ -240,44 +335,63 @@ def split_patients(spark, sf):
 
 
 def _label_text(rows: DataFrame) -> DataFrame:
-    return rows.select("patid", day("cut_date"), text("code").alias("code"),
+    return rows.select("patid", day("cut_date"), "part", text("code").alias("code"),
                        text("age").alias("age"), text("label").alias("label"))
 
 
 def label_next_visit(spark, sf):
-    return _label_text(labels.label_next_visit(_cuts(spark, sf), _people(spark, sf), MAX_LEN))
+    stored = _stored(spark, sf)
+    return _label_text(labels.label_next_visit(
+        stored, labels.pick_cuts(stored, seed=SEED), _people(spark, sf)))
+
+
+def _horizon(spark, sf, months: int) -> DataFrame:
+    stored = _stored(spark, sf)
+    return _label_text(labels.label_horizon(
+        stored, labels.pick_cuts(stored, seed=SEED), _people(spark, sf), months))
 
 
 def label_6m(spark, sf):
-    return _label_text(labels.label_horizon(_cuts(spark, sf), _people(spark, sf), 6, MAX_LEN))
+    return _horizon(spark, sf, 6)
 
 
 def label_12m(spark, sf):
-    return _label_text(labels.label_horizon(_cuts(spark, sf), _people(spark, sf), 12, MAX_LEN))
+    return _horizon(spark, sf, 12)
 
 
 def distinct_labels(spark, sf):
-    """The codes of the last visits of a person with repeats, as a label list."""
-    rows = _tails(spark, sf).select("patid", F.array_remove("code", "SEP").alias("label"))
+    """The label lists of all visits of a person, one after the other, as sets."""
+    rows = _visits(spark, sf).select("patid", F.explode("code").alias("code")).groupBy(
+        "patid").agg(F.collect_list("code").alias("label"))
     return labels.distinct_labels(rows).select("patid", text("label").alias("label"))
 
 
-def multi_hot(spark, sf):
-    rows, words = _labelled_vocab(spark, sf)
-    names = vocab.label_vocab(words)
-    rows = encode.encode_next_visit(rows, words, names, MAX_LEN)
-    hot = labels.multi_hot(rows.select("patid", "label"), names.count())
+def positive_labels(spark, sf):
+    return labels.positive_labels(_encoded(spark, sf, 12)[0])
+
+
+def _hot(spark, sf, change=lambda words: words) -> DataFrame:
+    rows, _, names = _encoded(spark, sf, change=change)
+    hot = labels.multi_hot(rows.select("patid", "label_ids"), names.count())
     return encode.long_form(hot, ("target",)).select(
         "patid", F.col("pos").alias("label_id"), F.col("target").cast("bigint").alias("target"))
 
 
+def multi_hot(spark, sf):
+    return _hot(spark, sf)
+
+
+def multi_hot_gapped(spark, sf):
+    return _hot(spark, sf, tables.gapped_vocab)
+
+
 def epoch_order(spark, sf):
     return batches.epoch_order(_people(spark, sf).select("patid"), 3, SEED)
 
 
 def batches_(spark, sf):
-    shuffled = batches.assign_batches(_people(spark, sf).select("patid"), BATCH, 2, SEED)
-    in_order = batches.assign_batches(_people(spark, sf).select("patid"), BATCH)
+    shuffled = batches.assign_batches(_people(spark, sf).select("patid"), BATCH_SIZE, 2, SEED)
+    in_order = batches.assign_batches(_people(spark, sf).select("patid"), BATCH_SIZE)
     return shuffled.select("patid", F.col("batch_id").alias("train_batch")).join(
         in_order.select("patid", F.col("batch_id").alias("test_batch")), "patid")
 
@@ -294,15 +408,17 @@ def roc_auc(spark, sf):
         "sample_id", F.round("auc", 9).alias("auc"))
 
 
+def _rounded_means(rows: DataFrame) -> DataFrame:
+    return rows.select(F.round("ap", 9).alias("ap"), F.round("auc", 9).alias("auc"),
+                       "rated", "samples")
+
+
 def mean_metrics(spark, sf):
-    scored = _scored(spark, sf)
-    return metrics.average_precision(scored).select(F.round("ap", 9).alias("ap"), "samples").join(
-        metrics.roc_auc(scored).select(F.round("auc", 9).alias("auc"), "rated", "samples"),
-        "samples")
+    return _rounded_means(metrics.mean_metrics(metrics.sample_metrics(_scored(spark, sf))))
 
 
 def evaluate(spark, sf):
-    numbered = batches.assign_batches(tables.scored_arrays(spark, sf), BATCH, key="sample_id")
+    numbered = batches.assign_batches(tables.scored_arrays(spark, sf), BATCH, key=("sample_id",))
     rows = score.scored_rows(numbered, "sample_id", keep=("batch_id",))
     return metrics.evaluate(rows).select(
         F.round("ap", 9).alias("ap"), F.round("auc", 9).alias("auc"),
@@ -311,7 +427,7 @@ def evaluate(spark, sf):
 
 def step_precision(spark, sf):
     """Average precision per batch of an epoch."""
-    numbered = batches.assign_batches(tables.scored_arrays(spark, sf), BATCH, 1, SEED, "sample_id")
+    numbered = batches.assign_batches(tables.scored_arrays(spark, sf), BATCH, 1, SEED, ("sample_id",))
     rows = score.scored_rows(numbered, "sample_id", keep=("batch_id",))
     return metrics.average_precision(rows, "batch_id").select(
         "batch_id", F.round("ap", 9).alias("ap"), "samples")
@@ -349,37 +465,47 @@ def best_epochs(spark, sf):
 
 # Scoring
 
-def _encoded_split(spark, sf):
-    labelled, words = _labelled_vocab(spark, sf)
-    rows = sources.materialize(
-        plans.prediction_table(labelled, words, MAX_LEN, seed=SEED), "encoded")
-    return rows, vocab.label_vocab(words), vocab.vocab_facts(words)
+def _split(rows: DataFrame) -> list[DataFrame]:
+    rows = sources.materialize(rows, "encoded")
+    return [rows.where(F.col("split") == name).drop("split") for name in ("train", "test")]
 
 
 def next_code_scores(spark, sf):
-    rows, names, facts = _encoded_split(spark, sf)
-    scored = score.next_code_scores(rows.where("split = 'train'"), rows.where("split = 'test'"),
-                                    names, facts)
-    return scored.select("sample_id", "label_id", F.round("logit", 9).alias("logit"),
-                         F.col("target").cast("bigint").alias("target"))
+    rows, words, names = _encoded(spark, sf)
+    train, test = _split(rows)
+    weights = score.label_weights(train, words, names)
+    return score.next_code_scores(test, weights, words, names).select(
+        "patid", "label_id", F.round("logit", 9).alias("logit"),
+        F.col("target").cast("bigint").alias("target"), F.round("if_new", 9).alias("if_new"),
+        "least", "above")
+
+
+def _report(spark, sf, months=None, change=lambda words: words) -> DataFrame:
+    rows, words, names = _encoded(spark, sf, months, change)
+    return _rounded_means(plans.counting_report(*_split(rows), words, names))
 
 
 def prediction_report(spark, sf):
-    """Events to labelled, encoded and scored rows, and their evaluation."""
-    rows, names, facts = _encoded_split(spark, sf)
-    test = rows.where("split = 'test'")
-    scored = score.next_code_scores(rows.where("split = 'train'"), test, names, facts)
-    return metrics.average_precision(scored).select(
-        F.round("ap", 9).alias("ap"), "samples").join(
-            metrics.roc_auc(scored).select(F.round("auc", 9).alias("auc"), "rated", "samples"),
-            "samples")
+    """Events to labelled, stored, encoded and scored rows, and their evaluation."""
+    return _report(spark, sf)
+
+
+def report_6m(spark, sf):
+    return _report(spark, sf, 6)
+
+
+def report_12m(spark, sf):
+    return _report(spark, sf, 12)
+
+
+def report_gapped(spark, sf):
+    return _report(spark, sf, 6, tables.gapped_vocab)
 
 
 def score_batches(spark, sf):
     """A model that counts how often each token stands in the row."""
-    rows, words = _labelled_vocab(spark, sf)
+    encoded, words, _ = _encoded(spark, sf)
     n_classes = vocab.vocab_facts(words).size
-    encoded = encode.encode_next_visit(rows, words, vocab.label_vocab(words), MAX_LEN)
 
     def count_tokens(code, mask):
         import numpy as np
@@ -396,10 +522,9 @@ def score_batches(spark, sf):
 def pretraining_table(spark, sf):
     stored = _stored(spark, sf)
     words = plans.visit_vocab(stored)
-    encoded = plans.encoded_table(stored, tables.demographic(spark, sf), words, MAX_LEN)
-    rows = plans.pretraining_table(encoded, words, MAX_LEN, epoch=1, seed=SEED, batch_size=BATCH)
-    return rows.select("patid", "batch_id", F.inline(F.arrays_zip("code", "label"))).groupBy(
-        "patid", "batch_id").agg(F.sum("code").alias("code_sum"), F.sum("label").alias("label_sum"))
+    encoded = plans.encoded_table(stored, tables.demographic(spark, sf), words)
+    rows = plans.pretraining_table(encoded, words, epoch=1, seed=SEED, batch_size=BATCH_SIZE)
+    return encode.long_form(rows, key=("patid", "batch_id"))
 
 
 # Sources and sinks
@@ -460,19 +585,27 @@ def keyed_uniform(spark, sf):
 QUERIES = {
     "clean_events": clean_events,
     "events_with_age": events_with_age,
+    "events_with_age_years": events_with_age_years,
     "demographic_conflicts": demographic_conflicts,
     "visits": visits_,
     "sequences": sequences,
     "part_sequences": part_sequences,
     "running_history": running_history,
+    "history_prefixes": history_prefixes,
     "min_visits": min_visits,
     "sequence_tails": sequence_tails,
     "row_index": row_index,
     "code_vocab": code_vocab,
     "part_vocab": part_vocab,
     "age_vocab": age_vocab,
+    "age_vocab_years": age_vocab_years,
     "label_vocab": label_vocab,
+    "label_vocab_gapped": label_vocab_gapped,
     "encode_tokens": encode_tokens,
+    "encode_tokens_unknown": encode_tokens_unknown,
+    "encode_tokens_null": encode_tokens_null,
+    "encode_tokens_masked": encode_tokens_masked,
+    "encode_tokens_shuffled": encode_tokens_shuffled,
     "encode_labels": encode_labels,
     "decode_tokens": decode_tokens,
     "tail_cls": tail_cls,
@@ -480,15 +613,22 @@ QUERIES = {
     "attention_mask": attention,
     "padded": padded,
     "random_mask": random_mask,
+    "random_mask_gapped": random_mask_gapped,
+    "random_mask_dropped": random_mask_dropped,
     "encode_mlm": encode_mlm,
+    "encode_mlm_gapped": encode_mlm_gapped,
     "format_then_encode": format_then_encode,
     "encode_next_visit": encode_next_visit,
+    "encode_6m": encode_6m,
+    "encode_12m": encode_12m,
     "split_patients": split_patients,
     "label_next_visit": label_next_visit,
     "label_6m": label_6m,
     "label_12m": label_12m,
     "distinct_labels": distinct_labels,
+    "positive_labels": positive_labels,
     "multi_hot": multi_hot,
+    "multi_hot_gapped": multi_hot_gapped,
     "epoch_order": epoch_order,
     "batches": batches_,
     "average_precision": average_precision,
@@ -504,6 +644,9 @@ QUERIES = {
     "best_epochs": best_epochs,
     "next_code_scores": next_code_scores,
     "prediction_report": prediction_report,
+    "report_6m": report_6m,
+    "report_12m": report_12m,
+    "report_gapped": report_gapped,
     "score_batches": score_batches,
     "pretraining_table": pretraining_table,
     "read_tsv": read_tsv,

@@ -2,6 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from visitseq.operators.indexing import with_row_index
+
+GAPPED_SPECIALS = {"PAD": 70, "UNK": 120, "SEP": 20, "CLS": 210, "MASK": 90}
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -51,11 +55,22 @@ def scored_masked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_losses(spark: SparkSession, sf: str) -> DataFrame:
-    """Line numbers as epochs, orders as steps."""
-    return (table(spark, sf, "lineitem")
-            .groupBy(F.col("l_linenumber").cast("bigint").alias("epoch"),
-                     F.col("l_orderkey").alias("step"))
-            .agg(F.sum("l_discount").alias("loss"), F.sum("l_quantity").alias("examples")))
+    """Line numbers as epochs, their lines as steps 0, 1, ... without a gap."""
+    order = ["l_linenumber", "l_orderkey", "l_partkey", "l_suppkey"]
+    lines = table(spark, sf, "lineitem").select(*order, "l_discount", "l_quantity")
+    numbered = with_row_index(lines, order, "row")
+    first = numbered.groupBy("l_linenumber").agg(F.min("row").alias("first"))
+    return numbered.join(first, "l_linenumber").select(
+        F.col("l_linenumber").cast("bigint").alias("epoch"),
+        (F.col("row") - F.col("first")).alias("step"),
+        F.col("l_discount").alias("loss"), F.col("l_quantity").alias("examples"))
+
+
+def gapped_vocab(words: DataFrame) -> DataFrame:
+    """The vocabulary with other ids: gaps between them, specials among the codes."""
+    ids = F.create_map(*[F.lit(x) for pair in GAPPED_SPECIALS.items() for x in pair])
+    return words.select("token", F.coalesce(
+        F.element_at(ids, F.col("token")), F.col("token_id") * 10 + 3).cast("int").alias("token_id"))
 
 
 def epoch_metrics(spark: SparkSession, sf: str) -> DataFrame:
