@@ -95,8 +95,10 @@ def test_nested_binary_is_read_as_text(spark, tmp_path):
 
 
 def test_dropped_table_is_gone(spark):
-    path = sources.scratch_path(spark, "dropped")
-    assert sources.materialize(spark.range(3), path=path).count() == 3
+    with sources.recording() as paths:
+        assert sources.materialize(spark.range(3)).count() == 3
+    sources.materialize(spark.range(3))
+    (path,) = paths
     sources.drop_table(spark, path)
     with pytest.raises(AnalysisException):
         spark.read.parquet(path)

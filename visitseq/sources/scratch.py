@@ -1,6 +1,8 @@
 """Shared working folder for tables that cut the lineage of a job."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +19,26 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_recorders: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
     """A path nobody has used yet."""
-    return f"{shared_root(spark)}/visitseq-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/visitseq-{name}-{uuid.uuid4().hex}"
+    for paths in _recorders:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths given out inside the block, for a caller that removes them later."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
 
 
 def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
