@@ -4,17 +4,37 @@ A stage works on all rows that the one before kept. Rows are handled one by one,
 rows, rows without doc_id and empty or null texts pass through like others: an empty text is
 scored by the classifier, texts with equal words (all empty ones, too) leave one row, and every
 row left is packed with its end id at least. Other columns of documents stay.
+
+The working tables of a stage stay until the next stage for the same ``sf_dir`` begins, which
+reads what was written of its predecessor: write a stage's result before calling the next.
 """
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visitseq.llm import decontaminate as leaks
 from visitseq.llm import packing, quality as lines, secrets as tokens, similarity
-from visitseq.sources import materialize
+from visitseq.sources import drop_table, materialize, recording
 
 KEEP_FROM = 0.3
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_working: dict[tuple[str, str], list[str]] = {}
+
+
+def _stage(function: Stage) -> Stage:
+    """Drops the working tables of the stage before; notes those of this one."""
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        for path in _working.pop(key, []):
+            drop_table(spark, path)
+        with recording() as paths:
+            out = function(spark, docs, sf_dir)
+        _working[key] = paths
+        return out
+    return run
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -22,6 +42,7 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), "text")
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of at least KEEP_FROM stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -30,11 +51,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("score") >= KEEP_FROM).select("row.*")
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays."""
     return similarity.deduplicate(docs)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window of words with a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -42,6 +65,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.filter(~F.col("contaminated")).select("row.*")
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; n_chars of such documents is counted anew."""
     found = tokens.find_secrets(_whole(docs), ["row"])
@@ -52,12 +76,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full sequences along the curve."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality),
     ("n-gram Jaccard join", near_copies),
     ("benchmark decontamination", decontaminate),

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from visitseq.llm.components import components
 from visitseq.llm.textbytes import Words, chunks, grams, mix, text_bytes, words
-from visitseq.sources import materialize
+from visitseq.sources import drop_table, materialize, recording, scratch_path
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -338,7 +338,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     ``class_id`` is the smallest doc_id of all texts that hang together by links, ``n_links``
     the number of other texts linked to this one, ``n_copies`` the rows with the same words.
     """
-    runs = runs_for(recall, threshold)
+    spark, runs = docs.sparkSession, runs_for(recall, threshold)
     signed = materialize(signatures(docs), "signatures")
     classes = (signed.groupBy("h1", "h2")
                .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"),
@@ -346,13 +346,18 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     compared = nodes.filter("rep is not null and mins is not null")
 
-    found = materialize(buckets(compared, runs, small), "buckets")
+    with recording() as levels:
+        found = buckets(compared, runs, small)
+    spent = [scratch_path(spark, name) for name in ("buckets", "traits", "promising")]
+    found = materialize(found, path=spent[0])
+    for path in levels:
+        drop_table(spark, path)
     # the bucket of each run, 0 for none: where two classes met first is read off both rows
     leaves = [F.coalesce(F.max(F.when(F.col("run") == r, F.col("bucket"))), F.lit(0))
               for r in range(runs)]
     met = found.groupBy("node").agg(F.array(*leaves).alias("leaves"))
     traits = compared.join(met, "node").select("node", "rep", "h1", "h2", "mins", "leaves")
-    traits = materialize(_compact(traits), "traits")
+    traits = materialize(_compact(traits), path=spent[1])
 
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = (found.withColumn("blocks", n_blocks)
@@ -362,7 +367,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
                       F.greatest("block", "other").alias("high"), "block", "node", "run"))
     groups = _in_groups(placed.join(traits.select("node", "sketch", "leaves"), "node")
                         .select(*[f.split()[0] for f in _FIELDS.split(", ")]))
-    hopeful = materialize(promising(groups, runs, threshold), "promising")
+    hopeful = materialize(promising(groups, runs, threshold), path=spent[2])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     wanted = hopeful.select("node").distinct().join(
@@ -370,6 +375,9 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     read = own_texts(texts.join(wanted, "rep").select("node", "h1", "h2", "text"))
     links = materialize(verified(_in_groups(hopeful.join(read, "node")), runs, threshold), "links")
 
+    for path in spent:
+        drop_table(spark, path)
+
     joined = components(links.select("node", "label").filter("node <> label").distinct(),
                         "node", "label")
     counted = links.groupBy("node").agg(F.sum("links").alias("n_links"))
