@@ -51,11 +51,10 @@ def _labelled(visits: DataFrame, cuts: DataFrame, demographic: DataFrame, in_lab
     codes = (dated.where(in_label).select("patid", F.explode("code").alias("code")).distinct()
              .groupBy("patid").agg(F.sort_array(F.collect_list("code")).alias("label")))
     none = F.array().cast("array<string>")
-    return (build_sequences(history, demographic, tokens_per_row)
-            .join(cuts.select("patid", "cut_date"), "patid")
-            .join(codes, "patid", "left")
-            .select("patid", "cut_date", "part", "code", "age",
-                    F.coalesce("label", none).alias("label")))
+    people = (cuts.select("patid", "cut_date").join(demographic, "patid")
+              .join(codes, "patid", "left").withColumn("label", F.coalesce("label", none)))
+    return build_sequences(history, people, tokens_per_row, ("cut_date", "label")).select(
+        "patid", "cut_date", "part", "code", "age", "label")
 
 
 def label_next_visit(visits: DataFrame, cuts: DataFrame, demographic: DataFrame,

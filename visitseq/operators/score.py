@@ -37,7 +37,7 @@ def label_weights(train: DataFrame, vocab: DataFrame, label_vocab: DataFrame,
     counts = marks.groupBy("label_id").agg(
         F.sum("before").alias("b"), F.sum("after").alias("a"),
         F.sum(F.col("before") * F.col("after")).alias("ab"))
-    total = train.select(*key).distinct().count()
+    total = train.count()
     known = label_vocab.select(F.col("label_id").cast("bigint").alias("label_id"))
     joined = known.join(counts, "label_id", "left").na.fill(0).withColumn("n", F.lit(total))
     a, b, ab, n = (F.col(c) for c in ("a", "b", "ab", "n"))
@@ -48,7 +48,7 @@ def label_weights(train: DataFrame, vocab: DataFrame, label_vocab: DataFrame,
     values = (weights.select(F.col("if_new").alias("value"), F.lit(1).alias("own"))
               .unionAll(weights.select("if_before", F.lit(0)))
               .groupBy("value").agg(F.sum("own").alias("own")))
-    ranked = materialize(with_running_sum(values, [F.desc("value")], "own", "least"), "ranks")
+    ranked = with_running_sum(values, [F.desc("value")], "own", "least")
     for name in ("if_new", "if_before"):
         weights = weights.join(ranked.select(
             F.col("value").alias(name), F.col("least").alias(f"{name}_least"),

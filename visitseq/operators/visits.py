@@ -13,22 +13,20 @@ from visitseq.functions.ages import age_in_months
 from visitseq.functions.arrays import count_token, tail
 
 TOKENS_PER_ROW = 100_000
-# Pieces in which the codes of a very full day are made distinct side by side.
-DAY_PIECES = 16
 
 
-def build_visits(events: DataFrame, code_col: str = "code", pieces: int = DAY_PIECES) -> DataFrame:
+def build_visits(events: DataFrame, code_col: str = "code") -> DataFrame:
     """One row per person and date with the distinct codes in order; null codes are dropped.
 
-    Sets by a hash of the code first: repeated events are merged in the task and the events of
-    one very full day in several. What meets in a visit are codes that are distinct already.
+    Events are made distinct by all three columns first: repeats are merged in the task, and a
+    very full day is spread over tasks by its codes. What meets in a visit is distinct already,
+    so a partial list before the second shuffle would save nothing; repartition leaves it out.
     """
-    code = F.col(code_col).cast("string")
-    sets = (events.where(F.col(code_col).isNotNull())
-            .groupBy("patid", "eventdate", F.pmod(F.hash(code), F.lit(pieces)).alias("_piece"))
-            .agg(F.collect_set(code).alias("codes")))
-    return sets.groupBy("patid", "eventdate").agg(
-        F.sort_array(F.flatten(F.collect_list("codes"))).alias("code"))
+    code = F.col(code_col).cast("string").alias("code")
+    distinct = (events.where(F.col(code_col).isNotNull())
+                .select("patid", "eventdate", code).dropDuplicates())
+    return (distinct.repartition("patid", "eventdate").groupBy("patid", "eventdate")
+            .agg(F.sort_array(F.collect_list("code")).alias("code")))
 
 
 def append_sep(visits: DataFrame, col: str = "code") -> DataFrame:
@@ -83,19 +81,19 @@ def with_parts(visits: DataFrame, tokens_per_row: int = TOKENS_PER_ROW) -> DataF
 
 
 def build_sequences(visits: DataFrame, demographic: DataFrame,
-                    tokens_per_row: int = TOKENS_PER_ROW) -> DataFrame:
+                    tokens_per_row: int = TOKENS_PER_ROW, also=()) -> DataFrame:
     """The whole token and age sequence of every person in date order: (patid, part, code, age).
 
     Parts are cut between visits, and a person's parts one after the other are the sequence.
     Consumers take the `part` column as a parameter. The demographic join comes last, on one
-    row per part.
+    row per part; `also` are further columns of it to keep.
     """
     parts = (with_parts(visits, tokens_per_row).groupBy("patid", "part")
              .agg(collect_visits().alias("visits")))
     return parts.join(demographic, "patid").select(
         "patid", "part",
         visit_tokens(F.col("visits")).alias("code"),
-        visit_ages(F.col("visits"), F.col("yob")).alias("age"))
+        visit_ages(F.col("visits"), F.col("yob")).alias("age"), *also)
 
 
 def tail_visits(max_len: int) -> int:

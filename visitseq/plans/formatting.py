@@ -37,5 +37,8 @@ def people_table(demographic: DataFrame) -> DataFrame:
 
 
 def visit_vocab(visits: DataFrame, min_count: int = 1) -> DataFrame:
-    """Vocabulary of the codes of a visit table; a code counts once per visit."""
-    return build_vocab(visits.select(F.explode("code").alias("code")), min_count=min_count)
+    """Vocabulary of the codes of a visit table; a code counts once per visit.
+
+    Stored, as every later step joins it."""
+    return materialize(
+        build_vocab(visits.select(F.explode("code").alias("code")), min_count=min_count), "vocab")

@@ -42,12 +42,16 @@ def _stored(spark, sf) -> DataFrame:
     return plans.visit_table(tables.diagnoses(spark, sf))
 
 
-def _part_vocab(spark, sf, min_count: int = 1) -> DataFrame:
-    return plans.visit_vocab(plans.visit_table(tables.part_diagnoses(spark, sf)), min_count)
+def _part_events(spark, sf) -> DataFrame:
+    """Distinct events: one row per visit and code, which is what a vocabulary counts."""
+    return plans.clean_events(tables.part_diagnoses(spark, sf))
 
 
-def _part_tokens(spark, sf) -> DataFrame:
-    return plans.clean_events(tables.part_diagnoses(spark, sf)).withColumnRenamed("code", "token")
+def _part_tokens(spark, sf, min_count: int = 1):
+    """The events as token rows, stored, and the vocabulary of their codes."""
+    stored = sources.materialize(_part_events(spark, sf), "events")
+    return (stored.withColumnRenamed("code", "token"),
+            vocab.build_vocab(stored, min_count=min_count))
 
 
 def _tails(spark, sf, max_len=MLM_MAX_LEN) -> DataFrame:
@@ -144,7 +148,7 @@ def code_vocab(spark, sf):
 
 
 def part_vocab(spark, sf):
-    return _part_vocab(spark, sf)
+    return vocab.build_vocab(_part_events(spark, sf))
 
 
 def age_vocab(spark, sf):
@@ -181,18 +185,17 @@ def _ids(rows: DataFrame, id_col: str = "token_id") -> DataFrame:
 
 
 def encode_tokens(spark, sf):
-    return _ids(lookup.encode_tokens(_part_tokens(spark, sf), _part_vocab(spark, sf)))
+    return _ids(lookup.encode_tokens(*_part_tokens(spark, sf)))
 
 
 def encode_tokens_unknown(spark, sf):
     """With the rarer codes left out of the vocabulary: unknown tokens."""
-    return _ids(lookup.encode_tokens(_part_tokens(spark, sf), _part_vocab(spark, sf, MIN_COUNT)))
+    return _ids(lookup.encode_tokens(*_part_tokens(spark, sf, MIN_COUNT)))
 
 
 def encode_tokens_null(spark, sf):
     """The same with unknown tokens as null."""
-    return _ids(lookup.encode_tokens(_part_tokens(spark, sf), _part_vocab(spark, sf, MIN_COUNT),
-                                     unknown=False))
+    return _ids(lookup.encode_tokens(*_part_tokens(spark, sf, MIN_COUNT), unknown=False))
 
 
 def encode_tokens_masked(spark, sf):
@@ -203,18 +206,18 @@ def encode_tokens_masked(spark, sf):
 
 def encode_tokens_shuffled(spark, sf):
     """Joined by a shuffle on token and salt, as a vocabulary beyond the broadcast size is."""
-    return _ids(lookup.encode_tokens(_part_tokens(spark, sf), _part_vocab(spark, sf),
-                                     broadcast_bytes=0, row_key=["patid", "eventdate"]))
+    return _ids(lookup.encode_tokens(*_part_tokens(spark, sf), broadcast_bytes=0,
+                                     row_key=["patid", "eventdate"]))
 
 
 def encode_labels(spark, sf):
-    names = vocab.label_vocab(_part_vocab(spark, sf))
-    return _ids(lookup.encode_labels(_part_tokens(spark, sf), names), "label_id")
+    tokens, words = _part_tokens(spark, sf)
+    return _ids(lookup.encode_labels(tokens, vocab.label_vocab(words)), "label_id")
 
 
 def decode_tokens(spark, sf):
-    words = _part_vocab(spark, sf)
-    ids = lookup.encode_tokens(_part_tokens(spark, sf), words).drop("token")
+    tokens, words = _part_tokens(spark, sf)
+    ids = lookup.encode_tokens(tokens, words).drop("token")
     return lookup.decode_tokens(ids, words).select("patid", day("eventdate"), "token_id", "token")
 
 
@@ -309,11 +312,14 @@ def _stored_split(spark, rows: DataFrame) -> DataFrame:
 
 
 def _encoded(spark, sf, months=None, change=lambda words: words):
-    """Encoded rows of the stored labelled tables, the vocabulary and the labels."""
+    """Encoded rows, the vocabulary and the labels. The horizon tasks read stored labelled
+    tables, the next-visit task goes on from the labelled rows."""
     rows, words = _labelled_vocab(spark, sf, months)
     words = change(words)
-    names = vocab.label_vocab(words)
-    return plans.prediction_table(_stored_split(spark, rows), words, names=names), words, names
+    names = sources.materialize(vocab.label_vocab(words), "labels")
+    if months:
+        rows = _stored_split(spark, rows)
+    return plans.prediction_table(rows, words, names=names), words, names
 
 
 def encode_next_visit(spark, sf):
@@ -562,7 +568,7 @@ def binary_as_string(spark, sf):
 
 
 def vocab_store(spark, sf):
-    return _round_trip(_part_vocab(spark, sf), sources.write_vocab, sources.read_vocab, "vocab")
+    return _round_trip(part_vocab(spark, sf), sources.write_vocab, sources.read_vocab, "vocab")
 
 
 def write_tsv(spark, sf):
