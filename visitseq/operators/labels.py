@@ -33,9 +33,10 @@ def at_cut(cuts: DataFrame, visits: DataFrame) -> DataFrame:
     """Cuts (patid, cut_no, ...) with the date of that visit and of the next one."""
     order = Window.partitionBy("patid").orderBy("eventdate")
     numbered = visits.select(
-        "patid", F.row_number().over(order).cast("bigint").alias("cut_no"),
+        "patid", F.row_number().over(order).cast("bigint").alias("_no"),
         F.col("eventdate").alias("cut_date"), F.lead("eventdate").over(order).alias("next_date"))
-    return cuts.join(numbered, ["patid", "cut_no"])
+    # by person alone, as both sides are dealt already
+    return cuts.join(numbered, "patid").where(F.col("_no") == F.col("cut_no")).drop("_no")
 
 
 def _labelled(visits: DataFrame, cuts: DataFrame, demographic: DataFrame, in_label: Column,
