@@ -6,7 +6,8 @@ scored by the classifier, texts with equal words (all empty ones, too) leave one
 row left is packed with its end id at least. Other columns of documents stay.
 
 The working tables of a stage stay until the next stage for the same ``sf_dir`` begins, which
-reads what was written of its predecessor: write a stage's result before calling the next.
+reads what was written of its predecessor: write a stage's result before calling the next. Those
+of the last stage stay, as its result is read from them.
 """
 
 import functools
@@ -32,7 +33,8 @@ def _stage(function: Stage) -> Stage:
             drop_table(spark, path)
         with recording() as paths:
             out = function(spark, docs, sf_dir)
-        _working[key] = paths
+        if function.__name__ != STAGES[-1][1].__name__:
+            _working[key] = paths
         return out
     return run
 
