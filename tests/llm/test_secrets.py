@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL, plan_of
