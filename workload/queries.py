@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from visitseq import plans, sources
-from visitseq.constants import BATCH_SIZE, MLM_MAX_LEN, PREDICTION_MAX_LEN
+from visitseq.constants import BATCH_SIZE, MLM_MAX_LEN
 from visitseq.functions.ages import age_id
 from visitseq.functions.arrays import attention_mask, index_seg, padded_tokens, position_idx
 from visitseq.functions.keyed import uniform
