@@ -99,3 +99,44 @@ def test_empty_table(spark):
     df = frame(spark, [])
     known, flat = lmscore.learn(df)
     assert lmscore.score(df, known, flat).collect() == []
+
+
+def test_every_count_is_in_the_scores(spark):
+    """6000 words seen once to three times beside 24 frequent ones."""
+    tail = {f"w{i}": i % 3 + 1 for i in range(6000)}
+    rows = corpus(300) + [(1000 + n, " ".join(w for w, m in tail.items() if m >= n))
+                          for n in (1, 2, 3)]
+    df = frame(spark, rows)
+    known, flat = lmscore.learn(df)
+    types = sorted({w for _, t in rows for w in t.split()})
+    own = dict(zip(types, words(pa.array([" ".join(types)], pa.large_string())).hash.tolist()))
+    single = frame(spark, enumerate([*types, "new", "w1 w2 w2 w2"]))
+    got = [r["log_prob"] for r in lmscore.score(single, known, flat).orderBy("doc_id").collect()]
+    edges = np.full((1, 4), known.size)
+    logs = lmscore.Network(known.size, flat).forward(edges)[2][0]
+    empty = sum(exp(logs[c]) for c in range(lmscore.CLASSES) if c not in known.classes)
+    assert sum(map(exp, got[:len(types)])) + empty == pytest.approx(1, abs=1e-4)
+
+    def place(word):
+        return len(known.hashes) + (own[word] >> 1) % known.places
+
+    for word, score in zip(types, got):
+        if word in tail:
+            want = logs[known.classes[place(word)]] + known.shares[place(word)] + log(tail[word])
+            assert score == pytest.approx(want, abs=1e-4)
+    own["new"] = int(words(pa.array(["new"], pa.large_string())).hash[0])  # as if seen once
+    assert got[-2] == pytest.approx(logs[known.classes[place("new")]] + known.shares[place("new")],
+                                    abs=1e-4)
+    ids = np.array([place(w) for w in ("w1", "w2", "w2", "w2")])
+    around = np.array([[ids[i + s] if 0 <= i + s < 4 else known.size for s in (-2, -1, 1, 2)]
+                       for i in range(4)])
+    want = lmscore.log_probs(lmscore.Network(known.size, flat), known, ids, around).sum()
+    assert got[-1] == pytest.approx(want + log(2) + 3 * log(3), abs=1e-3)
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    sizes = []
+    for times in (1, 16):
+        text = " ".join(f"w{i} " * (20000 * times // (i + 1)) for i in range(8000))
+        sizes.append(len(lmscore.vocabulary(frame(spark, [(1, text)])).hashes))
+    assert 3 < sizes[1] / sizes[0] < 5

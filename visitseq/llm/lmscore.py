@@ -5,9 +5,15 @@ weighs each place, and gives probabilities of word classes; within its class a w
 share of the corpus count (class-factored softmax, so that no step touches the whole
 vocabulary). The score of a document is the sum of the conditional log-probabilities.
 
-Learning covers the whole corpus. Counts of all words fix the vocabulary (the ``VOCABULARY``
-most frequent; the others share one class, each type with equal probability), the classes
-(equal shares of the corpus) and the shares within them. Then, ``ROUNDS`` times, every task
+Learning covers the whole corpus. Counts of all words fix the vocabulary, the classes (about
+equal shares of the corpus) and the share of every word in its class, which is its count by that
+of the class. A word is in the vocabulary, with an embedding of its own, if it was seen
+``often_enough``: the square root of the words of the corpus by ``OFTEN``, so the vocabulary
+grows with the corpus but slower than it. The others, the tail, have their class and their
+embedding by hash, with as many places as the vocabulary has words. Their counts stay a table:
+scoring joins the tail words of the texts with it. A word that was not counted is taken for one
+seen once. With ``size`` given, the vocabulary is that many words, and the others share one
+class, each type with equal probability. Then, ``ROUNDS`` times, every task
 trains a copy of the network on its part of that round's documents (a hash of the text picks
 the round, so every word is learnt from once), and the copies are averaged: one row a parameter
 and task, summed by Spark, weighted by the words the parameter has seen. Only averaged
@@ -19,6 +25,7 @@ Other columns are not read.
 """
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -26,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from visitseq.llm.textbytes import chunks, words
-from visitseq.sources import materialize
+from visitseq.sources import materialize, scratch_path
 
-VOCABULARY = 4096
+OFTEN = 32
 CLASSES = 64
 WIDTH = 16
 WINDOW = 2
@@ -42,8 +49,10 @@ _HELD = 1 << 19
 class Vocabulary(NamedTuple):
     hashes: np.ndarray   # sorted
     ids: np.ndarray      # by sorted hash; ids count down with the frequency
-    classes: np.ndarray  # of every id, the last being all other words
-    shares: np.ndarray   # log of the share in its class
+    classes: np.ndarray  # of every id, the last ``places`` being those of other words
+    shares: np.ndarray   # log of the share in its class; for other words that of a count of 1
+    places: int = 1
+    tail: str | None = None  # table (hash, n) of other words seen more than once
 
     @property
     def size(self) -> int:
@@ -88,7 +97,26 @@ class Network:
                 (x * da[:, None, :]).sum(0), da.sum(0), hidden.T @ dz, dz.sum(0))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
+def often_enough(total: int) -> int:
+    """The count from which a word of a corpus of ``total`` words is in the vocabulary."""
+    return max(1, ceil(sqrt(total) / OFTEN))
+
+
+def _tail(counts: DataFrame, known: int, mass: float) -> tuple[np.ndarray, np.ndarray, str]:
+    """Class and log share (of a count of 1) of every place of the tail, and its table."""
+    n_classes = int(np.clip(round(CLASSES * mass), 1, CLASSES // 2))
+    places = max(known, n_classes)
+    own = np.arange(places) % n_classes
+    of = F.shiftrightunsigned("hash", 1) % F.lit(places) % F.lit(n_classes)
+    sums = np.ones(n_classes)
+    for row in counts.groupBy(of.alias("class")).agg(F.sum("n").alias("n")).collect():
+        sums[row["class"]] = row["n"]  # a row a class
+    path = scratch_path(counts.sparkSession, "tail")
+    materialize(counts.filter("n > 1"), path=path)
+    return CLASSES - 1 - own, -np.log(sums[own]), path
+
+
+def vocabulary(docs: DataFrame, size: int | None = None) -> Vocabulary:
     """Counts of every word of the corpus, and what follows from them."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -117,26 +145,39 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     counts = materialize(docs.select("text").mapInArrow(scan, "hash long, n long")
                          .groupBy("hash").agg(F.sum("n").alias("n")), "words")
     types, total = counts.agg(F.count("*"), F.sum("n")).head()
-    top = counts.orderBy(F.desc("n"), "hash").limit(size).collect()  # the vocabulary
-    n = np.array([r["n"] for r in top], np.float64)
+    if size is None:
+        often = often_enough(total or 0)
+        top = counts.filter(F.col("n") >= often).toArrow()  # the vocabulary
+    else:
+        top = counts.orderBy(F.desc("n"), "hash").limit(size).toArrow()
+    top = top.sort_by([("n", "descending"), ("hash", "ascending")])
+    n = top["n"].to_numpy().astype(np.float64)
     share = n / max(total or 0, 1)
-    classes = np.minimum(((CLASSES - 1) * (np.cumsum(share) - share) / max(share.sum(), 1e-12)
-                          ).astype(np.int64), CLASSES - 2)
+    if size is None and len(n) < types:
+        rest, once, path = _tail(counts.filter(F.col("n") < often), len(n), 1 - share.sum())
+    else:
+        rest, path = np.array([CLASSES - 1]), None
+        once = np.array([-np.log(max(types - len(n), 1))])
+    own = int(rest.min())  # classes of the vocabulary
+    classes = np.minimum((own * (np.cumsum(share) - share) / max(share.sum(), 1e-12)
+                          ).astype(np.int64), own - 1)
     within = np.log(n / np.bincount(classes, n, CLASSES)[classes]) if len(n) else n
-    rest = -np.log(max(types - len(n), 1))
-    hashes = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
+    hashes = top["hash"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order, np.append(classes, CLASSES - 1), np.append(within, rest))
+    return Vocabulary(hashes[order], order, np.append(classes, rest), np.append(within, once),
+                      len(rest), path)
 
 
-def coded(part: pa.Array, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of all words, row of each, ids of the words around it or the edge's)."""
+def coded(part: pa.Array, known: Vocabulary
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all words, row of each, ids of the words around it or the edge's, hashes)."""
     found = words(part)
-    other, edge = known.size - 1, known.size
-    ids = np.full(len(found.hash), other)
+    edge = known.size
+    other = ((found.hash >> np.uint64(1)) % np.uint64(known.places)).astype(np.int64)
+    ids = other + len(known.hashes)
     if len(known.hashes):
         at = np.minimum(np.searchsorted(known.hashes, found.hash), len(known.hashes) - 1)
-        ids = np.where(known.hashes[at] == found.hash, known.ids[at], other)
+        ids = np.where(known.hashes[at] == found.hash, known.ids[at], ids)
     n = len(ids)
     around = np.full((n, len(_PLACES)), edge)
     for i, step in enumerate(_PLACES):
@@ -144,7 +185,7 @@ def coded(part: pa.Array, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np
         of = slice(max(0, step), n - max(0, -step))
         near = found.row[to] == found.row[of]
         around[to, i] = np.where(near, ids[of], edge)
-    return ids, found.row, around
+    return ids, found.row, around, found.hash
 
 
 def train(batches: Iterator[pa.RecordBatch], known: Vocabulary, start: np.ndarray, size: int
@@ -161,7 +202,7 @@ def train(batches: Iterator[pa.RecordBatch], known: Vocabulary, start: np.ndarra
 
     for batch in batches:
         for _, part in chunks(batch.column("text")):
-            ids, _, around = coded(part, known)
+            ids, _, around, _ = coded(part, known)
             target = known.classes[ids]
             order = np.random.default_rng(len(ids)).permutation(len(ids))
             for a in range(0, len(ids), size):
@@ -184,7 +225,7 @@ def train(batches: Iterator[pa.RecordBatch], known: Vocabulary, start: np.ndarra
              pa.array(weight[own])], ["index", "value", "weight"])
 
 
-def learn(docs: DataFrame, size: int = VOCABULARY, batch: int = BATCH
+def learn(docs: DataFrame, size: int | None = None, batch: int = BATCH
           ) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the averaged parameters."""
     spark = docs.sparkSession
@@ -196,9 +237,9 @@ def learn(docs: DataFrame, size: int = VOCABULARY, batch: int = BATCH
         moved = (own.mapInArrow(lambda batches: train(batches, *given.value, batch),
                                 "index int, value double, weight double")
                  .groupBy("index").agg((F.sum(F.col("value") * F.col("weight"))
-                                        / F.sum("weight")).alias("value")).toPandas())
+                                        / F.sum("weight")).cast("float").alias("value")).toArrow())
         flat = flat.copy()  # one row a parameter reached the driver
-        flat[moved["index"].to_numpy(np.int64)] = moved["value"].to_numpy(np.float32)
+        flat[moved["index"].to_numpy()] = moved["value"].to_numpy()
     return known, flat
 
 
@@ -215,19 +256,38 @@ def log_probs(net: Network, known: Vocabulary, ids: np.ndarray, around: np.ndarr
 def score(docs: DataFrame, known: Vocabulary, flat: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, log_prob, mean: one row a row of ``docs``."""
     dtype = docs.schema["doc_id"].dataType.simpleString()
-    given = docs.sparkSession.sparkContext.broadcast((known, flat))
+    spark = docs.sparkSession
+    given = spark.sparkContext.broadcast((known, flat))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, values = given.value
         net = Network(vocabulary.size, values)
         for batch in batches:
             for first, part in chunks(batch.column("text")):
-                ids, row, around = coded(part, vocabulary)
+                ids, row, around, word = coded(part, vocabulary)
                 n = np.bincount(row, minlength=len(part))
                 total = np.bincount(row, log_probs(net, vocabulary, ids, around), len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(part)), pa.array(n, pa.int64()),
-                     pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)],
-                    ["doc_id", "n_tokens", "log_prob", "mean"])
-    return docs.select("doc_id", "text").mapInArrow(
-        scan, f"doc_id {dtype}, n_tokens long, log_prob double, mean double")
+                columns = [batch.column("doc_id").slice(first, len(part)), pa.array(n, pa.int64()),
+                           pa.array(total)]
+                if vocabulary.tail is not None:
+                    other = ids >= len(vocabulary.hashes)
+                    ends = np.cumsum(np.bincount(row[other], minlength=len(part)))
+                    columns.append(pa.ListArray.from_arrays(
+                        pa.array(np.append(0, ends), pa.int32()), word[other].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names[:len(columns)])
+
+    names = ["doc_id", "n_tokens", "log_prob", "tail"]
+    fields = f"doc_id {dtype}, n_tokens long, log_prob double"
+    read = docs.select("doc_id", "text")
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean")
+    if known.tail is None:
+        return read.mapInArrow(scan, fields).select("*", mean)
+    scored = read.mapInArrow(scan, f"{fields}, tail array<long>")
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    counts = spark.read.schema("hash long, n long").parquet(known.tail)
+    # a count of 1 is in log_prob already
+    more = (scored.select("row", F.explode("tail").alias("hash")).join(counts, "hash")
+            .groupBy("row").agg(F.sum(F.log("n")).alias("more")))
+    total = (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob")
+    return (scored.select("row", "doc_id", "n_tokens", "log_prob").join(more, "row", "left")
+            .select("doc_id", "n_tokens", total).select("*", mean))
