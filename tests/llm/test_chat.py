@@ -103,3 +103,21 @@ def test_text_is_located_in_a_black_box(spark):
     assert [r["text_start"] for r in shouting][1] is not None
     lost = rows_of(spark, rows, lambda m: f"{len(m)} turns", 2)
     assert not any(r["loss"] for r in lost) and lost[1]["dropped"] > 0
+
+
+def recent(messages):
+    """Drops the thoughts of all assistant turns before the last user turn."""
+    last = max((i for i, m in enumerate(messages) if m[0] == "user"), default=-1)
+    return "".join(f"<{r}>" + (t if i > last or r == "user" else re.sub("T:.*;", "", t)) + "\n"
+                   for i, (r, t) in enumerate(messages))
+
+
+def test_rewrite_of_more_than_two_turns(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "T:1;b"), (1, 2, "tool", "c"),
+            (1, 3, "assistant", "T:2;d"), (1, 4, "tool", "e"), (1, 5, "assistant", "T:3;f"),
+            (1, 6, "user", "g")]
+    got = [r.asDict() for r in chat.format_turns(turns(spark, rows), recent)
+           .orderBy("turn_no").collect()]
+    assert folded(got) == recent([r[2:] for r in rows])
+    assert [r["dropped"] > 0 for r in got] == [False] * 6 + [True]
+    assert got[5]["piece"][got[5]["text_start"]:got[5]["text_end"]] == "T:3;f" and got[5]["loss"]

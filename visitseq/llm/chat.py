@@ -8,9 +8,9 @@ probe character as the turn's text shows which part of the span is the text itse
 mask is that part of assistant turns.
 
 Conversations are sorted by turn (then role and text, for rows that share a turn) and stream
-through a task; ``context`` is the number of earlier turns a template may look at, and all that
-is held of a conversation. ``None`` renders whole prefixes, for templates without such a bound:
-work then grows with the square of the number of turns, and a conversation is held in memory.
+through a task. Whole prefixes are rendered: work grows with the square of the number of turns,
+and a conversation is held in memory. ``context`` is for templates that look at no more than so
+many earlier turns: only these are then rendered and held.
 
 Null roles and texts are empty, null turns come first, rows without conv_id are one
 conversation. Repeated rows are repeated turns. Other columns are not read.
@@ -76,10 +76,10 @@ def _common(a: str, b: str) -> int:
     return len(a) if b.startswith(a) else len(commonprefix([a, b]))
 
 
-def locate(render: Render, earlier: list[tuple[str, str]], role: str, text: str
-           ) -> tuple[int, str, int | None, int | None]:
-    """(characters of the earlier output that go, the span, place of the text in the span)."""
-    before = render(earlier) if earlier else ""
+def locate(render: Render, earlier: list[tuple[str, str]], role: str, text: str, before: str
+           ) -> tuple[str, tuple[int, str, int | None, int | None]]:
+    """The output with the turn, and (characters of the output before that go, the span, place
+    of the text in the span)."""
     after = render([*earlier, (role, text)])
     kept = _common(before, after)
     span, probed = after[kept:], render([*earlier, (role, PROBE)])
@@ -87,15 +87,15 @@ def locate(render: Render, earlier: list[tuple[str, str]], role: str, text: str
     if frame.count(PROBE) == 1 and PROBE not in before:
         head, tail = frame.split(PROBE)
         if (len(span) >= len(head) + len(tail) and span.startswith(head) and span.endswith(tail)):
-            return len(before) - kept, span, len(head), len(span) - len(tail)
-    return len(before) - kept, span, None, None
+            return after, (len(before) - kept, span, len(head), len(span) - len(tail))
+    return after, (len(before) - kept, span, None, None)
 
 
 def _in_order(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition("conv_id").sortWithinPartitions("conv_id", *order)
 
 
-def format_turns(turns: DataFrame, render: Render = inst_template, context: int | None = 2
+def format_turns(turns: DataFrame, render: Render = inst_template, context: int | None = None
                  ) -> DataFrame:
     """One row a turn, in pieces of the formatted conversation.
 
@@ -109,7 +109,7 @@ def format_turns(turns: DataFrame, render: Render = inst_template, context: int
     names = ["conv_id", "turn_no", "role", "dropped", "piece", "text_start", "text_end", "loss"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, number, earlier, rows, size, kind = object(), 0, [], [], 0, None
+        current, number, earlier, before, rows, size, kind = object(), 0, [], "", [], 0, None
 
         def flush():
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (
@@ -122,14 +122,15 @@ def format_turns(turns: DataFrame, render: Render = inst_template, context: int
             for conv, role, text in zip(*(batch.column(c).to_pylist()
                                           for c in ("conv_id", "role", "text"))):
                 if conv != current:
-                    current, number, earlier = conv, 0, []
-                dropped, piece, start, end = locate(render, earlier, role, text)
+                    current, number, earlier, before = conv, 0, [], ""
+                before, (dropped, piece, start, end) = locate(render, earlier, role, text, before)
                 loss = role == "assistant" and start is not None
                 rows.append((conv, number, role, dropped, piece, start, end, loss))
                 number, size = number + 1, size + len(piece)
-                earlier = [*earlier, (role, text)]
-                if context is not None:
-                    earlier = earlier[len(earlier) - context:] if len(earlier) > context else earlier
+                earlier.append((role, text))
+                if context is not None and len(earlier) > context:
+                    earlier = earlier[len(earlier) - context:]
+                    before = render(earlier) if earlier else ""
                 if size > _FLUSH_CHARS:
                     yield flush()
                     rows, size = [], 0
