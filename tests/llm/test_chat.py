@@ -121,3 +121,9 @@ def test_rewrite_of_more_than_two_turns(spark):
     assert folded(got) == recent([r[2:] for r in rows])
     assert [r["dropped"] > 0 for r in got] == [False] * 6 + [True]
     assert got[5]["piece"][got[5]["text_start"]:got[5]["text_end"]] == "T:3;f" and got[5]["loss"]
+
+
+def test_probe_character_in_earlier_turns(spark):
+    rows = [(1, 0, "user", "x\ue000"), (1, 1, "assistant", "hi"), (1, 2, "assistant", "\ue000"),
+            (1, 3, "user", "\ue000\ue000"), (1, 4, "assistant", "a\ue000b")]
+    assert run(spark, rows) == expected(rows)

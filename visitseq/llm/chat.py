@@ -84,7 +84,7 @@ def locate(render: Render, earlier: list[tuple[str, str]], role: str, text: str,
     kept = _common(before, after)
     span, probed = after[kept:], render([*earlier, (role, PROBE)])
     frame = probed[kept:] if probed[:kept] == after[:kept] else ""
-    if frame.count(PROBE) == 1 and PROBE not in before:
+    if frame.count(PROBE) == 1:
         head, tail = frame.split(PROBE)
         if (len(span) >= len(head) + len(tail) and span.startswith(head) and span.endswith(tail)):
             return after, (len(before) - kept, span, len(head), len(span) - len(tail))
