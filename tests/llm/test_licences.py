@@ -41,3 +41,22 @@ def test_empty_tables_and_equal_known_texts(spark):
     assert run(spark, [(1, "Some\ntext"), (2, "some text"), (3, "x")], known) == [
         (1, ["A", "B"], []), (2, ["A", "B"], ["A", "B"]), (3, [], [])]
     assert run(spark, [(1, "a")], known.limit(0)) == [(1, [], [])]
+
+
+@pytest.mark.parametrize("licence", list(licences.TEXTS))
+def test_usual_files(spark, licence):
+    text = licences.TEXTS[licence]
+    title = licences.TITLES[licence][0]
+    flat = text.replace("\n\n", "\n").replace(" copyright ", "\ncopyright ")  # wrapped otherwise
+    rows = [(1, f"{title}\n\nCopyright (c) 2020 A. Nobody\n\n{text}"), (2, f"Copyright Acme Inc.\n{flat}"),
+            (3, title)]
+    assert run(spark, rows) == [(1, [licence], [licence]), (2, [licence], []),
+                                (3, [licence], [licence])]
+
+
+def test_holders_and_headers(spark):
+    rows = [(1, "Copyright Nobody and others\n" + MIT), (2, "Copyright Holding plc\n" + MIT),
+            (3, "copyright holders\n" + MIT), (4, "copyright notice\n" + MIT),
+            (5, '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may')]
+    assert run(spark, rows) == [(1, ["MIT"], []), (2, ["MIT"], []), (3, [], []), (4, [], []),
+                                (5, [], ["Apache-2.0"])]

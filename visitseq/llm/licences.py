@@ -12,6 +12,8 @@ Rows are treated one by one, repeated rows and rows without doc_id included. Nul
 texts, and texts of copyright lines only, have no licence. Other columns are not read.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from visitseq.sources import materialize
@@ -100,16 +102,130 @@ appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be
 misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+}
+# Lines that stand above a text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License",
+                     'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License",
+                     'BSD 3-Clause "New" or "Revised" License'],
+    "Unlicense": ["The Unlicense", "Unlicense"],
 }
+# Lines of the usual file headers.
+HEADERS = {
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License");',
+                   'Licensed under the Apache License, Version 2.0 (the "License"); you may not',
+                   'Licensed under the Apache License, Version 2.0 (the "License"); you may not '
+                   "use this file except in compliance with the License."],
+    "MPL-2.0": ["License, v. 2.0. If a copy of the MPL was not distributed with this",
+                "This Source Code Form is subject to the terms of the Mozilla Public License, "
+                "v. 2.0."],
+}
+# Words after "copyright" that are no holder, as in a wrapped line of a text.
+NO_HOLDER = ["and", "as", "for", "holder", "holders", "in", "interest", "interests", "is", "law",
+             "laws", "license", "licenses", "licence", "licences", "notice", "notices", "of", "or",
+             "owner", "owners", "statement", "the", "to"]
+
+
+def _other_word(words: list[str], start: bool = True) -> str:
+    """A pattern of any word but these, without lookahead."""
+    firsts = sorted({w[0] for w in words if w})
+    longer = f"[^ {''.join(firsts)}][^ ]*"
+    options = [longer, *(c + _other_word([w[1:] for w in words if w and w[0] == c], False)
+                         for c in firsts)]
+    return f"({'|'.join(options)})" + ("" if start or "" in words else "?")
+
 
 COPYRIGHT = (r"^((copyright( c)?|c) (19|20)[0-9][0-9]( .*)?|copyright (c|by)( .*)?|copyright"
-             r"|all rights reserved)$")
+             rf"|copyright {_other_word(NO_HOLDER)}( .*)?|all rights reserved)$")
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(licence, text) of the built-in licences: texts, notices and identifier lines."""
-    out = list(TEXTS.items())
+    """(licence, text) of the built-in licences: texts, titles, notices and identifier lines."""
+    out = []
+    for licence, text in TEXTS.items():
+        forms = [text]
+        if licence.startswith("BSD"):  # bullets instead of numbers
+            forms.append(re.sub(r"(?m)^\d\. ", "* ", text))
+        if licence == "Unlicense":
+            forms += [text.replace("https:", "http:"), text.replace("org>", "org/>"),
+                      text[:text.index("For more")]]
+        out += [(licence, form) for form in forms]
+        out += [(licence, f"{title}\n{form}") for title in TITLES[licence] for form in forms]
+    out += [(licence, line) for lines in (TITLES, HEADERS) for licence, each in lines.items()
+            for line in each]
     for licence, names in NAMES.items():
         out.append((licence, f"SPDX-License-Identifier: {licence}"))
         out += [(licence, notice.format(name)) for name in names for notice in NOTICES]
