@@ -119,3 +119,20 @@ def test_components(spark, seed):
             parent[y] = x
     got = components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert dict(map(tuple, got)) == {x: root(x) for x in parent if root(x) != x}
+
+
+def test_rows_without_id_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(40)]
+    # a chain: the text in the middle links both others and has no id
+    rows = [(5, " ".join([*base[:-3], *"abc"])), (None, " ".join(base)),
+            (3, " ".join([*"def", *base[3:]]))]
+    sets = [grams(words(t)) for _, t in rows]
+    linked = [len(a & b) >= 0.8 * len(a | b) for a, b in
+              ((sets[0], sets[1]), (sets[1], sets[2]), (sets[0], sets[2]))]
+    assert linked == [True, True, False]
+    lone = [f"y{i}" for i in range(40)]
+    rows += [(None, " ".join(lone)), (None, " ".join([*lone[:-1], "z"]))]
+    rows += [(7, " ".join([f"v{n}w{i}" for i in range(30)])) for n in range(50)]
+    assert run(spark, rows) == sorted(
+        [(5, 3, 1, 1), (None, 3, 2, 1), (3, 3, 1, 1), (None, None, 1, 1), (None, None, 1, 1)]
+        + [(7, 7, 0, 1)] * 50, key=repr)

@@ -20,8 +20,8 @@ and the smallest class it hangs together with. Nodes that stay large are cut int
 every pair of blocks is a group of its own: a group holds at most 2 * ``BLOCK`` classes.
 
 Nulls count as empty texts; texts without words are alike if their bytes are, and link to
-nothing else. Rows that share a doc_id stay apart. A class whose rows all lack a doc_id cannot
-be read again: it has no links, and class_id null. Other columns are not read.
+nothing else. Rows are numbered and written once, so doc_id may be repeated or null: only the
+output has it, and class_id is null where no text of a group has one. Other columns are not read.
 """
 
 from collections.abc import Iterator
@@ -93,8 +93,8 @@ def sequence_hashes(found: Words, part: pa.Array) -> list[np.ndarray]:
     return [x.view(np.int64) for x in out]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2 (same words, same hashes) and COORDS min-hashes (null without words)."""
+def signatures(rows: DataFrame) -> DataFrame:
+    """number, doc_id, h1, h2 (same words, same hashes) and COORDS min-hashes (null without words)."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in chunks(batch.column("text")):
@@ -110,11 +110,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 empty = np.diff(offsets) == 0
                 rows = np.ascontiguousarray(mins.T).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(part)), pa.array(h1), pa.array(h2),
+                    [batch.column("number").slice(first, len(part)),
+                     batch.column("doc_id").slice(first, len(part)), pa.array(h1), pa.array(h2),
                      pa.array([None if e else r.tobytes() for e, r in zip(empty, rows)],
-                              pa.binary())], ["doc_id", "h1", "h2", "mins"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        scan, "doc_id long, h1 long, h2 long, mins binary")
+                              pa.binary())], ["number", "doc_id", "h1", "h2", "mins"])
+    return rows.select("number", "doc_id", "text").mapInArrow(
+        scan, "number long, doc_id long, h1 long, h2 long, mins binary")
 
 
 def _matrix(column: pa.Array, width: int, dtype) -> np.ndarray:
@@ -338,13 +339,21 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     ``class_id`` is the smallest doc_id of all texts that hang together by links, ``n_links``
     the number of other texts linked to this one, ``n_copies`` the rows with the same words.
     """
-    spark, runs = docs.sparkSession, runs_for(recall, threshold)
-    signed = materialize(signatures(docs), "signatures")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"),
+                                   F.col("doc_id").cast("long"), "text"), "numbered")
+    return _similar(rows, threshold, recall, small)
+
+
+def _similar(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
+             small: int = SMALL) -> DataFrame:
+    """The same of a written table of number (unique), doc_id and text."""
+    spark, runs = rows.sparkSession, runs_for(recall, threshold)
+    signed = materialize(signatures(rows), "signatures")
     classes = (signed.groupBy("h1", "h2")
-               .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"),
-                    F.first("mins").alias("mins")))
+               .agg(F.min("number").alias("rep"), F.min("doc_id").alias("least"),
+                    F.count("*").alias("n_copies"), F.first("mins").alias("mins")))
     nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    compared = nodes.filter("rep is not null and mins is not null")
+    compared = nodes.filter("mins is not null")
 
     with recording() as levels:
         found = buckets(compared, runs, small)
@@ -369,7 +378,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
                         .select(*[f.split()[0] for f in _FIELDS.split(", ")]))
     hopeful = materialize(promising(groups, runs, threshold), path=spent[2])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = rows.select(F.col("number").alias("rep"), "text")
     wanted = hopeful.select("node").distinct().join(
         traits.select("node", "rep", "h1", "h2"), "node")
     read = own_texts(texts.join(wanted, "rep").select("node", "h1", "h2", "text"))
@@ -381,11 +390,11 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     joined = components(links.select("node", "label").filter("node <> label").distinct(),
                         "node", "label")
     counted = links.groupBy("node").agg(F.sum("links").alias("n_links"))
-    named = (nodes.select("node", "h1", "h2", "rep", "n_copies")
+    named = (nodes.select("node", "h1", "h2", "least", "n_copies")
              .join(counted, "node", "left").join(joined, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
     named = materialize(named, "named")
-    heads = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    heads = named.groupBy("root").agg(F.min("least").alias("class_id"))
     return (signed.select("doc_id", "h1", "h2").join(named.join(heads, "root"), ["h1", "h2"])
             .select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
                     "n_copies"))
@@ -400,7 +409,8 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     while number in docs.columns:
         number += "_"
     rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    found = similar(rows.select(F.col(number).alias("doc_id"), "text"), **options)
+    key = F.col(number)
+    found = _similar(rows.select(key.alias("number"), key.alias("doc_id"), "text"), **options)
     first = found.filter("doc_id = class_id").select(F.col("doc_id").alias(number)).distinct()
     return rows.join(first, number, "left_semi").drop(number)
 
