@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpus_pipeline import run as pipeline
 from visitseq.llm import (
-    chat, decontaminate, idfiles, licences, lmscore, neighbours, packing, quality, secrets,
+    alignment, chat, decontaminate, idfiles, licences, lmscore, neighbours, packing, quality, secrets,
     similarity)
-from visitseq.sources import scratch_path
+from visitseq.sources import materialize, scratch_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -80,6 +80,14 @@ def op10_pack(spark, sf):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_align(spark, sf):
+    groups = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    aligned = materialize(alignment.align(table(spark, sf, "documents")).select(
+        "doc_id", "n_a", "n_b", "n_groups", groups.alias("groups_sha256"), "links"), "aligned")
+    return alignment.weigh(aligned, alignment.link_counts(aligned)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "pipeline": pipeline,
     "op1_nearest": op1_nearest,
@@ -92,4 +100,5 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_similar": op9_similar,
     "op10_pack": op10_pack,
+    "op11_align": op11_align,
 }
