@@ -85,3 +85,45 @@ select doc_id, coalesce(t.ids, '') as whole, coalesce(l.ids, '') as licences,
        coalesce(l.n, 0) as n_licences
 from docs left join of_text t using (r) left join of_lines l using (r)
 """
+
+ORACLE["op12_spelling"] = r"""
+with recursive tab as (
+  select list_transform(range(256), lambda x: list_reduce(
+    list_concat([x], range(8)),
+    lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t),
+runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as run
+  from documents),
+counted as (select doc_id, run, count(*) as c from runs where length(run) >= 5 group by all),
+coded as (select run, c, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as code
+          from counted),
+summed as (
+  select run, c, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(1, len(code), 2),
+                                             lambda i: ('0x' || substr(code, i, 2))::bigint)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) as h
+  from coded, tab),
+changed as (
+  select c, case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint)
+                 || substr(run, (h % length(run))::bigint + 2) else run end as word from summed),
+words as (select word, sum(c)::bigint as n from changed where length(word) >= 5
+          group by word having sum(c) >= 3),
+gaps as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+         from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as (
+  select distinct a.word, b.word as near, b.n from gaps a join gaps b using (i, rest)
+  where a.word != b.word
+  union select distinct g.word, w.word, w.n from gaps g join words w on g.rest = w.word
+  union select distinct w.word, g.word, g.n from gaps g join words w on g.rest = w.word),
+ranked as (select *, row_number() over (partition by word order by n desc, near) as r,
+                  count(*) over (partition by word) as n_near from pairs),
+forms as (select w.word, w.n, coalesce(r.n_near, 0) as n_near,
+                 case when r.n >= 2 * w.n then r.near end as form,
+                 case when r.n >= 2 * w.n then r.n end as form_n
+          from words w left join ranked r on r.word = w.word and r.r = 1),
+chains as (select word, word as root, form as next from forms
+           union all select c.word, f.word, f.form from chains c join forms f on f.word = c.next)
+select f.word, f.n, f.n_near, f.form, f.form_n, c.root
+from forms f join chains c using (word) where c.next is null
+"""

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpus_pipeline import run as pipeline
 from visitseq.llm import (
-    alignment, chat, decontaminate, idfiles, licences, lmscore, neighbours, packing, quality, secrets,
-    similarity)
+    alignment, chat, decontaminate, idfiles, licences, lmscore, neighbours, packing, quality,
+    secrets, similarity, spelling)
 from visitseq.sources import materialize, scratch_path
 
 
@@ -88,6 +88,10 @@ def op11_align(spark, sf):
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_spelling(spark, sf):
+    return spelling.group_variants(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "pipeline": pipeline,
     "op1_nearest": op1_nearest,
@@ -101,4 +105,5 @@ QUERIES = {
     "op9_similar": op9_similar,
     "op10_pack": op10_pack,
     "op11_align": op11_align,
+    "op12_spelling": op12_spelling,
 }
