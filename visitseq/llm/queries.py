@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpus_pipeline import run as pipeline
 from visitseq.llm import (
-    alignment, chat, decontaminate, idfiles, licences, lmscore, neighbours, packing, quality,
-    secrets, similarity, spelling)
+    alignment, chat, decontaminate, idfiles, licences, lmscore, neighbours, packing, personal,
+    quality, secrets, similarity, spelling)
 from visitseq.sources import materialize, scratch_path
 
 
@@ -92,6 +92,19 @@ def op12_spelling(spark, sf):
     return spelling.group_variants(table(spark, sf, "documents"))
 
 
+def op13_personal(spark, sf):
+    found = personal.find_personal(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(rank):
+        return F.size(F.filter(base, lambda s: s["rank"] == rank)).cast("long")
+
+    return found.select(
+        "doc_id", *[count(rank).alias(f"n_{kind}") for rank, kind in enumerate(personal.KINDS)],
+        F.sha2(personal.as_text(base), 256).alias("base_sha256"),
+        personal.as_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "pipeline": pipeline,
     "op1_nearest": op1_nearest,
@@ -106,4 +119,5 @@ QUERIES = {
     "op10_pack": op10_pack,
     "op11_align": op11_align,
     "op12_spelling": op12_spelling,
+    "op13_personal": op13_personal,
 }
