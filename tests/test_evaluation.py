@@ -115,16 +115,60 @@ def test_scores_learn_what_recurs(spark, vocab):
          for p in range(20)],
         "patid long, code array<string>, age array<string>, label array<string>")
     encoded = encode.encode_next_visit(rows, vocab, names, 6)
-    weights = score.label_weights(encoded, vocab, names)
-    scores = score.next_code_scores(encoded, weights, vocab, names).collect()
-    assert len(scores) == 20  # the label of the history is the one to predict
+    model = score.history_model(encoded, vocab, names)
+    scores = score.next_code_scores(encoded, model).collect()
+    assert len(scores) == 20  # no code speaks for a label that never followed it
     got = {(r.patid, r.label_id): r for r in scores}
-    assert got[(1, 1)].logit == pytest.approx(math.log(10.5 / 0.5))
-    assert got[(1, 1)].if_new == pytest.approx(math.log(0.5 / 10.5))
+    assert got[(1, 1)].logit == pytest.approx(2 * math.log(10.5 / 0.5), abs=1e-5)
+    assert (got[(1, 1)].if_new, got[(1, 1)].least) == (0, 0)
     report = plans.counting_report(encoded, encoded, vocab, names).head()
     assert (report.ap, report.auc, report.rated, report.samples) == (1.0, 1.0, 20, 20)
 
 
+@pytest.mark.parametrize("support, most, broadcast", [(None, None, None), (3, 200, 0), (4, 2, None)])
+def test_scores_from_any_code(spark, support, most, broadcast):
+    """Against plain loops over all pairs of history codes and labels."""
+    from collections import Counter
+    rng = random.Random(5)
+    words = ["PAD", "UNK", "SEP", "CLS", "MASK", *"ABCDEFGH"]
+    vocab = spark.createDataFrame(list(zip(words, range(13))), "token string, token_id int")
+    names = spark.createDataFrame([("UNK", 0), *zip("ABCDEFGH", range(1, 9))],
+                                  "token string, label_id int")
+    train, test = ([(p, [3, *rng.choices(range(5, 11 + p % 3), k=6), 2], sorted(
+        rng.sample(range(1, 9), rng.randrange(4)))) for p in range(n)] for n in (60, 25))
+    train[0] = (0, [3, 5, 5, 2], [1, 1, 2, -1])
+    schema = "patid long, code array<long>, label_ids array<long>"
+    frames = [spark.createDataFrame(rows, schema) for rows in (train, test)]
+    model = score.history_model(frames[0], vocab, names, support, most, broadcast)
+    got = score.next_code_scores(frames[1], model, broadcast_bytes=broadcast).collect()
+
+    known = {i for i in range(5, 13)}
+    pairs, codes, labels = Counter(), Counter(), Counter()
+    for _, code, label in train:
+        held, wanted = set(code) & known, {i for i in label if i >= 0}
+        codes.update(held)
+        labels.update(wanted)
+        pairs.update((c, i) for c in held for i in wanted)
+    weight = {}
+    for c in codes:
+        best = sorted((-n, i) for (d, i), n in pairs.items() if d == c and n >= (support or 1))
+        for minus, i in best[:most]:
+            n, rest = -minus, labels[i] + minus
+            weight[c, i] = round(1e6 * (math.log((n + .5) / (codes[c] - n + .5)) - math.log(
+                (rest + .5) / (60 - codes[c] - rest + .5))))
+    base = {i: round(1e6 * math.log((labels[i] + .5) / (60 - labels[i] + .5))) for i in range(9)}
+    want = set()
+    for p, code, label in test:
+        for i in range(9):
+            spoken = [weight[c, i] for c in set(code) if (c, i) in weight]
+            if spoken or i in label:
+                x = base[i] + sum(spoken)
+                want.add((p, i, x / 1e6, int(i in label), base[i] / 1e6,
+                          sum(b >= x for b in base.values()), sum(b > x for b in base.values())))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert model.n_pairs == len(weight)
+
+
 def test_sparse_metrics_equal_those_of_all_labels(spark):
     rng = random.Random(8)
     n = 12

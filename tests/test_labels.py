@@ -122,3 +122,42 @@ def test_batches(spark):
         assert sizes == {0: 256, 1: 256, 2: 256, 3: 232}
     in_order = batches.assign_batches(df, 256).collect()
     assert all(r.batch_id == r.patid // 256 for r in in_order)
+
+
+def test_packed_labels(spark):
+    rows = [[], [5], [0, 63, 64, 64, 200, -1], [130, 129], [-1]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "patid int, label_ids array<long>")
+    got = {r.patid: {w.word: w.bits % 2 ** 64 for w in r.words}
+           for r in labels.packed_labels(df).collect()}
+    for i, ids in enumerate(rows):
+        want = {}
+        for x in {x for x in ids if x >= 0}:
+            want[x // 64] = want.get(x // 64, 0) | 1 << x % 64
+        assert got[i] == want
+    dense = {r.patid: r.target for r in labels.multi_hot(df, 131).collect()}
+    assert all(dense[i] == [int(c in ids) for c in range(131)] for i, ids in enumerate(rows))
+
+
+def test_tails_equal_the_ends_of_whole_histories(spark):
+    """One pass for two horizons and for the next visit, against the stored labelled tables."""
+    from visitseq import plans
+    from visitseq.operators import encode
+    from visitseq.operators.visits import tail_visits
+    from workload import tables
+    stored = plans.visit_table(tables.diagnoses(spark, "/root/testdata/sf0.001"))
+    people = plans.people_table(tables.demographic(spark, "/root/testdata/sf0.001"))
+
+    def rows(df):
+        return sorted((r.patid, r.cut_date, tuple(r.code), tuple(r.age), tuple(r.label))
+                      for r in df.collect())
+
+    for max_len in (7, 40):
+        cuts = labels.pick_cuts(stored, seed=3, last_visits=tail_visits(max_len))
+        both = labels.tails_horizons(stored, cuts, people, [6, 12], max_len)
+        for months in (6, 12):
+            whole = labels.label_horizon(stored, cuts, people, months)
+            ends = encode.last_tokens(whole, max_len, ("patid", "cut_date"), same=("label",))
+            assert rows(both.where(f"months = {months}")) == rows(ends)
+        whole = labels.label_next_visit(stored, cuts, people)
+        ends = encode.last_tokens(whole, max_len, ("patid", "cut_date"), same=("label",))
+        assert rows(labels.tails_next_visit(stored, cuts, people, max_len)) == rows(ends)

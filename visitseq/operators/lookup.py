@@ -4,33 +4,59 @@ from pyspark.sql import DataFrame, functions as F
 
 from visitseq.constants import UNK
 from visitseq.operators.vocab import VocabFacts, vocab_facts
+from visitseq.sources.scratch import materialize
 
 # A vocabulary is broadcast up to this measured size.
 BROADCAST_BYTES = 64 << 20
 # Overhead of a row in the broadcast hash table, beside the text of its token.
 ROW_BYTES = 48
-SALTS = 32
+# A value with more than one in so many rows is joined apart; one row in so many is looked at.
+HEAVY_SHARE = 1000
+SAMPLED = 64
 
 
 def fits_broadcast(n_rows: int, n_bytes: int = 0, most: int | None = None) -> bool:
     return n_bytes + n_rows * ROW_BYTES <= (BROADCAST_BYTES if most is None else most)
 
 
+def heavy_values(tokens: DataFrame, on: list[str], row_key=None, share: int = HEAVY_SHARE
+                 ) -> DataFrame:
+    """The values of `on` that make up more than one in `share` of the rows, with their count `_n`:
+    fewer than `share` rows.
+
+    Candidates come from a sample, one row in SAMPLED by the hash of its key (the same in a
+    retry), and are then counted exactly. What the sample misses is no wrong answer, only a
+    value that is joined with the others.
+    """
+    drawn = F.pmod(F.xxhash64(*(row_key or tokens.columns), F.lit(1)), F.lit(SAMPLED)) == 0
+    seen = tokens.where(drawn).groupBy(*on).agg(F.count("*").alias("_seen"))
+    sampled = seen.agg(F.sum("_seen")).head()[0] or 0
+    # half the share, as a sample may show less; more than 2 * share rows cannot have it
+    likely = seen.where(F.col("_seen") * 2 * share > sampled).select(*on)
+    n = tokens.count()
+    return (tokens.join(F.broadcast(likely), on, "left_semi").groupBy(*on)
+            .agg(F.count("*").alias("_n")).where(F.col("_n") * share > n))
+
+
 def join_vocab(tokens: DataFrame, vocab: DataFrame, on: list[str], *facts: VocabFacts,
                broadcast_bytes: int | None = None, row_key=None) -> DataFrame:
     """Left join to a vocabulary whose size was measured.
 
-    A small one is broadcast. A larger one is joined by a shuffle on token and
-    salt, the vocabulary once per salt, so that a token that makes up a third
-    of the rows is spread over many tasks. The salt is a hash of `row_key`, by
-    default of all columns, and so the same in a retry; rows that are equal in
-    these columns share it.
+    A small one is broadcast. Of a larger one only the entries of the heavy values are, fewer
+    than HEAVY_SHARE of them; the other rows and the vocabulary are shuffled by token, each
+    once. So no task gets more than about one in HEAVY_SHARE of the rows from one token, and no
+    entry is copied. `row_key` are columns that tell rows apart, by default all of them.
+
+    Beyond the broadcast size the tokens are written once, as they are read several times.
     """
     if fits_broadcast(sum(f.size for f in facts), sum(f.n_bytes for f in facts), broadcast_bytes):
         return tokens.join(F.broadcast(vocab), on, "left")
-    salted = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*(row_key or tokens.columns)), F.lit(SALTS)).cast("int")
-    return (tokens.withColumn("_salt", salt).join(salted, [*on, "_salt"], "left").drop("_salt"))
+    stored = materialize(tokens, "tokens")
+    heavy = materialize(heavy_values(stored, on, row_key).select(*on), "heavy")
+    entries = heavy.join(vocab, on, "left")
+    light = stored.join(F.broadcast(heavy), on, "left_anti").join(
+        vocab.hint("shuffle_merge"), on, "left")
+    return stored.join(F.broadcast(entries), on).select(*light.columns).unionByName(light)
 
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame, mask_token: str | None = None,

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from visitseq.operators.events import distinct_events, select_events, unique_demographic
 from visitseq.operators.visits import build_sequences, build_visits
 from visitseq.operators.vocab import build_vocab
-from visitseq.sources.scratch import materialize
+from visitseq.sources.scratch import materialize, materialize_by
 
 
 def clean_events(diagnoses: DataFrame, code_col: str = "code") -> DataFrame:
@@ -25,10 +25,13 @@ def format_sequences(diagnoses: DataFrame, demographic: DataFrame,
     return rows.withColumnRenamed("code", code_col)
 
 
-def visit_table(diagnoses: DataFrame, code_col: str = "code") -> DataFrame:
-    """The visits, written once: vocabulary, histories and labels all read them,
-    and the raw events are scanned and shuffled a single time."""
-    return materialize(build_visits(select_events(diagnoses, code_col)), "visits")
+def visit_table(diagnoses: DataFrame, code_col: str = "code", buckets: int | None = None
+                ) -> DataFrame:
+    """The visits, written once: vocabulary, histories and labels all read them, and the raw
+    events are scanned and shuffled a single time. They lie in buckets by person (at most one
+    row a day each), so cuts, tails, labels and joins with people need no exchange of visits."""
+    visits = build_visits(select_events(diagnoses, code_col))
+    return materialize_by(visits, "patid", "visits", buckets)
 
 
 def people_table(demographic: DataFrame) -> DataFrame:

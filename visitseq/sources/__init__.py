@@ -1,8 +1,9 @@
 from visitseq.sources.readers import read_csv, read_parquet, read_tsv, read_vocab
-from visitseq.sources.scratch import drop_table, materialize, recording, scratch_path
+from visitseq.sources.scratch import (
+    drop_table, materialize, materialize_by, recording, scratch_path)
 from visitseq.sources.writers import write_parquet, write_tsv, write_vocab
 
 __all__ = [
-    "drop_table", "materialize", "recording", "read_csv", "read_parquet", "read_tsv", "read_vocab",
+    "drop_table", "materialize", "materialize_by", "recording", "read_csv", "read_parquet", "read_tsv", "read_vocab",
     "scratch_path", "write_parquet", "write_tsv", "write_vocab",
 ]

@@ -53,6 +53,24 @@ def materialize(df: DataFrame, name: str = "table", path: str | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, key: str, name: str = "table", buckets: int | None = None
+                   ) -> DataFrame:
+    """Write the rows once, dealt by the hash of `key` into buckets, and go on from there.
+
+    Windows, groups and joins by `key` (alone or with more columns) then find their rows in
+    place: the one exchange is paid here and not by every reader. `buckets` is the parallelism of
+    all these steps, by default the session's shuffle partitions; size it so that a bucket is a
+    good task. Use it where a key's rows are bounded. The bucket layout is kept by the session's
+    catalog (a table of a name nobody has used); the files are in the shared folder like others.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"visitseq_{uuid.uuid4().hex}"
+    (df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+     .option("path", scratch_path(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a table of ``scratch_path`` that nothing reads any more."""
     jvm = spark.sparkContext._jvm

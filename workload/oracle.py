@@ -123,6 +123,18 @@ from held join texts using (patid)
     using (patid)"""
 
 
+def _tail_label_text(months: int) -> str:
+    return f"""with {_BASE}, {_labelled(months)},
+ends as (select patid, string_agg(token, ' ' order by pos) code,
+  string_agg(cast(age as varchar), ' ' order by pos) age
+  from hist where pos >= n - {PREDICTION - 1} group by 1)
+select patid, cast(cut_date as varchar) cut_date, cast({months} as bigint) as months, code, age,
+  coalesce(label, '') as label
+from held join ends using (patid)
+  left join (select patid, string_agg(code, ' ' order by code) as label from lab group by 1)
+    using (patid)"""
+
+
 # Label ids in order.
 _LABEL_IDS = """lab_ids as (select patid, coalesce(label_id, 0) label_id, row_number() over (
   partition by patid order by label_id) - 1 pos
@@ -210,26 +222,45 @@ _EPOCH_LOSSES = """sums as (select epoch, sum(loss) loss, sum(examples) examples
 
 # Scores by counting: distinct history labels and next labels of each person.
 _SCORES = f"""split as (select patid, {_draw(f"patid || '|split|{SEED}'")} < 0.2 test from held),
-history as (select distinct patid, label_id from started join names using (token)),
+history as (select distinct patid, label_id code from started join names using (token)),
 after as (select patid, label_id from lab_ids),
-marks as (select coalesce(h.patid, a.patid) patid, coalesce(h.label_id, a.label_id) label_id,
-  h.patid is not null h, a.patid is not null a
-  from history h full join after a on h.patid = a.patid and h.label_id = a.label_id),
-counts as (select label_id, count(*) filter (h) b, count(*) filter (a) a,
-  count(*) filter (h and a) ab from marks join split using (patid) where not test group by 1),
-weights as (select names.label_id, ln((coalesce(ab, 0) + 0.5) / (coalesce(b, 0) - coalesce(ab, 0) + 0.5)) w_in,
-  ln((coalesce(a, 0) - coalesce(ab, 0) + 0.5) / ((select count(*) from split where not test)
-    - coalesce(a, 0) - coalesce(b, 0) + coalesce(ab, 0) + 0.5)) w_out
-  from names left join counts using (label_id)),
-scored as (select split.patid sample_id, cast(w.label_id as bigint) label_id,
-  case when coalesce(h, false) then w_in else w_out end logit,
-  cast(coalesce(a, false) as bigint) target
-  from split cross join weights w left join marks
-    on marks.patid = split.patid and marks.label_id = w.label_id where test)"""
+train as (select patid from split where not test),
+n_label as (select label_id, count(*) n from after join train using (patid) group by 1),
+n_code as (select code, count(*) n from history join train using (patid) group by 1),
+joint as (select code, label_id, count(*) n from history join after using (patid)
+  join train using (patid) group by 1, 2 having count(*) >= {{support}}),
+kept as (select * from joint qualify row_number() over (
+  partition by code order by n desc, label_id) <= {{most}}),
+weights as (select names.label_id, cast(round(1e6 * ln((coalesce(n, 0) + 0.5)
+    / ((select count(*) from train) - coalesce(n, 0) + 0.5))) as bigint) w_out
+  from names left join n_label using (label_id)),
+pairs as (select code, label_id, cast(round(1e6 * (
+    ln((k.n + 0.5) / (c.n - k.n + 0.5)) - ln((l.n - k.n + 0.5)
+      / ((select count(*) from train) - c.n - l.n + k.n + 0.5)))) as bigint) w
+  from kept k join n_code c using (code) join n_label l using (label_id)),
+spoken as (select patid, label_id, sum(w) w from history join pairs using (code) group by 1, 2),
+scored as (select split.patid sample_id, cast(o.label_id as bigint) label_id,
+  cast(o.w_out + coalesce(w, 0) as double) / 1e6 logit, o.w_out / 1e6 w_out,
+  w is not null or a.patid is not null own, cast(a.patid is not null as bigint) target
+  from split cross join weights o
+  left join spoken s on s.patid = split.patid and s.label_id = o.label_id
+  left join after a on a.patid = split.patid and a.label_id = o.label_id where test)"""
+
+
+def _scores(support: int = 3, most: int = 200) -> str:
+    return _SCORES.format(support=support, most=most)
+
+
+def _next_code_scores(*limits: int) -> str:
+    return f"""with {_encoded()}, {_scores(*limits)}
+select s.sample_id patid, s.label_id, round(logit, 9) logit, target, round(s.w_out, 9) if_new,
+  (select cast(count(*) as bigint) from weights o where o.w_out / 1e6 >= logit) as least,
+  (select cast(count(*) as bigint) from weights o where o.w_out / 1e6 > logit) as above
+from scored s where own"""
 
 
 def _report(months: int | None = None, gapped: bool = False) -> str:
-    return f"""with {_encoded(months, gapped)}, {_SCORES}, {_SAMPLES}
+    return f"""with {_encoded(months, gapped)}, {_scores()}, {_SAMPLES}
 select round(avg(ap), 9) ap, round(avg(auc), 9) auc, count(auc) rated, count(*) samples
 from samples"""
 
@@ -376,6 +407,8 @@ from customer""",
 
     "label_12m": _label_text(12),
 
+    "tails_horizons": " union all ".join(f"select * from ({_tail_label_text(m)})" for m in (6, 12)),
+
     "distinct_labels": f"""with {_EVENTS}
 select patid, string_agg(distinct code, ' ' order by code) as label from ev group by patid""",
 
@@ -386,6 +419,10 @@ select patid, cast(label_id as bigint) label_id from lab_ids""",
 
     "multi_hot_gapped": _hot(gapped=True),
 
+    "packed_labels": f"""with {_encoded(12)}
+select patid, cast(label_id // 64 as bigint) word,
+  bit_or(cast(1 as bigint) << cast(label_id % 64 as int)) bits from lab_ids group by 1, 2""",
+
     "epoch_order": f"""select c_custkey patid, row_number() over (
   order by {_draw(f"c_custkey || '|3|{SEED}'")}, c_custkey) - 1 row_index from customer""",
 
@@ -442,12 +479,9 @@ from sums""",
 select * from runs qualify ap > greatest(0.045, coalesce(max(ap) over (partition by run_id
   order by epoch rows between unbounded preceding and 1 preceding), 0.045))""",
 
-    "next_code_scores": f"""with {_encoded()}, {_SCORES}
-select s.sample_id patid, s.label_id, round(logit, 9) logit, target, round(w_out, 9) if_new,
-  (select cast(count(*) as bigint) from weights o where o.w_out >= logit) as least,
-  (select cast(count(*) as bigint) from weights o where o.w_out > logit) as above
-from scored s join weights w using (label_id)
-where (s.sample_id, s.label_id) in (select (patid, label_id) from marks)""",
+    "next_code_scores": _next_code_scores(),
+
+    "next_code_scores_bounded": _next_code_scores(20, 5),
 
     "prediction_report": _report(),
 

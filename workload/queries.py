@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from visitseq import plans, sources
-from visitseq.constants import BATCH_SIZE, MLM_MAX_LEN
+from visitseq.constants import BATCH_SIZE, MLM_MAX_LEN, PREDICTION_MAX_LEN
 from visitseq.functions.ages import age_id
 from visitseq.functions.arrays import attention_mask, index_seg, padded_tokens, position_idx
 from visitseq.functions.keyed import uniform
@@ -58,13 +58,6 @@ def _tails(spark, sf, max_len=MLM_MAX_LEN) -> DataFrame:
     return visits.sequence_tails(_visits(spark, sf), _people(spark, sf), max_len)
 
 
-def _labelled_vocab(spark, sf, months=None):
-    """Labelled rows and the vocabulary, from one visit table."""
-    stored = _stored(spark, sf)
-    rows = plans.labelled_rows(stored, tables.demographic(spark, sf), months, seed=SEED)
-    return rows, plans.visit_vocab(stored)
-
-
 def _scored(spark, sf) -> DataFrame:
     return score.scored_rows(tables.scored_arrays(spark, sf), "sample_id")
 
@@ -314,12 +307,15 @@ def _stored_split(spark, rows: DataFrame) -> DataFrame:
 def _encoded(spark, sf, months=None, change=lambda words: words):
     """Encoded rows, the vocabulary and the labels. The horizon tasks read stored labelled
     tables, the next-visit task goes on from the labelled rows."""
-    rows, words = _labelled_vocab(spark, sf, months)
-    words = change(words)
+    stored = _stored(spark, sf)
+    words = change(plans.visit_vocab(stored))
     names = sources.materialize(vocab.label_vocab(words), "labels")
     if months:
-        rows = _stored_split(spark, rows)
-    return plans.prediction_table(rows, words, names=names), words, names
+        rows = _stored_split(spark, plans.labelled_rows(
+            stored, tables.demographic(spark, sf), months, seed=SEED))
+        return plans.prediction_table(rows, words, names=names), words, names
+    tails = plans.prediction_rows(stored, tables.demographic(spark, sf), seed=SEED)
+    return plans.prediction_table(tails, words, names=names, part=None), words, names
 
 
 def encode_next_visit(spark, sf):
@@ -365,6 +361,16 @@ def label_12m(spark, sf):
     return _horizon(spark, sf, 12)
 
 
+def tails_horizons(spark, sf):
+    """The labels of 6 and 12 months and the ends of the histories, from one pass."""
+    stored = _stored(spark, sf)
+    cuts = labels.pick_cuts(stored, seed=SEED, last_visits=visits.tail_visits(PREDICTION_MAX_LEN))
+    rows = labels.tails_horizons(stored, cuts, _people(spark, sf), [6, 12], PREDICTION_MAX_LEN)
+    return rows.select("patid", day("cut_date"), F.col("months").cast("bigint").alias("months"),
+                       text("code").alias("code"), text("age").alias("age"),
+                       text("label").alias("label"))
+
+
 def distinct_labels(spark, sf):
     """The label lists of all visits of a person, one after the other, as sets."""
     rows = _visits(spark, sf).select("patid", F.explode("code").alias("code")).groupBy(
@@ -387,6 +393,12 @@ def multi_hot(spark, sf):
     return _hot(spark, sf)
 
 
+def packed_labels(spark, sf):
+    """The labels of a year as set bits, one row per word."""
+    rows, *_ = _encoded(spark, sf, 12)
+    return labels.packed_labels(rows).select("patid", F.inline("words"))
+
+
 def multi_hot_gapped(spark, sf):
     return _hot(spark, sf, tables.gapped_vocab)
 
@@ -476,16 +488,25 @@ def _split(rows: DataFrame) -> list[DataFrame]:
     return [rows.where(F.col("split") == name).drop("split") for name in ("train", "test")]
 
 
-def next_code_scores(spark, sf):
+def _next_code_scores(spark, sf, *limits) -> DataFrame:
     rows, words, names = _encoded(spark, sf)
     train, test = _split(rows)
-    weights = score.label_weights(train, words, names)
-    return score.next_code_scores(test, weights, words, names).select(
+    model = score.history_model(train, words, names, *limits)
+    return score.next_code_scores(test, model).select(
         "patid", "label_id", F.round("logit", 9).alias("logit"),
         F.col("target").cast("bigint").alias("target"), F.round("if_new", 9).alias("if_new"),
         "least", "above")
 
 
+def next_code_scores(spark, sf):
+    return _next_code_scores(spark, sf)
+
+
+def next_code_scores_bounded(spark, sf):
+    """Few labels a code, and a support that leaves pairs out."""
+    return _next_code_scores(spark, sf, 20, 5)
+
+
 def _report(spark, sf, months=None, change=lambda words: words) -> DataFrame:
     rows, words, names = _encoded(spark, sf, months, change)
     return _rounded_means(plans.counting_report(*_split(rows), words, names))
@@ -631,10 +652,12 @@ QUERIES = {
     "label_next_visit": label_next_visit,
     "label_6m": label_6m,
     "label_12m": label_12m,
+    "tails_horizons": tails_horizons,
     "distinct_labels": distinct_labels,
     "positive_labels": positive_labels,
     "multi_hot": multi_hot,
     "multi_hot_gapped": multi_hot_gapped,
+    "packed_labels": packed_labels,
     "epoch_order": epoch_order,
     "batches": batches_,
     "average_precision": average_precision,
@@ -649,6 +672,7 @@ QUERIES = {
     "epoch_losses": epoch_losses,
     "best_epochs": best_epochs,
     "next_code_scores": next_code_scores,
+    "next_code_scores_bounded": next_code_scores_bounded,
     "prediction_report": prediction_report,
     "report_6m": report_6m,
     "report_12m": report_12m,
