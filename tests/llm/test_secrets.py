@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -150,3 +151,38 @@ def test_query(spark):
         assert row["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert [row[f"n_{kind}"] for kind in PATTERNS] == [
             sum(k == i for _, k, _ in own) for i in range(3)]
+
+
+def test_long_texts_take_no_recursion_and_no_square_work(spark):
+    import random
+    draw = random.Random(1)
+    hexes = ["".join(draw.choice("0123456789abcdef") for _ in range(32)) for _ in range(31_000)]
+    texts = ["a-" * 10**6, " ".join(hexes), "Ab_" * 10**5 + "9", "x" * 10**6]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    found = secrets.find_secrets(df, ["doc_id", "text"])
+    rows = found.select("doc_id", F.size("spans").alias("n"), secrets.redact(
+        F.col("text"), F.col("spans")).alias("out")).collect()
+    assert time.time() - start < 240
+    got = {r.doc_id: r for r in rows}
+    assert got[1].n == len(hexes) and got[1].out == " ".join(["[SECRET]"] * len(hexes))
+    assert all(got[i].n == 0 and got[i].out == texts[i] for i in (0, 3))
+
+
+def test_redact_against_loops(spark):
+    import random
+    draw = random.Random(2)
+    text = "".join(draw.choice("abcdeé ") for _ in range(300))
+    cases = []
+    for i in range(40):
+        spans = sorted((a, draw.randrange(4), a + draw.randrange(1, 30))
+                       for a in draw.sample(range(280), draw.randrange(0, 25)))
+        cases.append((i, text, [(a, r, min(b, 300)) for a, r, b in spans]))
+    df = spark.createDataFrame(
+        cases, "i int, text string, spans array<struct<start:int,rank:int,end:int>>")
+    for row in df.select("i", secrets.redact(F.col("text"), F.col("spans")).alias("out")).collect():
+        at, want = 0, ""
+        for a, _, b in cases[row.i][2]:
+            want += text[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        assert row.out == want + text[at:]

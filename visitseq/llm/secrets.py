@@ -32,12 +32,46 @@ BASE = [
 KINDS = ["assign", "access", "hex", "random"]
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 FDR = 0.1
+_FAR = 2 ** 31 - 1
 _BINS = 100
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-_WORDS = r"^([A-Z]?[a-z]*|[A-Z]*)([-_/+]+([A-Z]?[a-z]*|[A-Z]*))*$"
+_NO_WORDS = r"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]"  # what words joined by signs do not hold
 _SPANS = "array<struct<start:int,rank:int,end:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda computes what it captures each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(values: Column) -> Column:
+    """The array in pieces of about the square root of its length."""
+    def cut(v):
+        size = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        last = F.floor((F.size(v) - 1) / size).cast("int")
+        return F.when(F.size(v) > 0, F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda b: F.slice(v, b * size + 1, size))).otherwise(
+                F.slice(F.array(v), 1, 0))
+    return _let(values, cut)
+
+
+def before_each(values: Column, combine, start: int = 0) -> Column:
+    """For each element of an int array, all elements before it combined.
+
+    Whole blocks first, then inside a block: steps grow with the power 1.5 of the length, and no
+    array grows element by element.
+    """
+    def fold(array):
+        return F.aggregate(array, F.lit(start), combine)
+
+    def all_blocks(blocks):
+        return _let(F.transform(blocks, fold), lambda totals: F.flatten(F.transform(
+            blocks, lambda block, b: _let(fold(F.slice(totals, F.lit(1), b)), lambda first: F.transform(
+                block, lambda _, i: F.aggregate(F.slice(block, F.lit(1), i), first, combine))))))
+    return _let(_blocks(values), all_blocks)
+
+
 def matches(text: Column, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, end, token>> of the matches whose group is long enough.
 
@@ -47,18 +81,15 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
                         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
                         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("token"))
 
-    def step(state, row):
-        start = state["at"] + F.length(row["gap"])
-        end = start + F.coalesce(F.length(row["all"]), F.lit(0))
-        found = F.struct(start.alias("start"), end.alias("end"), row["token"].alias("token"))
-        return F.struct(end.alias("at"), F.when(F.length(row["token"]) >= least, F.concat(
-            state["found"], F.array(found))).otherwise(state["found"]).alias("found"))
+    def place(r):
+        sizes = F.transform(r, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["all"]), F.lit(0)))
+        return F.zip_with(r, before_each(sizes, lambda a, b: a + b), lambda x, at: F.struct(
+            (at + F.length(x["gap"])).alias("start"),
+            (at + F.length(x["gap"]) + F.length(x["all"])).alias("end"), x["token"].alias("token")))
 
     kind = "array<struct<start:int,end:int,token:string>>"
-    none = F.array().cast(kind)
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda s: s["found"])
-                  ).otherwise(none)
+    found = F.filter(_let(rows, place), lambda x: F.length(x["token"]) >= least)
+    return F.when(text.rlike(pattern), found.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def _ranked(found: Column, rank: int) -> Column:
@@ -68,7 +99,7 @@ def _ranked(found: Column, rank: int) -> Column:
 
 def encoding_of(token: Column) -> Column:
     """Size and name of the narrowest usual alphabet; null for words and plain numbers."""
-    out = F.when(token.rlike(_WORDS) | token.rlike(r"^[0-9/_+-]+$"), F.lit(None).cast("string"))
+    out = F.when(~token.rlike(_NO_WORDS) | token.rlike(r"^[0-9/_+-]+$"), F.lit(None).cast("string"))
     for pattern, name in ((r"^([0-9a-f]+|[0-9A-F]+)$", "16"), (r"^[A-Z2-7]+$", "32"),
                           (r"^([a-z0-9]+|[A-Z0-9]+)$", "36"), (r"^[A-Za-z0-9]+$", "62")):
         out = out.when(token.rlike(pattern), F.lit(name))
@@ -189,14 +220,34 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None, fdr: float = FD
     scanned = materialize(scan(docs, keep), "secrets")
     limits = thresholds(scanned, fdr)
 
-    def new(token):
+    def random(token):
         limit = F.lit(2.0)
         for name, value in sorted(limits.items()):
             limit = F.when(token["class"] == name, value).otherwise(limit)
-        return (token["u"] >= limit) & ~F.exists("_base", lambda b: (
-            b["start"] < token["end"]) & (token["start"] < b["end"]))
-
-    added = _ranked(F.filter("_tokens", new), KINDS.index("random"))
+        return token["u"] >= limit
+
+    tokens = F.filter("_tokens", random)
+    # base spans and tokens in one order: a token is free if no base span before it reaches into
+    # it and none behind it begins inside
+    marked = F.array_sort(F.concat(
+        F.transform("_base", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("token"),
+                                                s["end"].alias("end"))),
+        F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("token"),
+                                               s["end"].alias("end")))))
+
+    def free(rows):
+        reach = before_each(F.transform(rows, lambda s: F.when(
+            s["token"] == 0, s["end"]).otherwise(0)), lambda a, b: F.greatest(a, b))
+        begin = F.reverse(before_each(F.reverse(F.transform(rows, lambda s: F.when(
+            s["token"] == 0, s["start"]).otherwise(_FAR))), lambda a, b: F.least(a, b), _FAR))
+        return F.filter(F.zip_with(F.zip_with(rows, reach, lambda s, r: F.struct(
+            s.alias("s"), r.alias("reach"))), begin, lambda x, n: F.when(
+                (x["s"]["token"] == 1) & (x["reach"] <= x["s"]["start"])
+                & (n >= x["s"]["end"]), x["s"])), lambda s: s.isNotNull())
+
+    new = F.when(F.size(tokens) > 0, _let(marked, free)).otherwise(
+        F.array().cast("array<struct<start:int,token:int,end:int>>"))
+    added = _ranked(new, KINDS.index("random"))
     return scanned.select(*keep, F.array_sort(F.concat("_base", added)).alias("spans"))
 
 
@@ -208,14 +259,26 @@ def as_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced; spans that overlap are one."""
-    def step(state, span):
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        apart = (span["start"] >= state["at"]) & (span["end"] > 0)
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"),
-                        F.when(apart, F.concat(state["out"], gap, F.lit(mark)))
-                        .otherwise(state["out"]).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate(spans, start, step, lambda s: F.concat(
-        s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    """The text with every span replaced; spans that overlap are one.
+
+    Spans are taken in blocks, and the texts between them from the part of their block: a place
+    deep in a long text costs the way to it.
+    """
+    def rows(s):
+        reach = before_each(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        return F.zip_with(s, reach, lambda x, at: F.struct(
+            at.alias("at"), x["start"].alias("start"), F.greatest(at, x["end"]).alias("next"),
+            ((x["start"] >= at) & (x["end"] > 0)).alias("apart")))
+
+    def block(b):
+        first = F.get(b, F.lit(0))["at"]
+        own = F.substring(text, first + 1, F.element_at(b, -1)["next"] - first)
+        return _let(own, lambda part: F.array_join(F.transform(b, lambda x: F.when(
+            x["apart"], F.concat(F.substring(part, x["at"] - first + 1, x["start"] - x["at"]),
+                                 F.lit(mark))).otherwise("")), ""))
+
+    def whole(s):
+        end = F.array_max(F.transform(s, lambda x: x["end"]))
+        return F.concat(F.array_join(F.transform(_blocks(rows(s)), block), ""),
+                        F.substring(text, end + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, _let(spans, whole)).otherwise(text)
