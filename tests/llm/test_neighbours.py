@@ -96,3 +96,17 @@ def test_query_recall(spark):
     for r in queries.op1_nearest(spark, f"{SMALL}/../sf0.01").collect():
         got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
     assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
+def test_scaled_copies_go_by_id(spark):
+    """More vectors at one cosine than a query returns, spread over partitions."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=16)
+    rows = [(i, (base * (1 + 0.37 * (i % 5) + i)).tolist()) for i in range(9, 31)]
+    rows += [(100 + i, rng.normal(size=16).tolist()) for i in range(50)]
+    rows.append((0, (base * 3).tolist()))
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([rows[i] for i in order], "vec_id long, v array<double>").repartition(7)
+    got = neighbours.nearest(df, "vec_id", "v", F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [9, 10, 11, 12, 13]
+    assert all(abs(r.score - 1) < 1e-12 for r in got)

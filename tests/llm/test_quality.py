@@ -92,3 +92,33 @@ def test_nothing_to_learn(spark):
         assert [r["score"] for r in quality.score(docs, quality.learn(docs, labels)).collect()] \
             == [share, share]
     assert quality.score(docs.limit(0), quality.learn(docs.limit(0), none)).collect() == []
+
+
+def test_a_huge_document_does_not_end_the_sample(spark):
+    """One labelled document beyond the bound of lines, and labels of documents that are not there."""
+    good = "This is a sentence about something.\nAnd this is another one, too."
+    bad = "$$$ ### !!!\n|| -- ||\n%%% &&& @@@"
+    rows = [(i, good if i % 2 else bad) for i in range(60)] + [(1000, "x\n" * 200_001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(5000 + i, 1) for i in range(300)],
+                                   "doc_id long, quality int")
+    model = quality.learn(docs, labels, sample_docs=61)
+    assert model.share is None and model.slope > 0
+    score = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert min(score[i] for i in range(1, 60, 2)) > max(score[i] for i in range(0, 60, 2))
+
+
+def test_scores_equal_plain_loops(spark):
+    """The rows of the query from features, plain forward and backward sums and the curve."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.learn(docs, labels.filter(~quality.held_out()))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for row in docs.limit(60).collect():
+        own, lines, size = quality.own_features(pa.array([row.text], pa.large_string()))
+        n = len(own)
+        table = [np.concatenate([own[i], own[i - 1] if i else 0 * own[i],
+                                 own[i + 1] if i + 1 < n else 0 * own[i], [1]]) for i in range(n)]
+        chance, _ = brute_marginals([x @ model.weights for x in table], model.moves, lines)
+        mean = sum(p * (s + 1) for p, s in zip(chance, size)) / sum(s + 1 for s in size)
+        assert np.isclose(got[row.doc_id], 1 / (1 + np.exp(-(model.slope * mean + model.shift))))

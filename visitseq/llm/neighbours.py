@@ -18,8 +18,10 @@ neighbour is then missed with probability at most 1 - STOP.
 
 Vectors that are null, empty, zero, or hold nulls or values that are not finite take no part,
 nor rows without id, nor vectors of another length than the most frequent one. Repeated rows
-count once; an id with several vectors is a candidate and a query with each of them. Ties go to
-the smaller id. Other columns are not read.
+count once; an id with several vectors is a candidate and a query with each of them. Scores equal
+to twelve digits (scaled copies of a vector differ by rounding only) are ties; ties go to the
+smaller id, in every step that cuts, so results do not depend on partitions. The sample of a
+table whose hash is uneven may reach twice ``SAMPLE``. Other columns are not read.
 """
 
 from collections.abc import Iterator
@@ -37,6 +39,7 @@ SAMPLE = 20_000
 CELLS = 1024
 BLOCK = 16_384
 LEAF = 64
+_DIGITS = 12
 _AXES = [f"p{i}" for i in range(DIMS)]
 
 
@@ -102,7 +105,8 @@ def classes_of(rows: DataFrame, keep: int) -> DataFrame:
     joined = kept.join(asked, "vector").select("ids", "asks", "vector").mapInArrow(
         scan, "ids array<long>, asks boolean, key array<double>, vector binary, "
         + ", ".join(f"{a} double" for a in _AXES))
-    return joined.withColumn("node", F.monotonically_increasing_id())
+    return joined.withColumns({"node": F.monotonically_increasing_id(),
+                               "first": F.array_min("ids")})
 
 
 def split_planes(points: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -155,9 +159,13 @@ class Tree:
         return order, square[order]
 
 
-def search(tree: Tree, points: np.ndarray, units: np.ndarray, point: np.ndarray,
-           unit: np.ndarray, k: int, bound: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and squared distances of the k nearest found; ``bound``: k-th best so far."""
+def search(tree: Tree, points: np.ndarray, units: np.ndarray, point: np.ndarray, unit: np.ndarray,
+           k: int, bound: float, factor: float, first: np.ndarray | None = None
+           ) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and squared distances of the k nearest found; ``bound``: k-th best so far.
+
+    Of rows at one distance (to ``_DIGITS``) those stay whose ``first`` (smallest id) is smallest.
+    """
     rows, found = np.zeros(0, np.int64), np.zeros(0)
     leaves, squares = tree.near(point)
     at, step = 0, 4
@@ -168,7 +176,8 @@ def search(tree: Tree, points: np.ndarray, units: np.ndarray, point: np.ndarray,
         exact = np.maximum(2 - 2 * (units[own] @ unit), 0)
         rows, found = np.concatenate([rows, own]), np.concatenate([found, exact])
         if len(found) > k:
-            best = np.argpartition(found, k - 1)[:k]
+            ids = rows if first is None else first[rows]
+            best = np.lexsort((ids, np.round(found, _DIGITS)))[:k]
             rows, found = rows[best], found[best]
         if len(found) == k:
             bound = min(bound, found.max())
@@ -177,7 +186,7 @@ def search(tree: Tree, points: np.ndarray, units: np.ndarray, point: np.ndarray,
 
 
 _GROUP = ["cell", "block"]
-_FIELDS = "cell long, block int, kind int, node long, bound double, vector binary, " + ", ".join(
+_FIELDS = "cell long, block int, kind int, node long, first long, bound double, vector binary, " + ", ".join(
     f"{a} double" for a in _AXES)
 
 
@@ -198,7 +207,7 @@ def _visit(points: DataFrame, asked: DataFrame, k: int, factor: float) -> DataFr
                 if here != block:
                     block, members, tree = here, [], None
                 if kinds[a] == 0:
-                    members.append(part.select(["node", "vector", *_AXES]))
+                    members.append(part.select(["node", "first", "vector", *_AXES]))
                     continue
                 if not members:
                     continue
@@ -206,11 +215,11 @@ def _visit(points: DataFrame, asked: DataFrame, k: int, factor: float) -> DataFr
                     whole = pa.Table.from_batches(members).combine_chunks()
                     place = np.stack([whole[x].to_numpy() for x in _AXES], 1)
                     vectors = _floats(whole["vector"].combine_chunks())
-                    units, nodes = _unit(vectors), whole["node"].to_numpy()
+                    units, nodes, first = _unit(vectors), whole["node"].to_numpy(), whole["first"].to_numpy()
                     tree = Tree(place)
-                yield from _answers(part, tree, place, vectors, units, nodes, k, factor)
+                yield from _answers(part, tree, place, vectors, units, nodes, first, k, factor)
 
-    return rows.mapInArrow(scan, "query long, node long, score double")
+    return rows.mapInArrow(scan, "query long, node long, first long, score double")
 
 
 def _stretches(batch: pa.RecordBatch, keys: list[str]) -> list[tuple[int, int]]:
@@ -222,14 +231,14 @@ def _stretches(batch: pa.RecordBatch, keys: list[str]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges, edges[1:]) if b > a]
 
 
-def _answers(part, tree, place, vectors, units, nodes, k, factor) -> Iterator[pa.RecordBatch]:
+def _answers(part, tree, place, vectors, units, nodes, first, k, factor) -> Iterator[pa.RecordBatch]:
     asked = _floats(part.column("vector"))
     where = np.stack([part.column(x).to_numpy() for x in _AXES], 1)
     bounds = part.column("bound").to_numpy(zero_copy_only=False).astype(float)
     bounds = np.where(np.isnan(bounds), np.inf, bounds)
-    out = ([], [], [])
+    out = ([], [], [], [])
     for i, (own, unit) in enumerate(zip(asked, _unit(asked))):
-        rows, _ = search(tree, place, units, where[i], unit, k, bounds[i], factor)
+        rows, _ = search(tree, place, units, where[i], unit, k, bounds[i], factor, first)
         near = vectors[rows]
         big = np.abs(near).max(1, initial=0) * np.abs(own).max()
         if len(rows) and not (1e-100 < big.min() and big.max() < 1e100):
@@ -237,9 +246,10 @@ def _answers(part, tree, place, vectors, units, nodes, k, factor) -> Iterator[pa
         lengths = np.sqrt((near * near).sum(1)) * np.sqrt((own * own).sum())
         out[0].append(np.full(len(rows), part.column("node")[i].as_py()))
         out[1].append(nodes[rows])
-        out[2].append((near * own).sum(1) / lengths)
+        out[2].append(first[rows])
+        out[3].append((near * own).sum(1) / lengths)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
-                                     ["query", "node", "score"])
+                                     ["query", "node", "first", "score"])
 
 
 def nearest(vectors: DataFrame, id_col: str, vector_col: str, asks: Column, k: int = 5,
@@ -272,8 +282,8 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, asks: Column, k: i
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cell_of(points, levels)), *batch.columns], ["cell", *batch.schema.names])
 
-    here = nodes.select("node", "asks", "vector", *_AXES).mapInArrow(
-        placed, "cell long, node long, asks boolean, vector binary, "
+    here = nodes.select("node", "first", "asks", "vector", *_AXES).mapInArrow(
+        placed, "cell long, node long, first long, asks boolean, vector binary, "
         + ", ".join(f"{a} double" for a in _AXES))
     boxes = here.groupBy("cell").agg(F.count("*"), *map(F.min, _AXES), *map(F.max, _AXES)).collect()
     cells = np.array([b[0] for b in boxes])  # at most CELLS rows
@@ -292,7 +302,8 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, asks: Column, k: i
     factor = stop_factor(stop)
     first = materialize(_visit(points, everywhere(queries.withColumn(
         "bound", F.lit(None).cast("double"))), k + 1, factor), "first")
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(
+        F.desc(F.round("score", _DIGITS)), "first", "node"))
     kth = (first.withColumn("n", best).filter(F.col("n") == k + 1)
            .select(F.col("query").alias("node"), (2 - 2 * F.col("score")).alias("bound")))
 
@@ -309,11 +320,12 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, asks: Column, k: i
                     sent = batch.take(pa.array(go))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(go), cells[i])), pa.array(bound[go]),
-                         *(sent.column(c) for c in ("node", "vector", *_AXES))],
-                        ["cell", "bound", "node", "vector", *_AXES])
+                         *(sent.column(c) for c in ("node", "first", "vector", *_AXES))],
+                        ["cell", "bound", "node", "first", "vector", *_AXES])
 
-    further = queries.join(kth, "node", "left").select("cell", "bound", "node", "vector", *_AXES)
-    further = further.mapInArrow(reached, "cell long, bound double, node long, vector binary, "
+    further = queries.join(kth, "node", "left").select(
+        "cell", "bound", "node", "first", "vector", *_AXES)
+    further = further.mapInArrow(reached, "cell long, bound double, node long, first long, vector binary, "
                                  + ", ".join(f"{a} double" for a in _AXES))
     second = _visit(points, everywhere(further), k + 1, factor)
 
@@ -321,14 +333,16 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, asks: Column, k: i
     known = nodes.select("node", "ids")
     answers = (ranked.join(known, "node").select("query", "score", F.explode("ids").alias("id"))
                .groupBy("query").agg(F.slice(F.array_sort(F.collect_list(
-                   F.struct((-F.col("score")).alias("less"), "id"))), 1, 2 * k + 2).alias("near")))
+                   F.struct((-F.round("score", _DIGITS)).alias("about"), "id",
+                            (-F.col("score")).alias("less")))), 1, 2 * k + 2).alias("near")))
     asked = (rows.filter("asks").select("id", "vector").distinct()
              .join(nodes.filter("asks").select(F.col("node").alias("query"),
                                                F.col("key").alias("vector")), "vector")
              .select(F.col("id").alias("query_id"), "query"))
     pairs = (asked.join(answers, "query").select("query_id", F.inline("near"))
-             .filter("id <> query_id").groupBy("query_id", "id").agg(F.min("less").alias("less")))
-    order = Window.partitionBy("query_id").orderBy("less", "id")
+             .filter("id <> query_id").groupBy("query_id", "id").agg(
+                 F.min("about").alias("about"), F.min("less").alias("less")))
+    order = Window.partitionBy("query_id").orderBy("about", "id")
     return (pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", F.col("id").alias(id_col),
                     (-F.col("less")).alias("score")))

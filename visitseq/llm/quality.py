@@ -11,7 +11,8 @@ start as bad and are relabelled by the field between rounds of training, the wor
 staying bad.
 
 Training reads at most ``SAMPLE_DOCS`` labelled documents with at most ``SAMPLE_LINES`` lines in
-all, in the order of a hash of doc_id; only their features reach the driver. Scoring covers all
+all, in the order of a hash of doc_id; a single document with more than one in ``SAMPLE_SHARE``
+of these lines is left out of the sample. Only features reach the driver. Scoring covers all
 rows and whole texts: forward-backward is a prefix product of 2 x 2 matrices over all lines of
 a chunk, in which the first line of a text cuts off what was before it.
 
@@ -31,6 +32,7 @@ from visitseq.llm.textbytes import chunks, text_bytes, words
 
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 200_000
+SAMPLE_SHARE = 20
 ROUNDS = 3
 STEPS = 120
 FEATURES = ["length", "letters", "capitals", "digits", "spaces", "signs", "beyond_ascii",
@@ -217,21 +219,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
           sample_lines: int = SAMPLE_LINES) -> Model:
     """Fit on labelled documents (labels: doc_id, quality); the sample is bounded, see above."""
     chosen = (labels.filter("doc_id is not null and quality in (0, 1)")
+              .join(docs.select("doc_id"), "doc_id", "left_semi")
               .select("doc_id", F.col("quality").cast("int").alias("_quality"),
                       F.xxhash64("doc_id", F.lit(7)).alias("_order"))
               .orderBy("_order", "doc_id", "_quality").limit(sample_docs))
+    most = max(1, sample_lines // SAMPLE_SHARE)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in chunks(batch.column("text")):
                 own, lines, size = own_features(part)
                 ends = np.concatenate([[0], np.cumsum(lines)])
-                rows = slice(first, first + len(part))
+                short = np.flatnonzero(lines <= most)
+                rows = pa.array(first + short)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_quality")[rows], batch.column("_order")[rows],
-                     pa.array(lines, pa.int64()),
-                     pa.array([own[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
-                     pa.array([size[a:b].astype("<i8").tobytes() for a, b in zip(ends, ends[1:])],
+                    [batch.column("_quality").take(rows), batch.column("_order").take(rows),
+                     pa.array(lines[short], pa.int64()),
+                     pa.array([own[ends[i]:ends[i + 1]].tobytes() for i in short], pa.binary()),
+                     pa.array([size[ends[i]:ends[i + 1]].astype("<i8").tobytes() for i in short],
                               pa.binary())], ["quality", "order", "lines", "own", "size"])
 
     featured = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample_docs rows
