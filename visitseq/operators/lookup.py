@@ -42,8 +42,8 @@ def join_vocab(tokens: DataFrame, vocab: DataFrame, on: list[str], *facts: Vocab
                broadcast_bytes: int | None = None, row_key=None) -> DataFrame:
     """Left join to a vocabulary whose size was measured.
 
-    A small one is broadcast. Of a larger one only the entries of the heavy values are, fewer
-    than HEAVY_SHARE of them; the other rows and the vocabulary are shuffled by token, each
+    A small one is broadcast. Of a larger one only the entries of the heavy values are, of fewer
+    than HEAVY_SHARE values and only if they fit; the other rows and the vocabulary are shuffled by token, each
     once. So no task gets more than about one in HEAVY_SHARE of the rows from one token, and no
     entry is copied. `row_key` are columns that tell rows apart, by default all of them.
 
@@ -53,10 +53,11 @@ def join_vocab(tokens: DataFrame, vocab: DataFrame, on: list[str], *facts: Vocab
         return tokens.join(F.broadcast(vocab), on, "left")
     stored = materialize(tokens, "tokens")
     heavy = materialize(heavy_values(stored, on, row_key).select(*on), "heavy")
-    entries = heavy.join(vocab, on, "left")
+    entries = materialize(heavy.join(vocab, on, "left"), "entries")
+    few = F.broadcast(entries) if fits_broadcast(entries.count()) else entries
     light = stored.join(F.broadcast(heavy), on, "left_anti").join(
         vocab.hint("shuffle_merge"), on, "left")
-    return stored.join(F.broadcast(entries), on).select(*light.columns).unionByName(light)
+    return stored.join(few, on).select(*light.columns).unionByName(light)
 
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame, mask_token: str | None = None,
