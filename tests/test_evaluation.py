@@ -195,12 +195,32 @@ def test_sparse_metrics_equal_those_of_all_labels(spark):
 
 
 def test_score_batches_sees_whole_rows(spark):
-    df = spark.range(1000).selectExpr("id as patid", "array(id, id + 1) code", "array(1L, 1L) mask")
-
-    def model(code, mask):
-        assert len(code) <= 64
-        return code * 2.0 + mask
-
-    rows = score.score_batches(df, model, batch_size=64).collect()
-    assert {(r.patid, tuple(r.logits)) for r in rows} == {
-        (i, (2.0 * i + 1, 2.0 * i + 3)) for i in range(1000)}
+    df = spark.range(1000).selectExpr("id as patid", "id % 2 = 0 as even", "array(id, id + 1) code",
+                                      "array(1L, 1L) mask")
+
+    def load():
+        def model(code, mask):
+            assert len(code) <= 64
+            return code * 2.0 + mask
+        return model
+
+    scored = score.score_batches(df, load, key=("patid", "even"), batch_size=64)
+    assert {(r.patid, r.even, tuple(r.logits)) for r in scored.collect()} == {
+        (i, i % 2 == 0, (2.0 * i + 1, 2.0 * i + 3)) for i in range(1000)}
+    assert score.score_batches(df.where("patid < 0"), load).count() == 0
+    mixed = df.withColumn("code", F.when(F.col("patid") == 5, F.array(F.lit(1))).otherwise(F.col("code")))
+    with pytest.raises(Exception, match="several lengths"):
+        score.score_batches(mixed, load).collect()
+
+
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    df = spark.range(2000).repartition(40).selectExpr("id as patid", "array(id) code")
+
+    def load():
+        import os
+        with open(tmp_path / str(os.getpid()), "a") as log:
+            log.write("x")
+        return lambda code: code
+
+    assert score.score_batches(df, load, ("code",), batch_size=10).count() == 2000
+    assert {f.read_text() for f in tmp_path.iterdir()} == {"x"}

@@ -2,6 +2,8 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from visitseq import sources
+from visitseq.operators import batches
+from visitseq.operators.vocab import extend_vocab
 
 
 def write(path, text):
@@ -112,3 +114,46 @@ def test_vocab_store(spark, vocab, tmp_path):
 def test_materialize_uses_the_checkpoint_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert sources.materialize(spark.range(3)).inputFiles()[0].startswith(f"file://{root}")
+
+
+def test_log_of_repeated_epochs(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [("a b", 0, 0.5), ("a b", 1, 0.4), ("c/d", 0, 0.1)]
+    for own in (rows[:1], rows[1:], [("a b", 1, 0.3)]):
+        sources.append_log(spark.createDataFrame(own, "run string, epoch int, loss double"), path)
+    back = sources.read_tsv(spark, path)
+    assert back.columns == ["run", "epoch", "loss"]
+    assert sorted(map(tuple, back.collect())) == [
+        ("a b", "0", "0.5"), ("a b", "1", "0.3"), ("c/d", "0", "0.1")]
+
+
+def test_epoch_store(spark, tmp_path):
+    path = str(tmp_path / "epoch")
+    rows = batches.assign_batches(spark.range(1000).withColumnRenamed("id", "patid"), 32, 1, 3)
+    want = {r.patid: r for r in rows.collect()}
+    sources.write_epoch(rows, path, 4)
+    sources.write_epoch(rows.repartition(13), path, 4, mode="overwrite")  # written again
+    index = spark.read.parquet(f"{path}/index")
+    assert index.count() == 32 and index.select("file").distinct().count() == 8
+    assert {r.patid: r for r in sources.read_epoch(spark, path).collect()} == want
+    for batch in (0, 17, 31):
+        got = sources.read_batch(spark, path, batch).collect()
+        assert [r.row_index for r in got] == list(range(32 * batch, min(32 * batch + 32, 1000)))
+    late = sources.read_epoch(spark, path, 20)
+    assert late.count() == 1000 - 640 and len(late.inputFiles()) == 3
+    assert sources.read_batch(spark, path, 32).count() == 0
+    sources.write_epoch(rows.where("patid < 0"), str(tmp_path / "none"))
+    assert sources.read_epoch(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_vocabulary_grows_without_changing_ids(spark, tmp_path, vocab):
+    codes = spark.createDataFrame([(c,) for c in ["B", "Z", "Z", "Y", "Y", "X", None, None, "PAD"]],
+                                  "code string")
+    first = extend_vocab(vocab, codes, min_count=2)
+    assert sorted(map(tuple, first.where("token_id > 4").collect())) == [
+        ("A", 5, 0), ("B", 6, 0), ("Y", 7, 1), ("Z", 8, 1)]
+    sources.write_vocab(first, str(tmp_path / "v"))
+    second = extend_vocab(sources.read_vocab(spark, str(tmp_path / "v")), codes)
+    assert set(first.collect()) < set(second.collect())
+    assert tuple(second.where("version = 2").head()) == ("X", 9, 2)
+    assert extend_vocab(second, codes).count() == second.count()

@@ -1,9 +1,10 @@
 """Producers of scored tables, in the place of a trained network."""
 
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from visitseq.constants import BATCH_SIZE
 from visitseq.operators.indexing import with_running_sum
@@ -133,25 +134,54 @@ def next_code_scores(test: DataFrame, model: HistoryModel, key=("patid",),
                          (F.col("if_new") / UNITS).alias("if_new"), "least", "above")
 
 
-def score_batches(encoded: DataFrame, predict_fn: Callable, inputs=("code", "mask"),
-                  key: str = "patid", batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Logits of a caller's model: predict_fn gets one 2-d int array per input column
-    and returns a 2-d array [rows, classes]. It sees up to batch_size rows at a time."""
-    inputs = list(inputs)
+_loaded: dict[str, Callable] = {}  # of this Python worker
 
-    def score(frames):
+
+def _model(token: str, make_predict: Callable) -> Callable:
+    """The model of a scoring job; a worker makes it once, for all its tasks."""
+    if token not in _loaded:
+        _loaded.clear()
+        _loaded[token] = make_predict()
+    return _loaded[token]
+
+
+def score_batches(encoded: DataFrame, make_predict: Callable[[], Callable],
+                  inputs=("code", "mask"), key=("patid",), batch_size: int = BATCH_SIZE
+                  ) -> DataFrame:
+    """(key, logits) of a caller's model.
+
+    `make_predict` loads the model, once a Python worker, and returns the function that scores:
+    it gets one 2-d array per input column and returns a 2-d array [rows, classes]. It sees up to
+    batch_size rows at a time. `key` columns are passed on as they are. Arrays of one column must
+    have one length and no nulls, as the encoders make them; anything else stops the job. Load
+    large models from a path inside `make_predict`: what it closes over travels with each task.
+    """
+    inputs, key, token = list(inputs), list(key), uuid.uuid4().hex
+
+    def matrix(column):
+        if column.null_count or column.flatten().null_count:
+            raise ValueError("null in an array to score")
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        if (sizes != sizes[0]).any():
+            raise ValueError("arrays of several lengths")
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), sizes[0])
+
+    def score(batches):
         import numpy as np
-        import pandas as pd
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                batch = frame.iloc[start:start + batch_size]
-                arrays = [np.stack(batch[c].to_numpy()) for c in inputs]
-                logits = np.asarray(predict_fn(*arrays), dtype="float64")
-                yield pd.DataFrame({key: batch[key].to_numpy(), "logits": list(logits)})
-
-    key_type = encoded.schema[key].dataType.simpleString()
-    return encoded.select(key, *inputs).mapInPandas(
-        score, f"`{key}` {key_type}, logits array<double>")
+        import pyarrow as pa
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch_size):
+                batch = whole.slice(start, batch_size)
+                predict = _model(token, make_predict)
+                logits = np.asarray(predict(*[matrix(batch.column(c)) for c in inputs]), "float64")
+                ends = np.arange(len(logits) + 1, dtype=np.int32) * logits.shape[1]
+                out = pa.ListArray.from_arrays(pa.array(ends), pa.array(logits.ravel()))
+                yield pa.RecordBatch.from_arrays([*map(batch.column, key), out], [*key, "logits"])
+
+    fields = [encoded.schema[k] for k in key]
+    logits = T.StructField("logits", T.ArrayType(T.DoubleType()))
+    return encoded.select(*key, *[c for c in inputs if c not in key]).mapInArrow(
+        score, T.StructType([*fields, logits]))
 
 
 def scored_rows(scored: DataFrame, sample_col: str, target_col: str = "target",

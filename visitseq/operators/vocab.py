@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from visitseq.constants import AGE_SYMBOLS, MAX_AGE, NOT_LABELS, SPECIALS
 from visitseq.functions.ages import age_count
 from visitseq.operators.indexing import with_row_index
+from visitseq.sources.scratch import materialize
 
 
 def build_vocab(codes: DataFrame, code_col: str = "code", min_count: int = 1) -> DataFrame:
@@ -26,6 +27,30 @@ def build_vocab(codes: DataFrame, code_col: str = "code", min_count: int = 1) ->
     return specials.unionByName(known)
 
 
+def extend_vocab(vocab: DataFrame, codes: DataFrame, code_col: str = "code", min_count: int = 1
+                 ) -> DataFrame:
+    """(token, token_id, version): the vocabulary with the codes it does not have yet.
+
+    Old tokens keep their ids, so tables encoded with an older version stay valid. New ones get
+    the ids after the largest, by falling count in `codes` and, among equals, by name, and a
+    version one above the highest (0 for a vocabulary that has none). `min_count` looks at
+    `codes` alone; null codes are none. Without a new code nothing changes.
+    """
+    if "version" not in vocab.columns:
+        vocab = vocab.withColumn("version", F.lit(0))
+    old = materialize(vocab.select("token", F.col("token_id").cast("int"), "version"), "vocab")
+    last = old.agg(F.coalesce(F.max("token_id"), F.lit(-1)),
+                   F.coalesce(F.max("version"), F.lit(-1))).head()
+    counts = (codes.groupBy(F.col(code_col).cast("string").alias("token"))
+              .agg(F.count("*").alias("n"))
+              .where((F.col("n") >= min_count) & F.col("token").isNotNull())
+              .join(old, "token", "left_anti"))
+    ranked = with_row_index(counts, [F.desc("n"), F.asc("token")], "rank")
+    return old.unionByName(ranked.select(
+        "token", (F.col("rank") + last[0] + 1).cast("int").alias("token_id"),
+        F.lit(last[1] + 1).alias("version")))
+
+
 def label_vocab(vocab: DataFrame) -> DataFrame:
     """Tokens that can be a label, with dense ids in the order of the vocabulary, whatever the
     token ids are."""

@@ -68,4 +68,31 @@ def read_parquet(spark: SparkSession, path: str, binary_as_string: bool = True)
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """A stored vocabulary: one row per token with its id."""
-    return spark.read.parquet(path).select("token", F.col("token_id").cast("int"))
+    stored = spark.read.parquet(path)
+    more = [c for c in ("version",) if c in stored.columns]
+    return stored.select("token", F.col("token_id").cast("int"), *more)
+
+
+def read_epoch(spark: SparkSession, path: str, start: int = 0, stop: int | None = None
+               ) -> DataFrame:
+    """The batches from `start` on (below `stop`) of an epoch that `write_epoch` stored.
+
+    Only the files that the index names for them are opened, and of these only the row groups
+    with such batches are read. Rows of a file come in the order of the epoch.
+    """
+    def wanted(df):
+        kept = df.where(F.col("batch_id") >= start)
+        return kept if stop is None else kept.where(F.col("batch_id") < stop)
+
+    # names only, one for `batches_per_file` batches
+    names = wanted(spark.read.parquet(f"{path}/index")).select("file").distinct().collect()
+    schema = spark.read.parquet(f"{path}/rows").schema
+    if not names:
+        return spark.createDataFrame([], schema)
+    return wanted(spark.read.schema(schema).parquet(
+        *[f"{path}/rows/{row.file}" for row in sorted(names)]))
+
+
+def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """One batch of a stored epoch, in its order."""
+    return read_epoch(spark, path, batch_id, batch_id + 1).orderBy("row_index")

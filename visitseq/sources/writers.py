@@ -1,6 +1,6 @@
 """Writers. All partitions write in parallel; none is merged into one file."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -8,10 +8,44 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def write_vocab(vocab: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    vocab.select("token", "token_id").write.mode(mode).parquet(path)
+    """`version` is kept where the vocabulary was extended."""
+    names = [c for c in ("token", "token_id", "version") if c in vocab.columns]
+    vocab.select(*names).write.mode(mode).parquet(path)
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header line plus one tab-separated line per row, without quoting."""
     (df.write.mode(mode).option("sep", "\t").option("header", True)
      .option("quote", "").option("emptyValue", "").csv(path))
+
+
+def append_log(rows: DataFrame, path: str, key=("run", "epoch")) -> None:
+    """Add rows to a tab-separated log, in the place of those with the same key.
+
+    Every key has a folder of its own, which a later write for that key replaces as a whole: an
+    epoch that is logged again, after a failure or by a retry, leaves its rows once. Other keys
+    are not touched or read. `read_tsv` reads the log; the header stands in each file and is
+    dropped there. The key stays in the lines.
+    """
+    folders = {f"by_{c}": F.col(c) for c in key}
+    (rows.withColumns(folders).repartition(*key).write.mode("overwrite").partitionBy(*folders)
+     .option("partitionOverwriteMode", "dynamic").option("sep", "\t").option("header", True)
+     .option("quote", "").option("emptyValue", "").csv(path))
+
+
+def write_epoch(batched: DataFrame, path: str, batches_per_file: int = 64,
+                mode: str = "errorifexists") -> None:
+    """Store an epoch so that its batches can be read in order and from any batch on.
+
+    `batched` has `batch_id` and `row_index` (`assign_batches`). A file holds `batches_per_file`
+    neighbouring batches in order: one shuffle, and files as large as that number makes them. A
+    small table beside them, one row a batch (batch_id, file, n_rows), is written after the rows:
+    an epoch without it was not completed and is written again with mode="overwrite".
+    """
+    file_no = F.floor(F.col("batch_id") / batches_per_file).cast("int")
+    last = batched.agg(F.max(file_no)).head()[0]  # one number
+    (batched.repartitionById((last or 0) + 1, file_no).sortWithinPartitions("batch_id", "row_index")
+     .write.mode(mode).parquet(f"{path}/rows"))
+    (batched.sparkSession.read.schema(batched.schema).parquet(f"{path}/rows")
+     .groupBy("batch_id", F.col("_metadata.file_name").alias("file"))
+     .agg(F.count("*").alias("n_rows")).write.mode(mode).parquet(f"{path}/index"))

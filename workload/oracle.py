@@ -493,7 +493,9 @@ select * from runs qualify ap > greatest(0.045, coalesce(max(ap) over (partition
 
     "score_batches": f"""with {_encoded()},
 found as (select patid, token, count(*) n from started group by 1, 2)
-select held.patid, cast(token_id as bigint) label_id, cast(coalesce(n, 0) as double) logit
+select held.patid, case when {_draw(f"held.patid || '|split|{SEED}'")} < 0.2 then 'test'
+    else 'train' end split,
+  cast(token_id as bigint) label_id, cast(coalesce(n, 0) as double) logit
 from held cross join vocab left join found using (patid, token)""",
 
     "pretraining_table": _mlm(more=f""",
@@ -517,6 +519,21 @@ select patid, cast(eventdate as varchar) eventdate, code from ev""",
     "write_tsv": f"""with {_BATCH_LOSSES}, {_EPOCH_LOSSES}
 select epoch, round(loss / examples, 6) loss, steps from sums""",
 
+    "append_log": """select l_suppkey run_id, cast(l_linenumber as bigint) epoch,
+  round(avg(l_discount), 6) ap, round(avg(l_tax), 6) auc from lineitem group by 1, 2""",
+
+    "epoch_store": f"""select *, row_index // {BATCH} batch_id from (
+  select o_orderkey, o_custkey, row_number() over (
+    order by {_draw(f"o_orderkey || '|2|{SEED}'")}, o_orderkey) - 1 row_index from orders)
+where row_index >= {2 * BATCH}""",
+
+    "extend_vocab": f"""with {_PART_EVENTS}, early as (select * from ev where eventdate < '1996-01-01'),
+{_vocab('early', 2)},
+more as (select code token, row_number() over (order by count(*) desc, code) - 1 place from ev
+  where code not in (select token from vocab) group by code)
+select token, token_id, cast(0 as int) version from vocab union all
+select token, cast(place + 1 + (select max(token_id) from vocab) as int), cast(1 as int) from more""",
+
     "keyed_uniform": f"""select o_orderkey, {_draw(f"o_orderkey || '|1|{SEED}'")} u0,
   {_draw(f"o_orderkey || '|1|{SEED}'", 1)} u1 from orders""",
 }

@@ -534,16 +534,19 @@ def score_batches(spark, sf):
     encoded, words, _ = _encoded(spark, sf)
     n_classes = vocab.vocab_facts(words).size
 
-    def count_tokens(code, mask):
+    def load():
         import numpy as np
-        out = np.zeros((len(code), n_classes))
-        rows, _ = np.nonzero(mask)
-        np.add.at(out, (rows, code[mask == 1]), 1.0)
-        return out
 
-    logits = score.score_batches(encoded, count_tokens)
-    return encode.long_form(logits, ("logits",)).select(
-        "patid", F.col("pos").alias("label_id"), F.col("logits").alias("logit"))
+        def count_tokens(code, mask):
+            out = np.zeros((len(code), n_classes))
+            rows, _ = np.nonzero(mask)
+            np.add.at(out, (rows, code[mask == 1]), 1.0)
+            return out
+        return count_tokens
+
+    logits = score.score_batches(encoded, load, key=("patid", "split"))
+    return encode.long_form(logits, ("logits",), key=("patid", "split")).select(
+        "patid", "split", F.col("pos").alias("label_id"), F.col("logits").alias("logit"))
 
 
 def pretraining_table(spark, sf):
@@ -602,6 +605,32 @@ def write_tsv(spark, sf):
                        F.col("steps").cast("bigint").alias("steps"))
 
 
+def append_log(spark, sf):
+    """Epochs logged one half after the other, the second half twice."""
+    log = tables.epoch_metrics(spark, sf)
+    path = sources.scratch_path(spark, "epochs")
+    for part in ("epoch <= 4", "epoch > 4", "epoch > 4"):
+        sources.append_log(log.where(part), path, ("epoch",))
+    return sources.read_tsv(spark, path).select(
+        F.col("run_id").cast("bigint").alias("run_id"), F.col("epoch").cast("bigint").alias("epoch"),
+        F.col("ap").cast("double").alias("ap"), F.col("auc").cast("double").alias("auc"))
+
+
+def epoch_store(spark, sf):
+    """All orders stored as an epoch, read again from its third batch on."""
+    orders = tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    path = sources.scratch_path(spark, "epoch")
+    sources.write_epoch(batches.assign_batches(orders, BATCH, 2, SEED, ("o_orderkey",)), path, 8)
+    return sources.read_epoch(spark, path, 2)
+
+
+def extend_vocab(spark, sf):
+    """The parts of visits before 1996, then the new ones of all visits."""
+    stored = sources.materialize(_part_events(spark, sf), "events")
+    early = vocab.build_vocab(stored.where("eventdate < '1996-01-01'"), min_count=2)
+    return vocab.extend_vocab(early, stored)
+
+
 def keyed_uniform(spark, sf):
     """The draws that every random step is made of, for all orders."""
     return tables.table(spark, sf, "orders").select(
@@ -685,5 +714,8 @@ QUERIES = {
     "binary_as_string": binary_as_string,
     "vocab_store": vocab_store,
     "write_tsv": write_tsv,
+    "append_log": append_log,
+    "epoch_store": epoch_store,
+    "extend_vocab": extend_vocab,
     "keyed_uniform": keyed_uniform,
 }
