@@ -146,6 +146,26 @@ def test_epoch_store(spark, tmp_path):
     assert sources.read_epoch(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_epoch_of_many_files(spark, tmp_path):
+    path = str(tmp_path / "epoch")
+    rows = sources.materialize(
+        batches.assign_batches(spark.range(1003).withColumnRenamed("id", "patid"), 4, 1, 3))
+    sources.write_epoch(rows, path, 2)
+    index = sorted(map(tuple, spark.read.parquet(f"{path}/index").collect()))
+    assert [(b, n) for b, _, n in index] == [(b, 4 if b < 250 else 3) for b in range(251)]
+    names = [name for _, name, _ in index]
+    assert names == sorted(names) and names[::2] == sorted(set(names))
+    assert len({name.split("-")[1] for name in names}) <= 8  # tasks do not grow with the files
+    for start, stop in ((0, None), (7, 240)):
+        want = rows.where(f"batch_id >= {start} and batch_id < {stop or 251}").collect()
+        got = sources.read_epoch(spark, path, start, stop).collect()
+        assert sorted(got) == sorted(want) and want
+    some = rows.where("row_index % 3 > 0 and batch_id > 1")  # batches of several sizes
+    sources.write_epoch(some, str(tmp_path / "some"), 2)
+    assert sorted(sources.read_epoch(spark, str(tmp_path / "some")).collect()) == sorted(some.collect())
+    assert spark.read.parquet(str(tmp_path / "some/index")).count() == 249
+
+
 def test_vocabulary_grows_without_changing_ids(spark, tmp_path, vocab):
     codes = spark.createDataFrame([(c,) for c in ["B", "Z", "Z", "Y", "Y", "X", None, None, "PAD"]],
                                   "code string")

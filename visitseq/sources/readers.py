@@ -2,6 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+# An epoch's files are listed one by one up to so many.
+FILES_BY_NAME = 100
+
 
 def _header(spark: SparkSession, path: str) -> str:
     """The first line with text in the first file, by name, that holds anything."""
@@ -78,19 +81,24 @@ def read_epoch(spark: SparkSession, path: str, start: int = 0, stop: int | None
     """The batches from `start` on (below `stop`) of an epoch that `write_epoch` stored.
 
     Only the files that the index names for them are opened, and of these only the row groups
-    with such batches are read. Rows of a file come in the order of the epoch.
+    with such batches are read. Rows of a file come in the order of the epoch. A few files are
+    opened by name; more of them are a range of names, taken from one listing of the folder.
     """
     def wanted(df):
         kept = df.where(F.col("batch_id") >= start)
         return kept if stop is None else kept.where(F.col("batch_id") < stop)
 
-    # names only, one for `batches_per_file` batches
-    names = wanted(spark.read.parquet(f"{path}/index")).select("file").distinct().collect()
+    files = wanted(spark.read.parquet(f"{path}/index")).select("file")
+    names = files.distinct().limit(FILES_BY_NAME + 1).collect()
     schema = spark.read.parquet(f"{path}/rows").schema
     if not names:
         return spark.createDataFrame([], schema)
-    return wanted(spark.read.schema(schema).parquet(
-        *[f"{path}/rows/{row.file}" for row in sorted(names)]))
+    read = spark.read.schema(schema)
+    if len(names) <= FILES_BY_NAME:
+        return wanted(read.parquet(*[f"{path}/rows/{row.file}" for row in sorted(names)]))
+    low, high = files.agg(F.min("file"), F.max("file")).head()
+    name = F.col("_metadata.file_name")
+    return wanted(read.parquet(f"{path}/rows").where(name.between(low, high)))
 
 
 def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:

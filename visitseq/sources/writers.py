@@ -1,6 +1,9 @@
 """Writers. All partitions write in parallel; none is merged into one file."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+# Three digits number the files of a task, so that their names stay in order.
+FILES_PER_TASK = 1000
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -38,14 +41,36 @@ def write_epoch(batched: DataFrame, path: str, batches_per_file: int = 64,
     """Store an epoch so that its batches can be read in order and from any batch on.
 
     `batched` has `batch_id` and `row_index` (`assign_batches`). A file holds `batches_per_file`
-    neighbouring batches in order: one shuffle, and files as large as that number makes them. A
+    neighbouring batches in order, and file names are in the order of the batches. A task writes
+    a run of files, so tasks follow the session's shuffle partitions and not the files. A
     small table beside them, one row a batch (batch_id, file, n_rows), is written after the rows:
     an epoch without it was not completed and is written again with mode="overwrite".
     """
     file_no = F.floor(F.col("batch_id") / batches_per_file).cast("int")
-    last = batched.agg(F.max(file_no)).head()[0]  # one number
-    (batched.repartitionById((last or 0) + 1, file_no).sortWithinPartitions("batch_id", "row_index")
-     .write.mode(mode).parquet(f"{path}/rows"))
-    (batched.sparkSession.read.schema(batched.schema).parquet(f"{path}/rows")
+    spark = batched.sparkSession
+    last, batch_size = _even_batches(batched, file_no)
+    # without one batch size the files cannot be cut by rows: a task each
+    tasks = last + 1 if batch_size is None else min(last + 1, max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), last // FILES_PER_TASK + 1))
+    own = F.floor(file_no * F.lit(tasks).cast("bigint") / (last + 1)).cast("int")
+    (batched.repartitionById(tasks, own).sortWithinPartitions("batch_id", "row_index")
+     .write.mode(mode).option("maxRecordsPerFile", (batch_size or 0) * batches_per_file)
+     .parquet(f"{path}/rows"))
+    (spark.read.schema(batched.schema).parquet(f"{path}/rows")
      .groupBy("batch_id", F.col("_metadata.file_name").alias("file"))
      .agg(F.count("*").alias("n_rows")).write.mode(mode).parquet(f"{path}/index"))
+
+
+def _even_batches(batched: DataFrame, file_no: Column) -> tuple[int, int | None]:
+    """The last file, and the batch size where rows 0 .. n-1 are in batches of one size."""
+    row, batch = F.col("row_index"), F.col("batch_id")
+    facts = batched.agg(
+        F.max(file_no).alias("last"), F.count("*").alias("n"), F.min(row).alias("low"),
+        F.max(row).alias("high"), F.min(F.when(batch > 0, row / batch)).alias("least"),
+        F.max((row + 1) / (batch + 1)).alias("size")).head()  # a few numbers
+    if facts["n"] == 0:
+        return 0, None
+    # batch * size <= row < (batch + 1) * size for every row
+    even = (facts["low"] == 0 and facts["high"] + 1 == facts["n"]
+            and (facts["least"] is None or facts["size"] <= facts["least"]))
+    return facts["last"], int(facts["size"]) if even else None
