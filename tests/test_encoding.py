@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_of
 from visitseq.functions import age_id, attention_mask, index_seg, pad, position_idx, tail
 from visitseq.functions.keyed import below, draw_hex, uniform
 from visitseq.operators import encode, lookup, masking, vocab as V
@@ -272,3 +273,20 @@ def test_round_trip_of_tokens(spark, vocab):
     ids = lookup.encode_tokens(tokens, vocab).drop("token")
     assert {(r.i, r.token) for r in lookup.decode_tokens(ids, vocab).collect()} == {
         (0, "A"), (1, "B"), (2, "SEP")}
+
+
+def test_mlm_masks_token_rows(spark, vocab):
+    """The draws are made in the token rows of the lookup, not inside the arrays."""
+    rows = spark.range(300).selectExpr(
+        "id as patid", "transform(sequence(0, int(id % 40)), i -> "
+        "if(i % 4 = 3, 'SEP', if(i % 5 = 1, 'Z', if(i % 2 = 0, 'A', 'B')))) as code").selectExpr(
+        "*", "transform(code, (c, i) -> string(300 + i)) as age")
+    for words in (vocab, vocab.selectExpr("token", "token_id * 3 + 2 as token_id")):
+        for drop in (False, True):
+            got = encode.encode_mlm(rows, words, 16, 1, 7, drop_kept=drop)
+            want = masking.mask_rows(encode.encode_sequences(rows, words, 16), words, 16, 1, 7, drop)
+            assert got.columns == want.columns and got.count() == 300
+            assert sorted(got.collect()) == sorted(want.collect())
+    lines = plan_of(encode.encode_mlm(rows, vocab, 16, 1, 7)).split("\n")
+    drawn = [line for line in lines if "md5(" in line]
+    assert drawn and not any("lambda" in line for line in drawn)

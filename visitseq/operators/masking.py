@@ -43,7 +43,8 @@ def _id_at(rows: DataFrame, vocab: DataFrame, facts: VocabFacts) -> DataFrame:
 
 
 def random_mask(tokens: DataFrame, vocab: DataFrame, key=("patid", "pos"), epoch: int = 0,
-                seed: int = 0, drop_kept: bool = False) -> DataFrame:
+                seed: int = 0, drop_kept: bool = False, facts: VocabFacts | None = None
+                ) -> DataFrame:
     """Adds `output_id` and `label` to rows with a `token_id`.
 
     The draws are keyed by row and epoch: the same epoch always masks the same
@@ -52,7 +53,7 @@ def random_mask(tokens: DataFrame, vocab: DataFrame, key=("patid", "pos"), epoch
     the output; with drop_kept its output is null, for readers of tables where
     such tokens were left out.
     """
-    facts = vocab_facts(vocab)
+    facts = facts or vocab_facts(vocab)
     keys = [F.col(k) for k in key]
     drawn = tokens.withColumn("_draw", draw_hex(*keys, epoch, seed))
     rank = _random_rank(keys, epoch, seed, facts)
@@ -78,7 +79,7 @@ def mask_rows(encoded: DataFrame, vocab: DataFrame, max_len: int, epoch: int = 0
     """
     facts = vocab_facts(vocab)
     keys = [F.col(k) for k in key]
-    real = F.slice("code", 1, F.size(F.filter("mask", lambda m: m == 1)))
+    real = F.slice("code", 1, F.size(F.array_remove("mask", _big(0))))
     if facts.dense:
         drawn = encoded.withColumn("_drawn", F.transform(real, lambda t, i: F.struct(
             t.alias("id"), i.alias("pos"), draw_hex(*keys, i, epoch, seed).alias("draw"))))
