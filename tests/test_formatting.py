@@ -3,8 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from visitseq import plans
+from tests.conftest import SMALL
+from visitseq import plans, sources
 from visitseq.operators import events, visits
+from workload import queries, tables
 
 D = dt.date
 
@@ -143,3 +145,17 @@ def test_min_visits(spark):
     assert {r.patid for r in kept} == {3, 4, 5, 6}
     tails = visits.sequence_tails(built, people(spark), 4, 15)
     assert {r.patid for r in tails.collect()} == {3, 4, 5, 6}
+
+
+def test_horizon_tables_are_written_once_without_whole_histories(spark):
+    with sources.recording() as paths:
+        rows, *_ = queries._encoded(spark, SMALL, 12)
+    stored = [p for p in paths if any(f"visitseq-{n}-" in p for n in ("labelled", "train", "test"))]
+    assert len(stored) == 1
+    table = spark.read.parquet(stored[0])
+    assert {r["_table"] for r in table.select("_table").distinct().collect()} == {"train", "test"}
+    assert table.where("size(code) > 99").count() == 0 < table.count()
+    whole = plans.prediction_table(plans.labelled_rows(
+        queries._stored(spark, SMALL), tables.demographic(spark, SMALL), 12, seed=queries.SEED),
+        queries._vocab(spark, SMALL))
+    assert sorted(rows.collect()) == sorted(whole.collect())
