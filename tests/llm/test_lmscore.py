@@ -140,3 +140,15 @@ def test_vocabulary_grows_with_the_corpus(spark):
         text = " ".join(f"w{i} " * (20000 * times // (i + 1)) for i in range(8000))
         sizes.append(len(lmscore.vocabulary(frame(spark, [(1, text)])).hashes))
     assert 3 < sizes[1] / sizes[0] < 5
+
+
+def test_copies_travel_as_rows_of_one_weight():
+    known = lmscore.Vocabulary(np.array([], np.uint64), np.array([], np.int64), np.array([63]),
+                               np.array([0.0]))
+    start = lmscore.Network(known.size).flat
+    texts = pa.RecordBatch.from_arrays([pa.array(["a b c d", None, "e f"])], ["text"])
+    moved = pa.Table.from_batches(lmscore.train(iter([texts]), known, start, 4))
+    assert moved.num_rows == len(start) // lmscore.WIDTH  # not one a parameter
+    assert set(moved["weight"].to_pylist()) == {12.0, 6.0}  # a word and the edge, all others
+    value = np.concatenate([np.array(v, np.float32) for v in moved["value"].to_pylist()])
+    assert value.shape == start.shape and (value != start).any()

@@ -15,8 +15,8 @@ scoring joins the tail words of the texts with it. A word that was not counted i
 seen once. With ``size`` given, the vocabulary is that many words, and the others share one
 class, each type with equal probability. Then, ``ROUNDS`` times, every task
 trains a copy of the network on its part of that round's documents (a hash of the text picks
-the round, so every word is learnt from once), and the copies are averaged: one row a parameter
-and task, summed by Spark, weighted by the words the parameter has seen. Only averaged
+the round, so every word is learnt from once), and the copies are averaged: one row for a word's
+parameters and task, summed by Spark, weighted by the words the parameter has seen. Only averaged
 parameters reach the driver; their number does not depend on the data.
 
 Words are those of ``textbytes.words``. Null texts and texts without words have n_tokens 0,
@@ -72,28 +72,38 @@ class Network:
         self.embed, self.places, self.lift, self.out, self.bias = (
             self.flat[a:b].reshape(s) for a, b, s in zip(ends[:-1], ends[1:], shapes))
 
-    def forward(self, around: np.ndarray):
-        """(embedded neighbours, hidden values, class log-probabilities)."""
-        x = self.embed[around]
+    def _shares(self, around: np.ndarray):
+        """(embedded neighbours, hidden values, class scores, their exponentials and sums)."""
+        x = self.embed.take(around, 0)
         hidden = np.tanh((x * self.places).sum(1) + self.lift)
         z = hidden @ self.out + self.bias
         z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return x, hidden, z
+        e = np.exp(z)
+        return x, hidden, z, e, e.sum(1, keepdims=True)
+
+    def forward(self, around: np.ndarray):
+        """(embedded neighbours, hidden values, class log-probabilities)."""
+        x, hidden, z, _, total = self._shares(around)
+        return x, hidden, z - np.log(total)
+
+    def log_prob(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of each row's target class."""
+        *_, z, _, total = self._shares(around)
+        return z[np.arange(len(target)), target] - np.log(total[:, 0])
 
     def gradient(self, around: np.ndarray, target: np.ndarray):
         """Mean gradient of the log-likelihood: (rows of embed, their part), then the others."""
-        x, hidden, logs = self.forward(around)
-        dz = -np.exp(logs)
-        dz[np.arange(len(target)), target] += 1
-        dz /= len(target)
+        x, hidden, _, dz, total = self._shares(around)
+        dz /= total * -len(target)
+        dz[np.arange(len(target)), target] += np.float32(1 / len(target))
         da = (dz @ self.out.T) * (1 - hidden * hidden)
         dx = (da[:, None, :] * self.places).reshape(-1, WIDTH)
-        flat = around.ravel()
-        order = np.argsort(flat.astype(np.uint16) if self.embed.shape[0] < 1 << 16 else flat,
-                           kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        return (flat[order][first], np.add.reduceat(dx[order], first),
+        # word and place in one number: sorting plain numbers is much faster than argsort
+        bits = around.size.bit_length()
+        both = np.sort((around.ravel().astype(np.int64) << bits) | np.arange(around.size))
+        flat = both >> bits
+        first = np.flatnonzero(np.diff(flat, prepend=-1))
+        return (flat[first], np.add.reduceat(dx.take(both & ((1 << bits) - 1), 0), first),
                 (x * da[:, None, :]).sum(0), da.sum(0), hidden.T @ dz, dz.sum(0))
 
 
@@ -190,7 +200,8 @@ def coded(part: pa.Array, known: Vocabulary
 
 def train(batches: Iterator[pa.RecordBatch], known: Vocabulary, start: np.ndarray, size: int
           ) -> Iterator[pa.RecordBatch]:
-    """index, value, weight: a copy trained on the task's texts; only parameters it moved."""
+    """index, value, weight: a copy trained on the task's texts, WIDTH parameters a row, which
+    share their weight; only parameters it moved."""
     net = Network(known.size, start)
     scale = Network(known.size, np.full(len(net.flat), 1e-6))  # sums of squared gradients
     seen = np.zeros(known.size + 1)
@@ -215,13 +226,15 @@ def train(batches: Iterator[pa.RecordBatch], known: Vocabulary, start: np.ndarra
                     rise(getattr(net, name), getattr(scale, name), slope)
             seen += np.bincount(around.ravel(), minlength=len(seen))
             total += len(ids)
-    weight = np.full(len(net.flat), float(total))
-    weight[:net.embed.size] = np.repeat(seen, WIDTH)
+    value = net.flat.reshape(-1, WIDTH)
+    weight = np.full(len(value), float(total))
+    weight[:len(seen)] = seen
     index = np.flatnonzero(weight)
-    for a in range(0, len(index), 1 << 16):
-        own = index[a:a + (1 << 16)]
+    for a in range(0, len(index), 1 << 12):
+        own = index[a:a + (1 << 12)]
+        ends = pa.array(np.arange(len(own) + 1) * WIDTH, pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(own, pa.int32()), pa.array(net.flat[own].astype(np.float64)),
+            [pa.array(own, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(value[own].ravel())),
              pa.array(weight[own])], ["index", "value", "weight"])
 
 
@@ -234,12 +247,15 @@ def learn(docs: DataFrame, size: int | None = None, batch: int = BATCH
     for turn in range(ROUNDS):
         given = spark.sparkContext.broadcast((known, flat))
         own = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)
-        moved = (own.mapInArrow(lambda batches: train(batches, *given.value, batch),
-                                "index int, value double, weight double")
-                 .groupBy("index").agg((F.sum(F.col("value") * F.col("weight"))
-                                        / F.sum("weight")).cast("float").alias("value")).toArrow())
-        flat = flat.copy()  # one row a parameter reached the driver
-        flat[moved["index"].to_numpy()] = moved["value"].to_numpy()
+        # floats are dealt, and summed where a parameter's copies meet
+        copies = own.mapInArrow(lambda batches: train(batches, *given.value, batch),
+                                "index int, value array<float>, weight double").repartition("index")
+        sums = [(F.sum(F.get("value", F.lit(i)) * F.col("weight")) / F.sum("weight"))
+                .cast("float").alias(f"v{i}") for i in range(WIDTH)]
+        moved = copies.groupBy("index").agg(*sums).toArrow()
+        flat = flat.copy()  # one row for WIDTH parameters reached the driver
+        flat.reshape(-1, WIDTH)[moved["index"].to_numpy()] = np.stack(
+            [moved[f"v{i}"].to_numpy() for i in range(WIDTH)], 1)
     return known, flat
 
 
@@ -247,9 +263,8 @@ def log_probs(net: Network, known: Vocabulary, ids: np.ndarray, around: np.ndarr
     """log P(word | words around it) of every word."""
     out = np.zeros(len(ids))
     for a in range(0, len(ids), BATCH):
-        own = ids[a:a + BATCH]
-        logs = net.forward(around[a:a + BATCH])[2]
-        out[a:a + BATCH] = logs[np.arange(len(own)), known.classes[own]]
+        own = slice(a, a + BATCH)
+        out[own] = net.log_prob(around[own], known.classes[ids[own]])
     return out + known.shares[ids]
 
 
